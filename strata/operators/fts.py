@@ -248,10 +248,10 @@ def match(docs: DataFrame, id_col: str, columns: Sequence[str], queries: Sequenc
     numbers = {leaf: n for n, leaf in enumerate(leaves)}
     found = occurrences(postings(docs, id_col, columns), leaves)
     lengths = doc_lengths(docs, id_col, columns)
-    corpus = lengths.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))  # one row
+    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
     tf = found.groupBy("leaf", "doc").agg(F.count("*").alias("tf"))
     df = tf.groupBy("leaf").agg(F.count("*").alias("n"))  # one row per leaf of the batch
-    idf = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
     weighed = tf.join(lengths, "doc").join(F.broadcast(df), "leaf").crossJoin(F.broadcast(corpus))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -260,12 +260,11 @@ def match(docs: DataFrame, id_col: str, columns: Sequence[str], queries: Sequenc
     if any(isinstance(x, Near) for _, t in trees for x in _walk(t)):
         spots = found.groupBy("doc").agg(F.collect_list(F.struct("leaf", "col", "pos")).alias("spots"))
         by_doc = by_doc.join(spots, "doc")
-    verdicts = F.array(
-        *[
-            F.when(_resolved(t, numbers), F.struct(F.lit(q).alias("query_id"), F.aggregate(F.filter("parts", lambda p, own=[numbers[x] for x in _leaves(t) if x.terms]: p["leaf"].isin(own)), F.lit(0.0), lambda s, p: s + p["part"]).alias("score")))
-            for q, t in trees
-        ]
-    )
+    def total(tree) -> Column:
+        own = [numbers[x] for x in _leaves(tree) if x.terms]
+        return F.aggregate(F.filter("parts", lambda p: p["leaf"].isin(own)), F.lit(0.0), lambda acc, p: acc + p["part"])
+
+    verdicts = F.array(*[F.when(_resolved(t, numbers), F.struct(F.lit(q).alias("query_id"), total(t).alias("score"))) for q, t in trees])
     return by_doc.select("doc", F.explode(F.array_compact(verdicts)).alias("v")).select("v.query_id", "doc", "v.score")
 
 

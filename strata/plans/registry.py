@@ -1,8 +1,8 @@
 """All registered queries outside the optional subpackage, with their SQL."""
 
-from strata.plans import training
+from strata.plans import texts, training, vectors
 
-_MODULES = (training,)
+_MODULES = (vectors, texts, training)
 
 FLAGSHIP = "p3_targets"
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
