@@ -1,8 +1,8 @@
 """All registered queries outside the optional subpackage, with their SQL."""
 
-from strata.plans import texts, training, vectors
+from strata.plans import graphs, texts, training, vectors
 
-_MODULES = (vectors, texts, training)
+_MODULES = (vectors, texts, graphs, training)
 
 FLAGSHIP = "p3_targets"
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
