@@ -1,9 +1,9 @@
 """All registered queries outside the optional subpackage, with their SQL."""
 
-from strata.plans import graphs, texts, training, vectors
+from strata.plans import graphs, hybrids, texts, training, vectors
 
-_MODULES = (vectors, texts, graphs, training)
+_MODULES = (vectors, texts, graphs, hybrids, training)
 
-FLAGSHIP = "p3_targets"
+FLAGSHIP = "hybrid_graph_rank"
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

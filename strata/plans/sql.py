@@ -11,7 +11,7 @@ def slash(c: str) -> str:
 
 
 CAT = f"""cat AS (
-  SELECT * REPLACE ({slash("file_path")} AS file_path) FROM (
+  SELECT * EXCLUDE (rn) REPLACE ({slash("file_path")} AS file_path) FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, updated_at DESC NULLS LAST, file_path DESC, line_start DESC, coalesce(doc_comment, '') DESC, coalesce(signature, '') DESC) AS rn
     FROM symbols WHERE id IS NOT NULL) WHERE rn = 1)"""
 EDG = """edg AS (
@@ -21,8 +21,7 @@ EMB = """emb AS (
   SELECT symbol_id, v, model FROM (
     SELECT symbol_id, vector::DOUBLE[] AS v, model, row_number() OVER (PARTITION BY symbol_id ORDER BY created_at DESC NULLS LAST, model DESC NULLS LAST, dimension DESC) AS rn FROM symbol_vectors WHERE symbol_id IS NOT NULL)
   WHERE rn = 1 AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
-#: The stated batch of queries: ids and texts; query vectors are those of the first symbols by id with a full vector.
-QUERY_TEXTS = ((1, "ledger store"), (2, "shard OR tariff"), (3, "design of the snapshot cache"), (4, "service interface"), (5, "handler middleware"))
+#: Query vectors of the stated batch: those of the first symbols by id with a full vector.
 QVEC = """qvec AS (SELECT row_number() OVER (ORDER BY symbol_id) AS query_id, v AS qv FROM emb WHERE len(v) = 96 AND len(list_filter(v, lambda x: x <> 0)) > 0 ORDER BY symbol_id LIMIT 5)"""
 COS = "CASE WHEN sqrt(list_dot_product(a, a) * list_dot_product(b, b)) = 0 THEN 0.0 ELSE list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) END"
 

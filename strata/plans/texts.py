@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strata.common import table
 from strata.functions.text import normalize_term, quote_term, sanitize_query, tokens
 from strata.operators import fts, synonyms
-from strata.plans.sql import CAT, QUERY_TEXTS, fold, tok, values
+from strata.plans.sql import CAT, tok, values
 from strata.sources import corpus
 
 COLUMNS = ("id", "name", "semantic_text")
