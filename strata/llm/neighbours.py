@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.common import parallelism
@@ -39,7 +39,7 @@ WINDOWS = 7  #: arrays per vector in which collisions count; 21 pairs of arrays
 GROUP = 27  #: rows expected in a pair of windows
 MIN_ARRAYS = 48
 FIT_ROWS = 8192
-SKETCH_SLACK = 38  #: of 128 sign bits that may differ; at cosine 0.85 it is 22.6 on average with a deviation of 4.3
+SKETCH_SLACK = 33  #: of 128 sign bits that may differ; at cosine 0.85 it is 22.6 on average with a deviation of 4.3
 SEED = 20240229
 
 
@@ -53,10 +53,20 @@ def usable_vectors(vectors: DataFrame, dim: int = 96) -> DataFrame:
     return one.where(F.col("model").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == dim) & finite & some).select("id", "symbol_id", "model", "vector")
 
 
-def cosine(a: str, b: str) -> Column:
-    """Exact cosine of two float arrays, summed as doubles."""
-    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return total(F.col(a), F.col(b)) / F.sqrt(total(F.col(a), F.col(a)) * total(F.col(b), F.col(b)))
+def _verifier(least: float, dim: int):
+    """mapInArrow function: rows of (a, b, sa, sb, va, vb) to (a, b, sa, sb, cosine), exact in double precision, where the cosine is at least ``least``."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for i in (4, 5))
+            x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
+            c = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+            good = pa.array(c >= least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(good) for i in range(4)), pa.array(c[c >= least])], names=["a", "b", "sa", "sb", "cosine"])
+
+    return run
 
 
 def arrays_for(n: int, windows: int = WINDOWS) -> int:
@@ -118,25 +128,60 @@ def _hasher(dim: int, arrays: int, windows: int, mean: np.ndarray, spread: np.nd
     return run
 
 
+def _meeting(slack: int):
+    """mapInArrow function over rows sorted by key: the pairs (a, b) of each key's rows whose sketches agree.
+
+    Rows o places apart are compared as whole columns, for o = 1, 2, ... until no key has so many rows. A key's rows
+    may spread over batches; only the last, unfinished key is carried along.
+    """
+
+    def pairs(key, ident, s1, s2):
+        left = np.arange(len(key) - 1)
+        for o in range(1, len(key)):
+            left = left[left < len(key) - o]
+            left = left[key[left] == key[left + o]]
+            if not len(left):
+                return
+            right = left + o
+            near = np.bitwise_count(s1[left] ^ s1[right]).astype(np.int16) + np.bitwise_count(s2[left] ^ s2[right]) <= slack
+            a, b = ident[left[near]], ident[right[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns[2:] = [c.view(np.uint64) for c in columns[2:]]  # bits are counted of unsigned numbers
+            if kept is not None:
+                columns = [np.concatenate(x) for x in zip(kept, columns)]
+            if not len(columns[0]):
+                continue
+            done = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield from pairs(*[c[:done] for c in columns])
+            kept = [c[done:] for c in columns]
+        if kept is not None:
+            yield from pairs(*kept)
+
+    return run
+
+
 def colliding_pairs(vectors: DataFrame, arrays: int, fit: tuple[np.ndarray, np.ndarray], dim: int = 96, windows: int = WINDOWS) -> DataFrame:
     """(a, b, collisions), a < b: ids of the vectors that share at least two windows and whose sketches agree; collisions counts shared pairs of windows."""
     hashed = vectors.select("id", F.hash("model").alias("model32"), "vector").mapInArrow(_hasher(dim, arrays, windows, *fit), "id long, keys array<long>, s1 long, s2 long")
-    keyed = hashed.select(F.explode("keys").alias("key"), "id", "s1", "s2")
-    x, y = keyed, keyed.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    met = x.join(y, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & (differ <= SKETCH_SLACK))
-    return met.groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count("*").alias("collisions"))
+    keyed = hashed.select(F.explode("keys").alias("key"), "id", "s1", "s2").repartition("key").sortWithinPartitions("key")
+    met = keyed.mapInArrow(_meeting(SKETCH_SLACK), "a long, b long").where("a <> b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("collisions"))
 
 
 def copies(vectors: DataFrame) -> DataFrame:
-    """(id, symbol_id, rep): the vectors that exactly repeat that of a smaller symbol_id of their model, with the id of the smallest."""
-    slim = vectors.select("id", "symbol_id", "model", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
-    same = slim.groupBy("model", "h1", "h2").agg(F.min(F.struct("symbol_id", "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return slim.join(same, ["model", "h1", "h2"]).where(F.col("symbol_id") > F.col("first.symbol_id")).select("id", "symbol_id", F.col("first.id").alias("rep"))
+    """(id, rep): the vectors that exactly repeat that of a smaller id of their model, with the smallest such id. Only hashes of the vectors are shuffled, combined first."""
+    slim = vectors.select("id", F.xxhash64("model", "vector").alias("h1"), F.hash("vector").alias("h2"))
+    same = slim.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "rep")
+    return slim.join(same, ["h1", "h2"]).where("id > rep").select("id", "rep")
 
 
 def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim: int = 96, windows: int = WINDOWS) -> DataFrame:
-    """(symbol_id, neighbour_id, cosine, position): of every symbol, those of its k most similar symbols of the same model that have at least ``min_cosine``.
+    """(symbol_id, neighbour_id, cosine): of every symbol, those of its k most similar symbols of the same model that have at least ``min_cosine``.
 
     Windows are widened until a pair of ``min_cosine`` is expected to share two of them in 99 of 100 cases; pairs below
     it are not sought (``search`` has no such bound).
@@ -149,28 +194,24 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, d
     pairs = colliding_pairs(single, arrays, _fit(vectors, n, dim, arrays), dim, windows)
     left = usable.select(F.col("id").alias("a"), F.col("symbol_id").alias("sa"), F.col("model").alias("ma"), F.col("vector").alias("va"))
     right = usable.select(F.col("id").alias("b"), F.col("symbol_id").alias("sb"), F.col("model").alias("mb"), F.col("vector").alias("vb"))
-    verified = (
-        pairs.select("a", "b")
-        .join(left, "a")
-        .join(right, "b")
-        .where("ma = mb and sa <> sb")
-        .withColumn("cosine", cosine("va", "vb"))
-        .where(F.col("cosine") >= min_cosine)
-        .select("a", "b", "sa", "sb", "cosine")
-    )
-    both = verified.select(F.explode(F.array(*[F.struct(F.col(x).alias("c"), F.col(y).alias("c2"), F.col(sx).alias("own"), F.col(sy).alias("neighbour_id"), "cosine") for x, y, sx, sy in (("a", "b", "sa", "sb"), ("b", "a", "sb", "sa"))])).alias("p")).select("p.*")
-    # Of a class of copies at most k + 1 can be among anyone's k most similar.
-    few = again.withColumn("_rn", F.row_number().over(Window.partitionBy("rep").orderBy("symbol_id"))).where(F.col("_rn") <= k).select("rep", F.col("symbol_id").alias("copy_id"))
-    through = both.join(few, F.col("c2") == F.col("rep")).select("c", F.col("copy_id").alias("neighbour_id"), "cosine")
-    reps = usable.join(again.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("c"), F.col("symbol_id").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
-    inside = few.select(F.col("rep").alias("c"), F.col("copy_id").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
-    candidates = both.select("c", "neighbour_id", "cosine").unionByName(through).unionByName(reps).unionByName(inside)
+    # Models are compared by a function, as another join key would shuffle all vectors once more.
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").where(F.array_contains(F.array("ma"), F.col("mb")))
+    verified = met.select("a", "b", "sa", "sb", "va", "vb").mapInArrow(_verifier(min_cosine, dim), "a long, b long, sa string, sb string, cosine double")
+    ways = F.array(*[F.struct(F.col(x).alias("c"), F.col(sx).alias("own"), F.col(y).alias("c2"), F.col(sy).alias("other"), "cosine") for x, sx, y, sy in (("a", "sa", "b", "sb"), ("b", "sb", "a", "sa"))])
+    both = verified.select(F.explode(ways).alias("p")).select("p.*")
+    # Classes of exact copies: (rep, member), the representative among them. Of a class at most k + 1 members can be
+    # among anyone's k most similar.
+    named = usable.select("id", "symbol_id")
+    members = again.select("id", "rep").unionByName(again.select(F.col("rep").alias("id"), "rep").distinct()).join(named, "id").select("rep", F.col("symbol_id").alias("member"))
+    few = members.withColumn("_rn", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("_rn") <= k + 1).select("rep", "member")
+    out = both.join(few.select(F.col("rep").alias("c2"), "member"), "c2", "left").select("c", "own", F.coalesce("member", "other").alias("neighbour_id"), "cosine")
+    inside = few.select(F.col("rep").alias("c"), F.lit(None).cast("string").alias("own"), F.col("member").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("c").orderBy(F.desc("cosine"), "neighbour_id")
-    of_class = candidates.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1).drop("_rn")
-    members = both.select("c", F.col("own").alias("symbol_id")).distinct().unionByName(reps.select("c", F.col("neighbour_id").alias("symbol_id"))).distinct().unionByName(again.select(F.col("rep").alias("c"), "symbol_id"))
-    own = members.join(of_class, "c").where("symbol_id <> neighbour_id")
-    place = F.row_number().over(Window.partitionBy("symbol_id").orderBy(F.desc("cosine"), "neighbour_id"))
-    return own.withColumn("position", place).where(F.col("position") <= k).select("symbol_id", "neighbour_id", "cosine", "position")
+    of_class = out.unionByName(inside).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1)
+    # Each member takes its class's list without itself; a class without copies has its own symbol as only member.
+    own = of_class.join(members.select(F.col("rep").alias("c"), "member"), "c", "left").withColumn("symbol_id", F.coalesce("member", "own")).where("symbol_id <> neighbour_id")
+    # A member that isn't in its class's list (its copies with smaller ids fill it) sees one entry too many.
+    return own.withColumn("_after", F.count("*").over(Window.partitionBy("c", "symbol_id").orderBy("_rn"))).where(F.col("_after") <= k).select("symbol_id", "neighbour_id", "cosine")
 
 
 def similar_pairs(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim: int = 96) -> DataFrame:
