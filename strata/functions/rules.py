@@ -156,7 +156,7 @@ def evidence_role(package_path: Column, hit_layer: Column) -> Column:
 
 def card_role(package_path: Column, imports: Column, has_interface: Column, has_struct: Column, has_method: Column) -> Column:
     parts, out = F.split(F.lower(package_path), "/"), None
-    contains = lambda arr, words: any_of([F.exists(arr, lambda x, w=w: x.contains(w)) for w in words])
+    contains = lambda arr, words: F.exists(arr, lambda x: any_of([x.contains(w) for w in words]))
     for path_words, import_words, role in CARD_ROLES:
         hit = contains(parts, path_words) | F.coalesce(contains(imports, import_words), F.lit(False))
         out = F.when(hit, role) if out is None else out.when(hit, role)

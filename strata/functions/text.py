@@ -46,11 +46,16 @@ def numbered(line_no: Column, text: Column) -> Column:
     return F.format_string("%4d\t%s", line_no, text)
 
 
+def _one_digit(x: Column) -> Column:
+    """One decimal, halves to the even digit."""
+    return F.format_string("%.1f", F.rint(x * 10) / 10)
+
+
 def human_bytes(n: Column) -> Column:
     units = ("KB", "MB", "GB", "TB", "PB", "EB")
     value = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(units, 1):
-        value = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / F.lit(float(1024**k))), F.lit(f" {unit}"))).otherwise(value)
+        value = F.when(n >= 1024**k, F.concat(_one_digit(n / F.lit(float(1024**k))), F.lit(f" {unit}"))).otherwise(value)
     return value
 
 
@@ -58,8 +63,8 @@ def human_age(seconds: Column) -> Column:
     return (
         F.when(seconds < 60, F.concat(F.floor(seconds).cast("string"), F.lit(" seconds")))
         .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" minutes")))
-        .when(seconds < 86400, F.format_string("%.1f hours", seconds / F.lit(3600.0)))
-        .otherwise(F.format_string("%.1f days", seconds / F.lit(86400.0)))
+        .when(seconds < 86400, F.concat(_one_digit(seconds / F.lit(3600.0)), F.lit(" hours")))
+        .when(seconds.isNotNull(), F.concat(_one_digit(seconds / F.lit(86400.0)), F.lit(" days")))
     )
 
 
