@@ -144,6 +144,7 @@ def _pair_rows(batches):
 def symbol_pairs(symbols: DataFrame) -> DataFrame:
     """(symbol_id, name, kind, signature, description) of the current version of each func and method whose comment says something."""
     # The kind is part of an id, so other kinds can fall out before the versions are compared.
+    symbols = symbols.select("id", "name", "kind", "signature", "doc_comment", "file_path", "created_at", "updated_at")
     current = current_versions(symbols.where("kind in ('func', 'method')"), "name", "kind", "signature", "doc_comment")
     return current.select("id", "name", "kind", "signature", "doc_comment").mapInPandas(_pair_rows, "symbol_id string, name string, kind string, signature string, description string")
 
@@ -163,6 +164,6 @@ def _file_rows(batches):
 
 def file_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id, file_path, line, receiver, name, signature, description, body) of each function in source texts whose comment says something."""
-    return documents.select("doc_id", "file_path", "text").mapInPandas(
+    return documents.where("doc_id is not null").select("doc_id", "file_path", "text").mapInPandas(
         _file_rows, "doc_id long, file_path string, line int, receiver string, name string, signature string, description string, body string"
     )

@@ -59,7 +59,7 @@ def with_prefix(sizes: DataFrame, seed: int = 0, ranges: int = RANGES) -> DataFr
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of all non-blank texts that have a source, counted once and kept in the shared folder."""
-    named = documents.withColumn("source", source_name(F.col("source"))).where("source is not null and source <> ''")
+    named = documents.select("doc_id", "source", "text").withColumn("source", source_name(F.col("source"))).where("source is not null and source <> ''")
     return cut(token_counts(named, "source", vocabulary=vocabulary).select("doc_id", "source", F.col("tokens").cast("long").alias("tokens")))
 
 
