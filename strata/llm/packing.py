@@ -74,7 +74,7 @@ def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int,
 
 
 def _pack_shard(round_no: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "loss_tokens", "doc_id", "piece"], ascending=False, kind="stable").reset_index(drop=True)
         capacity = int(pdf["capacity"].iloc[0])
         bins = fill(pdf["tokens"].to_numpy(), pdf["loss_tokens"].to_numpy(), capacity, max(1, capacity // TOKENS_PER_SEGMENT), capacity)
