@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +42,6 @@ def usable(vector: Column) -> Column:
 
 def from_bytes(blob: Column) -> Column:
     """Little-endian float32 bytes as array<float>; null unless the length is a multiple of 4."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda b: np.frombuffer(b, "<f4").tolist() if b is not None and len(b) % 4 == 0 else None)
@@ -51,9 +50,6 @@ def from_bytes(blob: Column) -> Column:
 
 
 def to_bytes(vector: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(values: pd.Series) -> pd.Series:
         return values.map(lambda v: np.asarray(v, "<f4").tobytes() if v is not None else None)

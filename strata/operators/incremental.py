@@ -36,15 +36,20 @@ def fingerprints(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | No
 
 def last_runs(repositories: DataFrame, jobs: DataFrame) -> DataFrame:
     """(repo_path, since) of every repository that ran successfully: the latest start of a completed job; with no jobs recorded at all, last_indexed_at. Others never ran and have no row."""
+    repositories = repositories.select("id", "root_path", "last_indexed_at")
     logged = jobs.where("repo_id is not null").groupBy("repo_id").agg(F.max(F.when(F.col("status") == "completed", F.col("started_at"))).alias("started"), F.lit(True).alias("logged"))
     joined = repositories.join(logged, repositories["id"] == logged["repo_id"], "left")
     since = F.when(F.col("logged"), F.col("started")).otherwise(parse_instant(repositories["last_indexed_at"]))
     return joined.select(repositories["root_path"].alias("repo_path"), since.alias("since")).where("since is not null and repo_path is not null").groupBy("repo_path").agg(F.max("since").alias("since"))
 
 
+#: What of a symbol enters the comparison; other columns, whatever their names, are left aside.
+COMPARED = ("id", "repo_path", "file_path", "signature", "doc_comment", "line_start", "line_end", "created_at", "updated_at")
+
+
 def partition_changes(symbols: DataFrame, runs: DataFrame, buckets: int = 64) -> DataFrame:
     """Fingerprint of each partition (repo_path, bucket of the id) over all its rows, over those stored by the last run, and whether they differ."""
-    rows = stored_rows(symbols).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    rows = stored_rows(symbols.select(*COMPARED)).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     h = row_hash(["id", "modified", "file", "signature", "doc_comment", "line_start", "line_end"])
     with_run = rows.join(runs, "repo_path", "left")
     then = F.coalesce(F.col("stored") <= F.col("since"), F.col("since").isNotNull() & F.col("stored").isNull())
@@ -68,7 +73,7 @@ def changed_symbols(symbols: DataFrame, repositories: DataFrame, jobs: DataFrame
     repository, as its package path is part of it. Unchanged partitions, by fingerprint, are not looked into. A symbol
     without any instant counts as stored before every run.
     """
-    runs = last_runs(repositories, jobs)
+    symbols, runs = symbols.select(*COMPARED), last_runs(repositories, jobs)
     dirty = partition_changes(symbols, runs, buckets).where("changed").select(F.col("repo_path").alias("p"), F.col("bucket").alias("b"))
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
     rows = symbols.join(dirty, F.col("p").eqNullSafe(F.col("repo_path")) & (F.col("b") == bucket), "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strata.functions import rules
 
 SYMBOLS = "file_path string, package_path string, package_name string, kind string, id string, name string, receiver string, signature string, doc_comment string, line_start int, line_end int, exported boolean"
-REFERENCES = "file_path string, package_path string, line int, edge_type string, owner string, target string"
+REFERENCES = "file_path string, package_path string, line int, edge_type string, owner string, target string, alias string"
 
 TOP = regex.compile(
     r"""
@@ -80,7 +80,7 @@ def parse_file(path: str, text: str, package_path: str):
             symbols.append((path, package_path, package, "package", f"pkg:{package_path}", package, None, f"package {package}", package_doc, 1, 1, True))
         elif m["imports"] is not None or m["import"] is not None:
             for alias, imported in re.findall(r'([\w.]+)?\s*"([^"\n]+)"', m["imports"] or m["import"]):
-                refs.append((path, package_path, line, "imports", f"pkg:{package_path}", imported))
+                refs.append((path, package_path, line, "imports", f"pkg:{package_path}", imported, alias or imported.split("/")[-1]))
         elif m["fname"]:
             receiver = None
             if m["recv"]:
@@ -94,7 +94,7 @@ def parse_file(path: str, text: str, package_path: str):
             quiet = regex.sub(r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|//[^\n]*', lambda x: "\n" * x[0].count("\n"), m["body"] or "")
             for c in _CALL.finditer(quiet):
                 if c[2] not in _KEYWORDS:
-                    refs.append((path, package_path, body_line + quiet.count("\n", 0, c.start()), "calls", None, f"{c[1]}.{c[2]}" if c[1] else c[2]))
+                    refs.append((path, package_path, body_line + quiet.count("\n", 0, c.start()), "calls", None, f"{c[1]}.{c[2]}" if c[1] else c[2], None))
         elif m["word"]:
             specs = [(line, m["spec"])] if m["spec"] is not None else []
             if m["group"] is not None:
@@ -125,7 +125,7 @@ def parse_file(path: str, text: str, package_path: str):
                             if (f := re.match(r"([^\W\d]\w*)\s*(\(.*)$", member, re.S)) is not None:
                                 add("method", f[1], f"{f[1]}{f[2]}", "", here, here, None, f"{package_path}:interface-method:{name}.{f[1]}", True)
                             else:
-                                refs.append((path, package_path, here, "embeds", f"{package_path}:{kind}:{name}", member))
+                                refs.append((path, package_path, here, "embeds", f"{package_path}:{kind}:{name}", member, None))
                         elif kind == "struct":
                             parts = re.match(r"((?:[^\W\d]\w*\s*,\s*)*[^\W\d]\w*)\s+(\S.*)$", member)
                             if parts:
@@ -133,10 +133,10 @@ def parse_file(path: str, text: str, package_path: str):
                                     add("field", field, f"{field} {parts[2]}", "", here, here, None, f"{package_path}:field:{name}.{field}")
                                 target = re.sub(r"^[\[\]*\d]+", "", parts[2].split()[0])
                                 if re.fullmatch(r"(?:\w+\.)?[^\W\d]\w*", target):
-                                    refs.append((path, package_path, here, "references", f"{package_path}:{kind}:{name}", target))
+                                    refs.append((path, package_path, here, "references", f"{package_path}:{kind}:{name}", target, None))
                             else:
                                 add("field", member.lstrip("*").split(".")[-1], member, "", here, here, None, f"{package_path}:field:{name}.embedded-{k}", True)
-                                refs.append((path, package_path, here, "embeds", f"{package_path}:{kind}:{name}", member.lstrip("*")))
+                                refs.append((path, package_path, here, "embeds", f"{package_path}:{kind}:{name}", member.lstrip("*"), None))
                 else:
                     names = re.match(r"\s*((?:[^\W\d]\w*\s*,\s*)*[^\W\d]\w*)", spec)
                     for name in re.split(r"\s*,\s*", names[1]) if names else []:
@@ -188,8 +188,8 @@ def read_repository(spark: SparkSession, root: str, module: str = "", tests: boo
 def resolved_edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(from_id, to_id, edge_type, weight, import_path) of references whose target is known in the repository.
 
-    A call starts at the innermost function around its line; names of the own package come before those of an
-    imported one with that last path element; a type is any of struct, interface, type.
+    A call starts at the innermost function around its line; an unqualified name is sought in the own package, a
+    qualified one in the package imported under that name (alias or last path element); a type is any of struct, interface, type.
     """
     from strata.operators.graph import enclosing
 
@@ -198,7 +198,7 @@ def resolved_edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     owners = enclosing(calls.select(F.col("file_path").alias("file"), "line"), spans).select(F.col("file").alias("file_path"), "line", F.col("id").alias("_owner"))
     owned = calls.join(owners, ["file_path", "line"]).withColumn("owner", F.col("_owner")).drop("_owner").unionByName(refs.where("edge_type in ('embeds', 'references')"))
     named = owned.withColumn("_qual", F.when(F.col("target").contains("."), F.split("target", r"\.")[0])).withColumn("_name", F.element_at(F.split("target", r"\."), -1))
-    imports = refs.where("edge_type = 'imports'").select("file_path", F.col("target").alias("_import"), F.element_at(F.split("target", "/"), -1).alias("_qual")).distinct()
+    imports = refs.where("edge_type = 'imports'").select("file_path", F.col("target").alias("_import"), F.col("alias").alias("_qual")).distinct()
     located = named.join(imports, ["file_path", "_qual"], "left").withColumn("_package", F.when(F.col("_qual").isNull(), F.col("package_path")).otherwise(F.col("_import")))
     defs = symbols.where("kind in ('func', 'struct', 'interface', 'type') or (kind = 'method' and signature like 'func%')").groupBy(F.col("package_path").alias("_package"), F.col("name").alias("_name")).agg(F.min("id").alias("to_id"))
     # A qualifier that names no import is a variable: its method is sought in the own package.
