@@ -20,6 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from strata.common import spread
 from strata.operators.versions import current_versions
 
 DECLARATION = regex.compile(
@@ -164,6 +165,6 @@ def _file_rows(batches):
 
 def file_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id, file_path, line, receiver, name, signature, description, body) of each function in source texts whose comment says something."""
-    return documents.where("doc_id is not null").select("doc_id", "file_path", "text").mapInPandas(
+    return spread(documents.where("doc_id is not null").select("doc_id", "file_path", "text")).mapInPandas(
         _file_rows, "doc_id long, file_path string, line int, receiver string, name string, signature string, description string, body string"
     )

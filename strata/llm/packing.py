@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from strata.common import cut
 from strata.llm.tokens import VOCABULARY, token_counts
 
-SHARD_ITEMS = 8192  #: items that one call packs, about
+SHARD_ITEMS = 3072  #: items that one call packs, about
 SLACK = 0.06
 MAX_BUDGETS = 64
 TOKENS_PER_SEGMENT = 16  #: a container of capacity c takes c / 16 segments, attention masks grow with them

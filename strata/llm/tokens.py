@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.common import is_blank
+from strata.common import is_blank, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"  #: default of the ``vocabulary`` parameters
 
@@ -41,4 +41,4 @@ def token_counts(documents: DataFrame, *keep: str, vocabulary: str = VOCABULARY)
     rows = documents.where(F.col("doc_id").isNotNull() & ~is_blank(F.col("text"))).select("doc_id", *keep, "text")
     types = dict(documents.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in ("doc_id", *keep)) + ", tokens int, loss_tokens int"
-    return rows.mapInPandas(_counter(vocabulary), schema)
+    return spread(rows).mapInPandas(_counter(vocabulary), schema)
