@@ -44,6 +44,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least one partition per core, for costly per-row work on few or small files; larger inputs stay as they were read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only, Unicode spaces and the byte order mark included."""
     return c.isNull() | ~c.rlike(r"[^\s\p{Z}\x{FEFF}]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.common import table
+from strata.common import cut, table
 from strata.functions import rules
 from strata.operators import evidence, fts, graph, search
 from strata.plans.sql import CAT, EDG, EMB, QVEC, cos, entry, layer, layer_score, tok
@@ -39,6 +39,8 @@ def results(spark, d, options: search.Options = search.Options(), with_intent: b
     v, k = arms(spark, d, options)
     symbols = corpus.catalog(spark, d)
     hits = search.hybrid(v, k, symbols, options)
+    if options.rank_by_graph:
+        hits = cut(hits)  # at most 4k rows a query, which the features need several times
     features = graph.features(hits, corpus.merged_edges(spark, d), symbols) if options.rank_by_graph else None
     intents = spark.createDataFrame(list(INTENTS), "query_id long, intent string") if with_intent else None
     return search.blend(hits, features, options, intents)
@@ -91,7 +93,7 @@ def hybrid_intent(spark, d):
 
 def graph_pagerank_candidates(spark, d):
     v, k = arms(spark, d, search.Options())
-    hits = search.hybrid(v, k, corpus.catalog(spark, d), search.Options())
+    hits = cut(search.hybrid(v, k, corpus.catalog(spark, d), search.Options()))
     return graph.candidate_pagerank(hits, corpus.merged_edges(spark, d)).withColumn("pagerank", F.round("pagerank", 9))
 
 
