@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -32,6 +33,14 @@ class Config:
         if min(self.max_packages, self.max_symbols, self.max_snippets, self.max_lines, self.embedding_batch, self.search.k) < 1:
             raise ValueError("limits and batch sizes are at least 1")
 
+    @classmethod
+    def load(cls, path: str) -> Config:
+        """From a JSON file; what it leaves out keeps its default, unknown names are errors."""
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        options = {k: tuple(v) if isinstance(v, list) else v for k, v in given.pop("search", {}).items()}
+        return cls(search=search.Options(**options), **given)
+
 
 class Engine:
     """An index under ``path`` (storage that all executors share)."""

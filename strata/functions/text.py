@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +38,25 @@ def quote_term(c: Column) -> Column:
     return F.when(c.rlike(r"[ \t\n-]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
+def _glob(pattern: str) -> str:
+    """Regular expression of a path glob: * and ? stay within one path element, ** crosses them."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**", i):
+            out, i = out + ".*", i + 2
+            continue
+        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)
+        i += 1
+    return f"^{out}$"
+
+
+def path_wanted(path: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """Exclusions first, then inclusions (none means all); a pattern applies as a glob or as a prefix."""
+    hit = lambda patterns: reduce(lambda a, b: a | b, [path.rlike(_glob(p)) | path.startswith(p) for p in patterns], F.lit(False))
+    return ~hit(exclude) & (hit(include) if include else F.lit(True))
+
+
 def truncate(c: Column, n: int) -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 

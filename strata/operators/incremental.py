@@ -16,9 +16,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from strata.common import is_blank
+from strata.common import cut
 from strata.functions.timeparse import parse_instant
 from strata.operators.versions import current_versions, stored_rows
 
@@ -142,14 +141,11 @@ class IncrementalTable:
         if total:
             live = todo.where("not gone").withColumnRenamed(self.key, "_k")
             rows = source.join(live, F.col(self.key).eqNullSafe(F.col("_k")), "left_semi")
-            out = self.transform(rows).repartition(self.key)
-            out.write.partitionBy(self.key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+            out = cut(self.transform(rows))  # computed once, read for the data and for the keys
+            out.repartition(self.key).write.partitionBy(self.key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
             # Partitions that lost all rows, here or in the transform, leave no files to overwrite.
             made = self._directories()
-            try:
-                kept = {str(r[0]) for r in self.transform(rows).select(F.col(self.key).cast("string")).distinct().toLocalIterator()} if todo.where("not gone").limit(1).count() else set()
-            except AnalysisException:
-                kept = set()
+            kept = {str(r[0]) for r in out.select(F.col(self.key).cast("string")).distinct().toLocalIterator()}
             for r in todo.select(F.col(self.key).cast("string").alias("k")).toLocalIterator():
                 if str(r["k"]) not in kept and str(r["k"]) in made:
                     fs.delete(made[str(r["k"])], True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strata.common import table
 from strata.functions import rules
-from strata.functions.text import human_bytes, repo_file_name
+from strata.functions.text import human_bytes, path_wanted, repo_file_name
 from strata.functions.timeparse import parse_instant
 from strata.operators import cards, status, store
 from strata.plans.sql import CAT, EDG, EMB, layer
@@ -113,6 +113,12 @@ def size_text(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", human_bytes((F.octet_length("text") * 1000).cast("long")).alias("size"))
 
 
+def path_globs(spark, d):
+    """Files by globs and prefixes, exclusions first."""
+    s = corpus.catalog(spark, d).select("repo_path", "file_path").distinct()
+    return s.where(path_wanted(F.col("file_path"), ["internal/*/*/*.go", "lib/"], ["**_test.go", "internal/util"]))
+
+
 def package_info(spark, d):
     i = cards.package_info(corpus.catalog(spark, d))
     return i.select("package_path", "n_symbols", "exported_count", "has_interface", "has_struct", "has_method", F.array_join("key_types", ",").alias("key_types"), F.array_join("key_funcs", ",").alias("key_funcs"))
@@ -161,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         upsert_edges, upsert_vectors, upsert_packages, upsert_repositories, insert_symbols, delete_package_cascade, delete_edges_of_symbols, delete_vectors_by_prefix, imported_by_union, changed_packages,
-        table_counts, repo_summary, index_status, repos_list, size_text, package_info, package_roles, package_card, symbol_card, repo_stats, source_symbols, source_references, import_edges,
+        table_counts, repo_summary, index_status, repos_list, size_text, path_globs, package_info, package_roles, package_card, symbol_card, repo_stats, source_symbols, source_references, import_edges,
     )
 }
 
@@ -222,6 +228,8 @@ SELECT root_path, age_seconds IS NOT NULL AS indexed, age_seconds, index_age, co
 regexp_replace(string_split(regexp_replace(root_path, '/+$', ''), '/')[-1], '[^A-Za-z0-9._-]', '_', 'g') || '-' || substring(sha1(root_path), 1, 12) AS store_name FROM repositories""",
     "size_text": """WITH b AS (SELECT doc_id, strlen(text)::BIGINT * 1000 AS n FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size FROM b""",
+    "path_globs": f"""WITH {CAT} SELECT DISTINCT repo_path, file_path FROM cat WHERE NOT (file_path LIKE '%\\_test.go' ESCAPE '\\' OR starts_with(file_path, 'internal/util') OR starts_with(file_path, '**_test.go'))
+AND (regexp_matches(file_path, '^internal/[^/]*/[^/]*/[^/]*\\.go$') OR starts_with(file_path, 'lib/'))""",
     "package_info": f"{_INFO} SELECT package_path, n_symbols, exported_count, has_interface, has_struct, has_method, array_to_string(kt, ',') AS key_types, array_to_string(kf, ',') AS key_funcs FROM info",
     "package_roles": f"{_INFO} SELECT package_path, {_ROLE} AS role, {_DUTIES} AS responsibilities FROM info",
     "package_card": f"{_INFO}, {_CARD} SELECT package_path, card FROM pc",

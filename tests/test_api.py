@@ -62,3 +62,14 @@ def test_index_again_after_a_change(spark, engine):
     s = {(r["name"], r["file_path"]) for r in e.store.read("symbols").collect()}
     assert ("Extra", "model/model.go") in s and ("DB", "store/moved.go") in s and not any(f == "store/store.go" for _, f in s)
     assert [r["from_name"] for r in e.refs(name="New").collect()] == ["helper", "Read"]
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"search": {"k": 3, "kinds": ["func"]}, "max_lines": 50}')
+    c = Config.load(str(tmp_path / "c.json"))
+    assert c.search.k == 3 and c.search.kinds == ("func",) and c.max_lines == 50 and c.max_symbols == 10
+    with pytest.raises(ValueError):
+        Config(max_lines=0)
+    with pytest.raises(TypeError):
+        (tmp_path / "d.json").write_text('{"colour": 1}')
+        Config.load(str(tmp_path / "d.json"))
