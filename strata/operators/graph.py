@@ -139,8 +139,14 @@ def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def implementations(type_methods: DataFrame, interface_methods: DataFrame) -> DataFrame:
-    """(type_id, interface_id) where the type's methods (owner, method) contain all of the interface's; found from shared methods, no pair without one is looked at. Interfaces without methods are left out."""
+    """(type_id, interface_id) where the type's methods (owner, method) contain all of the interface's. Interfaces without methods are left out.
+
+    Candidates are the types with an interface's rarest method, so methods that most types have pair nothing up.
+    """
     t = type_methods.select(F.col("owner").alias("type_id"), "method").distinct()
     i = interface_methods.select(F.col("owner").alias("interface_id"), "method").distinct()
-    need = i.groupBy("interface_id").agg(F.count("*").alias("need"))
-    return t.join(i, "method").groupBy("type_id", "interface_id").agg(F.count("*").alias("have")).join(need, "interface_id").where("have = need").select("type_id", "interface_id")
+    owners = t.groupBy("method").agg(F.count("*").alias("n"))
+    rarest = i.join(owners, "method", "left").groupBy("interface_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "method"))["method"].alias("method"), F.count("*").alias("need"))
+    candidates = t.join(rarest, "method").select("type_id", "interface_id", "need")
+    have = candidates.join(i, "interface_id").join(t, ["type_id", "method"]).groupBy("type_id", "interface_id", "need").agg(F.count("*").alias("have"))
+    return have.where("have = need").select("type_id", "interface_id")

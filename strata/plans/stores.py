@@ -18,7 +18,7 @@ NOW = "2026-06-01 12:00:00"
 
 
 def _old_new(df):
-    old = F.coalesce(F.col("created_at") < F.lit(CUT).cast("timestamp"), F.lit(False))
+    old = F.coalesce(F.col("created_at") < F.lit(f"{CUT}+00:00").cast("timestamp"), F.lit(False))
     return df.where(old), df.where(~old)
 
 
@@ -44,13 +44,13 @@ def upsert_packages(spark, d):
 
 def upsert_repositories(spark, d):
     r = table(spark, d, "repositories").select("id", "root_path", "symbol_count", "created_at")
-    new = r.select(F.lit("").alias("id"), F.concat("root_path", F.when(F.col("symbol_count") > 2500, "").otherwise("-copy")).alias("root_path"), (F.col("symbol_count") + 1).alias("symbol_count"), F.lit(CUT).cast("timestamp").alias("created_at"))
+    new = r.select(F.lit("").alias("id"), F.concat("root_path", F.when(F.col("symbol_count") > 2500, "").otherwise("-copy")).alias("root_path"), (F.col("symbol_count") + 1).alias("symbol_count"), F.lit(f"{CUT}+00:00").cast("timestamp").alias("created_at"))
     return store.upsert_repositories(r, new).withColumn("created_at", F.unix_micros("created_at"))
 
 
 def insert_symbols(spark, d):
     s = table(spark, d, "symbols").where("id is not null").select("id", "file_path", "line_start", "created_at")
-    old = s.where(F.col("created_at") < F.lit(CUT).cast("timestamp")).groupBy("id").agg(F.min("file_path").alias("file_path"), F.min("line_start").alias("line_start"), F.min("created_at").alias("created_at"))
+    old = s.where(F.col("created_at") < F.lit(f"{CUT}+00:00").cast("timestamp")).groupBy("id").agg(F.min("file_path").alias("file_path"), F.min("line_start").alias("line_start"), F.min("created_at").alias("created_at"))
     return store.insert_symbols(old, s).select("id", "file_path", "line_start")
 
 
@@ -84,7 +84,7 @@ def changed_packages(spark, d):
     s = corpus.catalog(spark, d)
     files = s.where("kind <> 'file'").select("package_path", F.concat_ws("/", "repo_path", "file_path").alias("file_path"))
     seen = s.where("kind = 'file' or exported").groupBy("package_path", F.concat_ws("/", "repo_path", "file_path").alias("file_path")).agg(F.max(parse_instant(F.col("updated_at"))).alias("modified"))
-    return status.changed_packages(files, seen, F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 30 DAYS"))
+    return status.changed_packages(files, seen, F.lit(f"{NOW}+00:00").cast("timestamp") - F.expr("INTERVAL 30 DAYS"))
 
 
 def table_counts(spark, d):
@@ -97,7 +97,7 @@ def repo_summary(spark, d):
 
 
 def index_status(spark, d):
-    return status.index_status(table(spark, d, "repositories"), F.lit(NOW).cast("timestamp"))
+    return status.index_status(table(spark, d, "repositories"), F.lit(f"{NOW}+00:00").cast("timestamp"))
 
 
 def repos_list(spark, d):
