@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.common import table
+from strata.common import cut, table
 from strata.functions.vector import cosine_similarity, cosine_to_distance, distance_to_score, l2_distance
 from strata.operators import search
 from strata.plans.sql import CAT, EMB, QVEC, cos
@@ -16,7 +16,8 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The stated batch: the vectors of the first five symbols by id that have a full vector."""
     full = corpus.embeddings(spark, d).where((F.size("vector") == 96) & F.exists("vector", lambda x: x != 0))
     first = full.orderBy("symbol_id").limit(5)
-    return first.select(F.row_number().over(Window.orderBy("symbol_id")).cast("long").alias("query_id"), "vector")
+    # Five rows from a scan of all vectors: kept, as their number is checked before they are joined.
+    return cut(first.select(F.row_number().over(Window.orderBy("symbol_id")).cast("long").alias("query_id"), "vector"))
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
