@@ -67,7 +67,7 @@ def fts_column_filter(spark, d):
 
 def fts_sanitize(spark, d):
     q = spark.createDataFrame(list(RAW), "query_id int, text string")
-    return q.select(F.col("query_id").cast("long").alias("query_id"), sanitize_query(F.col("text")).alias("cleaned"), normalize_term(F.col("text")).alias("norm"), quote_term(F.trim("text")).alias("quoted"))
+    return q.select("query_id", sanitize_query(F.col("text")).alias("cleaned"), normalize_term(F.col("text")).alias("norm"), quote_term(F.trim("text")).alias("quoted"))
 
 
 def fts_retry(spark, d):
@@ -78,12 +78,12 @@ def fts_retry(spark, d):
 
 def fts_bm25_topk(spark, d):
     hits = fts.keyword_search(_docs(spark, d), "doc_id", ["text"], [(1, "shard tariff"), (2, "platform OR imprint"), (3, '"session cache"')], 20)
-    return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    return hits.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def fts_rank_score(spark, d):
     hits = fts.rank_scores(fts.keyword_search(_docs(spark, d), "doc_id", ["text"], [(1, "shard tariff"), (2, "platform OR imprint")], 10))
-    return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("place").cast("long").alias("place"), F.round("keyword", 6).alias("keyword"))
+    return hits.select("query_id", F.col("place").cast("long").alias("place"), F.round("keyword", 6).alias("keyword"))
 
 
 def fts_packages(spark, d):
@@ -97,7 +97,7 @@ SYNONYM_TEXTS = ((1, "where is the STORE of a token"), (2, "video-controller"),
 
 
 def _synonym_queries(spark):
-    return spark.createDataFrame(list(SYNONYM_TEXTS), "query_id int, text string").withColumn("query_id", F.col("query_id").cast("long"))
+    return spark.createDataFrame(list(SYNONYM_TEXTS), "query_id int, text string")
 
 
 def synonym_match(spark, d):
@@ -115,7 +115,7 @@ def synonym_expand_text(spark, d):
 def synonym_hits(spark, d):
     """How many documents each synonym query finds once expanded."""
     q = {r["query_id"]: r["keyword_text"] for r in synonyms.expand(_synonym_queries(spark), synonyms.groups(spark, SYNONYMS)).collect()}  # the stated batch
-    return fts.match(_docs(spark, d), "doc_id", ["text"], sorted(q.items())).groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.count("*").alias("n"))
+    return fts.match(_docs(spark, d), "doc_id", ["text"], sorted(q.items())).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (fts_tokens, fts_df, fts_doc_len, fts_and, fts_or, fts_not, fts_phrase, fts_prefix, fts_underscore, fts_column_filter, fts_sanitize, fts_retry, fts_bm25_topk, fts_rank_score, fts_packages, synonym_match, synonym_fts_query, synonym_expand_text, synonym_hits)}
