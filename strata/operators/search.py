@@ -1,19 +1,28 @@
 """Vector search and hybrid fusion for batches of queries.
 
-A batch is a table (query_id, vector, ...) of stated queries; it is small and meets every row, in one pass.
+A batch is a table (query_id, vector, ...) of queries and meets every row, in one pass: a small one is broadcast, a
+larger one, of any size, is spread in blocks that meet blocks of vectors.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructType
 
+from strata.common import parallelism
 from strata.functions import rules
-from strata.functions.vector import cosine_similarity, distance_to_score, l2_distance
+from strata.functions.vector import cosine_similarity, distance_to_score, l2_distance, usable
 
-MAX_BATCH = 10_000  #: queries of one batch; beyond it a batch is to be cut up
+MAX_BATCH = 10_000  #: queries of one batch of texts, which the driver embeds
+SMALL_BATCH = 64  #: vectors of a batch that is broadcast and scored row by row; larger ones meet the rows in blocks
+BLOCK, SLICE = 4096, 256  #: vectors of a block; queries scored at a time
 
 
 def checked_batch(queries: DataFrame) -> DataFrame:
@@ -23,10 +32,21 @@ def checked_batch(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries)
 
 
-def score_all(embeddings: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(query_id, symbol_id, score, distance) of every vector of the query's length; others are skipped."""
-    q = checked_batch(queries.select("query_id", F.col("vector").alias("query_vector")))
-    pairs = embeddings.select("symbol_id", "vector").join(q, F.size("vector") == F.size("query_vector"))
+def _larger(queries: DataFrame, n: int) -> bool:
+    return queries.limit(n + 1).count() > n
+
+
+def _pairs(embeddings: DataFrame, queries: DataFrame, metric: str, small: bool) -> DataFrame:
+    q = queries.select("query_id", F.col("vector").alias("query_vector"))
+    e = embeddings.select("symbol_id", "vector")
+    same = F.size("vector") == F.size("query_vector")
+    if small:
+        pairs = e.join(F.broadcast(q), same)
+    else:  # vectors spread by salts that every query visits, as all of them may have one length
+        salts = parallelism(embeddings.sparkSession)
+        e = e.withColumn("salt", F.pmod(F.xxhash64("symbol_id"), F.lit(salts)))
+        q = q.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = e.join(q, same & (F.col("salt") == F.col("q_salt")))
     if metric == "cosine":
         score = cosine_similarity(F.col("vector"), F.col("query_vector"))
         return pairs.select("query_id", "symbol_id", score.alias("score")).withColumn("distance", 1 - F.col("score"))
@@ -34,6 +54,93 @@ def score_all(embeddings: DataFrame, queries: DataFrame, metric: str = "cosine")
     return pairs.select("query_id", "symbol_id", distance.alias("distance")).withColumn("score", distance_to_score(F.col("distance")))
 
 
+def score_all(embeddings: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(query_id, symbol_id, score, distance) of every vector of the query's length; others are skipped."""
+    return _pairs(embeddings, queries, metric, not _larger(queries, MAX_BATCH))
+
+
+def _packer(batches):
+    """mapInArrow function: rows of (id, vector) to blocks (dim, ids, block) of vectors of one length, as doubles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            lengths = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                rows = part.filter(pa.array(lengths == dim))
+                x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), ids, pa.array([x.tobytes()], pa.binary())], names=["dim", "ids", "block"])
+
+
+def _bounds(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the scores of all pairs, from one matrix product; they cover its rounding."""
+    dots, slack = q @ x.T, 4 * (q.shape[1] + 4) * np.finfo(np.float64).eps
+    qq, xx = np.einsum("ij,ij->i", q, q)[:, None], np.einsum("ij,ij->i", x, x)[None, :]
+    if metric == "cosine":
+        norm = np.sqrt(qq * xx)
+        c = np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
+        return c - slack, c + slack
+    d2, e = qq + xx - 2 * dots, slack * (qq + xx)
+    return 1 / (1 + np.sqrt(np.maximum(d2 + e, 0))), 1 / (1 + np.sqrt(np.maximum(d2 - e, 0)))
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Score and distance of the pairs (q[i], x[i])."""
+    if metric == "cosine":
+        norm = np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", x, x))
+        score = np.divide(np.einsum("ij,ij->i", q, x), norm, out=np.zeros(len(q)), where=norm > 0)
+        return score, 1 - score
+    distance = np.sqrt(np.einsum("ij,ij->i", q - x, q - x))
+    return 1 / (1 + distance), distance
+
+
+def _best(k: int, metric: str, digits: int, query_type: pa.DataType, symbol_type: pa.DataType):
+    """mapInArrow function: rows of (qids, qblock, ids, block, dim) to all hits of a block that can be among a query's k best.
+
+    Hits that equal the k-th best at ``digits`` stay; of hits of one score the k with the smallest ids are enough.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, qblock, ids, block, dim = (batch.column(c)[i].as_py() for c in range(5))
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                ids = [ids[j] for j in order]
+                x, q = np.frombuffer(block).reshape(-1, dim)[order], np.frombuffer(qblock).reshape(-1, dim)
+                n = len(x) - min(k, len(x))
+                for at in range(0, len(q), SLICE):
+                    part = q[at : at + SLICE]
+                    low, high = _bounds(part, x, metric)
+                    rows, cols = np.nonzero(high >= np.partition(low, n, axis=1)[:, n, None] - 1.01 * 10.0**-digits)
+                    found = [_scores(part[rows[s : s + 16384]], x[cols[s : s + 16384]], metric) for s in range(0, len(rows), 16384)]
+                    score, distance = (np.concatenate(y) for y in zip(*found))
+                    line = np.lexsort((cols, -score, rows))
+                    rows, cols, score, distance = rows[line], cols[line], score[line], distance[line]
+                    new = np.r_[True, (rows[1:] != rows[:-1]) | (score[1:] != score[:-1])]
+                    place = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+                    few = place < k
+                    out = [pa.array([qids[at + j] for j in rows[few]], query_type), pa.array([ids[j] for j in cols[few]], symbol_type), pa.array(score[few]), pa.array(distance[few])]
+                    yield pa.RecordBatch.from_arrays(out, names=["query_id", "symbol_id", "score", "distance"])
+
+    return run
+
+
+def block_hits(embeddings: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int = 9) -> DataFrame:
+    """(query_id, symbol_id, score, distance): of ``score_all`` those hits that ``top`` can keep, for a batch of any size. Neither side is gathered or broadcast; rows without a usable vector are skipped."""
+    salts = parallelism(embeddings.sparkSession)
+    query_type, symbol_type = queries.schema["query_id"].dataType, embeddings.schema["symbol_id"].dataType
+
+    def packed(df, key, of):
+        schema = StructType().add("dim", IntegerType()).add("ids", ArrayType(of)).add("block", BinaryType())
+        return df.where(usable(F.col("vector"))).select(key, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_packer, schema)
+
+    data = packed(embeddings.where("symbol_id is not null"), "symbol_id", symbol_type).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
+    asked = packed(queries, "query_id", query_type).select("dim", F.col("ids").alias("qids"), F.col("block").alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"))
+    met = data.join(asked.hint("shuffle_merge"), ["dim", "salt"]).select("qids", "qblock", "ids", "block", "dim")
+    hit = StructType().add("query_id", query_type).add("symbol_id", symbol_type).add("score", DoubleType()).add("distance", DoubleType())
+    return met.mapInArrow(_best(k, metric, digits, to_arrow_type(query_type), to_arrow_type(symbol_type)), hit)
+
+
 def top(hits: DataFrame, k: int, by: str = "score", key: str = "symbol_id", digits: int = 9) -> DataFrame:
     """The k best hits of each query with their ``place``, ties (at ``digits``) by ``key``; tasks pass on at most k rows a query."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col(by), digits)), key)
@@ -41,7 +148,9 @@ def top(hits: DataFrame, k: int, by: str = "score", key: str = "symbol_id", digi
 
 
 def vector_search(embeddings: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    return top(score_all(embeddings, queries, metric), k)
+    """The k best vectors of each query, for a batch of any size."""
+    large = _larger(queries, SMALL_BATCH)
+    return top(block_hits(embeddings, queries, k, metric) if large else _pairs(embeddings, queries, metric, True), k)
 
 
 def vector_search_filtered(embeddings: DataFrame, symbols: DataFrame, queries: DataFrame, k: int, condition: Column) -> DataFrame:

@@ -20,6 +20,13 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     return cut(first.select(F.row_number().over(Window.orderBy("symbol_id")).cast("long").alias("query_id"), "vector"))
 
 
+def every_fiftieth(spark: SparkSession, d: str) -> DataFrame:
+    """The whole asked batch: every full vector whose hashed symbol_id is divisible by 50, named by that id."""
+    full = corpus.embeddings(spark, d).where((F.size("vector") == 96) & F.exists("vector", lambda x: x != 0))
+    hashed = F.conv(F.substring(F.md5("symbol_id"), 1, 8), 16, 10).cast("long")
+    return cut(full.where(hashed % 50 == 0).select(F.col("symbol_id").alias("query_id"), "vector"))
+
+
 def _round(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.round(F.col(c), 6))
@@ -36,6 +43,16 @@ def vec_l2_topk(spark, d):
     return _round(hits.select("query_id", "symbol_id", F.col("place").cast("long").alias("place"), "score", "distance"), "score", "distance")
 
 
+def vec_cosine_topk_batch(spark, d):
+    hits = search.vector_search(corpus.embeddings(spark, d), every_fiftieth(spark, d), 10)
+    return _round(hits.select("query_id", "symbol_id", F.col("place").cast("long").alias("place"), "score", "distance"), "score", "distance")
+
+
+def vec_l2_topk_batch(spark, d):
+    hits = search.vector_search(corpus.embeddings(spark, d), every_fiftieth(spark, d), 10, "l2")
+    return _round(hits.select("query_id", "symbol_id", F.col("place").cast("long").alias("place"), "score", "distance"), "score", "distance")
+
+
 def vec_topk_filtered(spark, d):
     hits = search.vector_search_filtered(corpus.embeddings(spark, d), corpus.catalog(spark, d), query_vectors(spark, d), 10, F.col("exported") & F.col("kind").isin("func", "method"))
     return _round(hits.select("query_id", "symbol_id", F.col("place").cast("long").alias("place"), "score"), "score")
@@ -72,7 +89,7 @@ def vec_has_symbol(spark, d):
     return s.groupBy("kind").agg(F.count("*").alias("n")).join(has, "kind", "left").select("kind", "n", F.coalesce("with_vector", F.lit(0)).alias("with_vector"))
 
 
-QUERIES = {f.__name__: f for f in (vec_cosine_topk, vec_l2_topk, vec_topk_filtered, vec_topk_symbols, vec_pairwise_score, vec_dim_check, vec_has_symbol)}
+QUERIES = {f.__name__: f for f in (vec_cosine_topk, vec_l2_topk, vec_cosine_topk_batch, vec_l2_topk_batch, vec_topk_filtered, vec_topk_symbols, vec_pairwise_score, vec_dim_check, vec_has_symbol)}
 
 _C = cos("e.v", "q.qv")
 _L2 = "sqrt(list_sum(list_transform(list_zip(e.v, q.qv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
@@ -80,6 +97,9 @@ _TOP = f"""WITH {EMB}, {QVEC},
 s AS (SELECT query_id, symbol_id, {_C} AS score FROM emb e JOIN qvec q ON len(e.v) = len(q.qv)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, symbol_id) AS place FROM s)"""
 
+#: The same over every fiftieth vector by its hashed id.
+_Q50 = """qvec AS (SELECT symbol_id AS query_id, v AS qv FROM emb WHERE len(v) = 96 AND len(list_filter(v, lambda x: x <> 0)) > 0 AND ('0x' || substr(md5(symbol_id), 1, 8))::BIGINT % 50 = 0)"""
+
 ORACLE = {
     "vec_cosine_topk": f"{_TOP} SELECT query_id, symbol_id, place, round(score, 6) AS score, round(1 - score, 6) AS distance FROM r WHERE place <= 10",
     "vec_l2_topk": f"""WITH {EMB}, {QVEC},
@@ -97,3 +117,4 @@ SELECT vec_id, round(c, 6) AS cosine, round(l, 6) AS l2, round(1 - c, 6) AS cosi
 count(*) FILTER (WHERE len(vector) = dimension) AS agree, count(*) FILTER (WHERE len(vector) <> dimension) AS disagree FROM symbol_vectors GROUP BY model""",
     "vec_has_symbol": f"WITH {CAT}, {EMB} SELECT kind, count(*) AS n, count(e.symbol_id) AS with_vector FROM cat LEFT JOIN (SELECT DISTINCT symbol_id FROM emb) e ON cat.id = e.symbol_id GROUP BY kind",
 }
+ORACLE |= {f"{name}_batch": ORACLE[name].replace(QVEC, _Q50) for name in ("vec_cosine_topk", "vec_l2_topk")}

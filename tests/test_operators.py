@@ -3,6 +3,7 @@
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -66,6 +67,28 @@ def test_vector_search_skips_other_lengths(spark):
     assert [(r["symbol_id"], r["score"]) for r in rows] == [("a", 1.0), ("d", 1.0)]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_vector_search_takes_batches_of_any_size(spark, metric):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 3))
+    x[20:45] = x[20]  # more ties than hits are asked for
+    q = np.vstack([x, rng.standard_normal((search.MAX_BATCH - 50, 3))])
+    e = spark.createDataFrame([(f"s{i * 7 % 60:02}", v.tolist()) for i, v in enumerate(x)] + [("short", [1.0, 0.0])], "symbol_id string, vector array<double>")
+    batch = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>")
+    got = {}
+    for r in search.vector_search(e, batch, 10, metric).collect():
+        got.setdefault(r["query_id"], {})[r["place"]] = (r["symbol_id"], round(r["score"], 9))
+    assert len(got) == len(q)
+    names = [f"s{i * 7 % 60:02}" for i in range(60)]
+    for i, v in enumerate(q):
+        score = x @ v / np.sqrt((x * x).sum(1) * (v @ v)) if metric == "cosine" else 1 / (1 + np.sqrt(((x - v) ** 2).sum(1)))
+        want = sorted(zip(names, score.round(9)), key=lambda r: (-r[1], r[0]))[:10]
+        assert [got[i][p][0] for p in range(1, 11)] == [n for n, _ in want]
+    few = batch.where(f"query_id < {search.SMALL_BATCH}")
+    rows = {(r["query_id"], r["symbol_id"], r["place"]) for r in search.vector_search(e, few, 10, metric).collect()}
+    assert rows == {(i, got[i][p][0], p) for i in range(search.SMALL_BATCH) for p in range(1, 11)}
+
+
 def brute_pagerank(nodes, edges):
     out = {n: sum(a == n for a, _ in edges) for n in nodes}
     rank = dict.fromkeys(nodes, 1 / len(nodes))
