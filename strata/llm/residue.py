@@ -104,17 +104,34 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 
-#: Every phrase above that has no Chinese in it needs one of these words; they spare other messages the search.
-FILLER_WORDS = frozenset(
-    """sample dummy placeholder coming here add box supplied written announced completed lorem publishing construction follow insert text
-    tbd tba todo n none bla foo test asdf qwerty qwert asdfg asdfgh abc xyz untitled platzhalter platzhaltertext blindtext hier inhalt folgt beispieltext noch mustertext""".split()
+#: Every phrase above that has no Chinese in it holds one of these parts of words (or starts, or has a word, as named);
+#: they spare other messages the search. A test derives every form of the phrases and looks for them.
+FILLER_PARTS = tuple(
+    """sample dummy placeholder coming here add box supplied written announced completed lorem publishing construction follow insert
+    platzhalter blindtext hier inhalt folgt beispieltext noch mustertext""".split()
 )
-SCRIPT_WORDS = frozenset("javascript script scripts js browser skript skripte skripten".split())
-ERROR_WORDS = frozenset(
-    """found forbidden unauthorized gateway unavailable available error fehler gone time timeout find wrong blocked expired timed permission allowed authorised authorized maintenance down offline
-    unable exist followed again occurred denied many exceeded rendering failed executing parse fatal traceback directory render exception upstream notified asked deleted keeps address back reset
-    gefunden serverfehler verweigert wartungsarbeiten abgelaufen angeforderte erneut zurück verfügbar erreichbar anfragen berechtigung zeitüberschreitung""".split()
+FILLER_STARTS = ("tbd", "tba", "todo", "n/a", "na", "none", "bla", "foo", "test", "asdf", "qwert", "abc", "xyz", "placeholder", "untitled")
+SCRIPT_PARTS = ("script", "browser", "skript")
+ERROR_PARTS = tuple(
+    """found forbidden unauthorized bad gateway available error fehler gone timeout find wrong blocked expired timed permission allowed authori maintenance down offline
+    unable requested followed again denied many exceeded failed executing parse fatal traceback directory render exception upstream notified asked deleted keeps address back reset
+    gefunden verweigert wartungsarbeiten abgelaufen angeforderte erneut zurück verfügbar erreichbar anfragen berechtigung zeitüberschreitung""".split()
 )
+#: Chinese, and letters that match i or s whatever their case but are not lowered to them.
+_ALWAYS = re.compile("[\u4e00-\u9fff\u0130\u0131\u017f]")
+
+
+def may_be_filler(low: str) -> bool:
+    return low.startswith(FILLER_STARTS) or any(p in low for p in FILLER_PARTS) or bool(_ALWAYS.search(low))
+
+
+def may_be_scripts(low: str, words: list[str]) -> bool:
+    return any(p in low for p in SCRIPT_PARTS) or "js" in words or bool(_ALWAYS.search(low))
+
+
+def may_be_error(low: str) -> bool:
+    return any(p in low for p in ERROR_PARTS) or bool(_ALWAYS.search(low))
+
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1|```|\Z)")
 _QUOTED = re.compile(r'`[^`\n]*`|"[^"\n]{0,400}"|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|「[^」\n]{0,400}」|«[^»\n]{0,400}»|‘[^’\n]{0,400}’')
@@ -133,7 +150,6 @@ _MASKS = (
     (re.compile(r"\s+"), " "),
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_CJK = re.compile(r"[\u4e00-\u9fff]")
 _TAG = re.compile(r"</?(?:noscript|html|body|head|title|p|div|h[1-6]|span|br|center|hr|main|header|footer|nav|strong|em|b|i)\b[^<>]*>", re.I)
 MAX_MESSAGE = 300  #: masked messages longer than this are prose and never looked up by hash; they are still judged
 
@@ -158,21 +174,30 @@ _DUMMIES = frozenset("foo bar baz qux quux test abc xyz xxx asdf qwerty bla blah
 _SLOT_SIGN = re.compile(r"[{$#<%@\[【]|__|(?:CHANGE|REPLACE|FILL|FIX)_?ME|_HERE")
 
 
+def _share(words: list[str], test, enough) -> bool:
+    """Whether ``enough(words that pass, all words)``; stops once too many have failed."""
+    n = left = len(words)
+    for w in words:
+        if not test(w):
+            left -= 1
+            if not enough(left, n):
+                return False
+    return enough(left, n)
+
+
 def _mashed(words: list[str]) -> bool:
     """Keyboard mashing: few different words repeated, or letter runs that no word of a language has."""
     if len(words) >= 4 and (len(set(words)) <= 2 or _DUMMIES.issuperset(words)):
         return True
-    if len(words) > 12 and sum(1 for w in words[:12] if _ODD.fullmatch(w) or _HOME.fullmatch(w)) < 4:
-        return False
-    if len(words) >= 3 and sum(1 for w in words if _HOME.fullmatch(w)) >= 0.85 * len(words):
+    if len(words) >= 3 and _share(words, _HOME.fullmatch, lambda k, n: k >= 0.85 * n):
         return True
-    odd = sum(1 for w in words if _ODD.fullmatch(w))
-    return odd > 0.6 * len(words) and all(_LETTERS.fullmatch(w) for w in words)
+    return _share(words, _ODD.fullmatch, lambda k, n: k > 0.6 * n) and all(_LETTERS.fullmatch(w) for w in words)
 
 
 def judge(message: str, masked: str) -> str:
     """Class of a message: filler, error, scripts, furniture, or '' for anything else."""
-    words = _WORD.findall(message.lower())
+    low = message.lower()
+    words = _WORD.findall(low)
     if not words:
         return "furniture"
     if len(words) >= 2 and sum(w in LATIN for w in words) >= 0.9 * len(words) and any(len(w) > 4 for w in words):
@@ -185,12 +210,11 @@ def judge(message: str, masked: str) -> str:
         return "error"
     if "\x00" in message:  # a quotation: the sentence talks about something
         return ""
-    chinese = bool(_CJK.search(masked))
-    if (chinese or not FILLER_WORDS.isdisjoint(words)) and FILLER.search(message):
+    if may_be_filler(low) and FILLER.search(message):
         return "filler"
-    if (chinese or not SCRIPT_WORDS.isdisjoint(words)) and SCRIPTS.search(message) and not re.search(r"\bonly\b|nur\b|只有", masked):
+    if may_be_scripts(low, words) and SCRIPTS.search(message) and not re.search(r"\bonly\b|nur\b|只有", masked):
         return "scripts"
-    if (chinese or not ERROR_WORDS.isdisjoint(words)) and ERROR.search(message):
+    if may_be_error(low) and ERROR.search(message):
         return "error"
     return "filler" if _mashed(words) else ""
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import numpy as np
 import pytest
@@ -294,3 +295,51 @@ def test_recurring_furniture_is_no_content(spark):
     rows = [(i, page, f"s{i % 3}") for i in range(6)] + [(10, "An isolated remark\nPage not found", "s1")]
     got = {r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == set(range(6))
+
+
+def forms(parsed):
+    """Every form of a parsed pattern; classes and boundaries become a mark that is no letter, repeats their least number and one more."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "BRANCH":
+            more = [x for p in arg[1] for x in forms(p)]
+        elif op == "SUBPATTERN":
+            more = forms(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [x * n for x in forms(arg[2]) for n in {arg[0], min(arg[0] + 1, arg[1])}]
+        elif op == "AT":
+            more = [""] if "BEGINNING" in str(arg) else ["\x00"]
+        else:
+            assert op in ("IN", "ANY", "NOT_LITERAL"), op
+            # Words that start alike share their start, and what differs becomes a class.
+            letters = op == "IN" and all(str(o) == "LITERAL" for o, _ in arg)
+            more = [chr(x) for _, x in arg] if letters else ["\x00"]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+@pytest.mark.parametrize("name", ["FILLER", "SCRIPTS", "ERROR"])
+def test_every_phrase_is_searched(name):
+    pattern = getattr(residue, name)
+    may = {"FILLER": residue.may_be_filler, "SCRIPTS": lambda s: residue.may_be_scripts(s, residue._WORD.findall(s)), "ERROR": residue.may_be_error}[name]
+    found = set(forms(re._parser.parse(pattern.pattern, pattern.flags)))
+    assert len(found) > 50
+    assert [x for x in found if not may(x.lower())] == []
+
+
+MASHED = ["asdfg", "hjkl", "sdfg", "dfgh", "fghj", "ghjk", "asdfgh", "sdfghj", "dfghjk", "hjklk"]
+
+
+@pytest.mark.parametrize(
+    "message, kind",
+    [
+        ("400 Bad Request", "error"), ("HTTP/1.1 400 Bad Request", "error"), ("The requested document could not be loaded", "error"), ("The requested resource could not be loaded.", "error"), ("NA", "filler"), ("n/a", "filler"), ("qwertzuiop", "filler"), ("Asdfx", "filler"),
+        ("The system downgrades", "error"), ("Your texthere", ""), ("A badge of the requester is kept in the card.", ""),
+        (" ".join("the list of words was".split() + MASHED * 4), "filler"), ("The list keeps " + " ".join(MASHED[:2]) + " as names of two rows among many other words of the text", ""),
+    ],
+)
+def test_judged_messages(message, kind):
+    assert residue.judge(message, residue.mask(message)) == kind
