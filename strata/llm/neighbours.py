@@ -223,35 +223,73 @@ def similar_pairs(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim
     return found.select(F.least("symbol_id", "neighbour_id").alias("symbol_a"), F.greatest("symbol_id", "neighbour_id").alias("symbol_b")).distinct()
 
 
-def _packer(dim: int, rows: int):
-    """mapInArrow function: packs rows into blocks of unit vectors."""
+def _packer(dim: int, rows: int, copies: int = 0):
+    """mapInArrow function: packs rows of (symbol_id, model, vector) into blocks of one model: ``ids``, and ``at``, the vector of each id in the block.
+
+    With ``copies``, exact copies share one vector in the block, and of each only the ``copies`` smallest ids are kept.
+    """
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
                 models = part.column(part.schema.get_field_index("model")).to_pylist()
                 ids = part.column(part.schema.get_field_index("symbol_id")).to_pylist()
-                x = _unit(part, dim)
+                x = part.column(part.schema.get_field_index("vector")).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
                 for model in dict.fromkeys(models):
-                    pick = [i for i, m in enumerate(models) if m == model]
-                    yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([[ids[i] for i in pick]]), pa.array([x[pick].tobytes()], pa.binary())], names=["model", "ids", "block"])
+                    pick = sorted((i for i, m in enumerate(models) if m == model), key=ids.__getitem__)
+                    place: dict[bytes, int] = {}
+                    count: dict[bytes, int] = {}
+                    kept, at, lines = [], [], []
+                    for i in pick:
+                        v = x[i].tobytes() if copies else i
+                        if v not in place:
+                            place[v] = len(lines)
+                            lines.append(i)
+                        count[v] = count.get(v, 0) + 1
+                        if not copies or count[v] <= copies:
+                            kept.append(ids[i])
+                            at.append(place[v])
+                    yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([kept]), pa.array([at], pa.list_(pa.int32())), pa.array([x[lines].tobytes()], pa.binary())], names=["model", "ids", "at", "block"])
 
     return run
 
 
+def _units(block: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a block, their largest value 1, as doubles; and their unit vectors in single precision."""
+    x = np.frombuffer(block, np.float32).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+
+
 def _scanner(dim: int, k: int):
+    """mapInPandas function: the hits of a block of vectors that can be among a query's k most similar, itself left out.
+
+    Single precision only sorts out: every vector within its rounding of the (k + 1)-th best is scored in double.
+    """
+    margin = 4 * (dim + 4) * float(np.finfo(np.float32).eps)
+
     def run(batches):
         for pdf in batches:
-            for qids, qblock, ids, block in zip(pdf["qids"], pdf["qblock"], pdf["ids"], pdf["block"]):
-                q = np.frombuffer(qblock, np.float32).reshape(-1, dim)
-                x = np.frombuffer(block, np.float32).reshape(-1, dim)
-                s = q @ x.T
-                keep = min(k + 16, s.shape[1])  # room for itself and for ties in single precision
-                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                ids = np.asarray(ids, dtype=object)
-                exact = np.einsum("qd,qkd->qk", q.astype(np.float64), x[top].astype(np.float64))
-                yield pd.DataFrame({"symbol_id": np.repeat(np.asarray(qids, dtype=object), keep), "neighbour_id": ids[top].ravel(), "cosine": exact.ravel()}).query("symbol_id != neighbour_id")
+            for qids, qblock, ids, at, block in zip(pdf["qids"], pdf["qblock"], pdf["ids"], pdf["at"], pdf["block"]):
+                (q, q1), (x, x1) = _units(qblock, dim), _units(block, dim)
+                qq, xx = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+                qids, ids, at = np.asarray(qids, dtype=object), np.asarray(ids, dtype=object), np.asarray(at)
+                by = np.argsort(at, kind="stable")  # the ids of each vector, smallest first
+                first = np.searchsorted(at[by], np.arange(len(x) + 1))
+                n = len(x) - min(k + 1, len(x))
+                for start in range(0, len(q), 256):
+                    s = q1[start : start + 256] @ x1.T
+                    rows, cols = np.nonzero(s >= np.partition(s, n, axis=1)[:, n, None] - margin)
+                    rows += start
+                    exact = np.concatenate([np.einsum("ij,ij->i", q[rows[o : o + 16384]], x[cols[o : o + 16384]]) for o in range(0, len(rows), 16384)]) / np.sqrt(qq[rows] * xx[cols])
+                    size = first[cols + 1] - first[cols]
+                    which = by[np.repeat(first[cols], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+                    rows, exact = np.repeat(rows, size), np.repeat(exact, size)
+                    line = np.lexsort((which, -exact, rows))  # ids are sorted, so their places order them
+                    rows, which, exact = rows[line], which[line], exact[line]
+                    few = np.arange(len(rows)) - np.searchsorted(rows, rows) < k + 1
+                    yield pd.DataFrame({"symbol_id": qids[rows[few]], "neighbour_id": ids[which[few]], "cosine": exact[few]}).query("symbol_id != neighbour_id")
 
     return run
 
@@ -261,14 +299,15 @@ def search(vectors: DataFrame, k: int = 10, dim: int = 96, every: int = 50) -> D
 
     Queries are the rows whose hashed symbol_id is divisible by ``every`` (1 for all). This is the last step of
     virtual rehashing, at which every window covers its array: all rows are verified, in blocks. Query blocks are
-    spread over as many salts as there are partitions; neither side is gathered or broadcast.
+    spread over as many salts as there are partitions; neither side is gathered or broadcast. Exact copies are searched
+    once a block and get their places by id.
     """
     spark = vectors.sparkSession
     usable = usable_vectors(vectors, dim)
     salts = parallelism(spark)
-    data = usable.mapInArrow(_packer(dim, 8192), "model string, ids array<string>, block binary").withColumn("salt", F.pmod(F.hash(F.col("ids")[0]), F.lit(salts)))
-    queries = usable.where(F.pmod(F.xxhash64("symbol_id"), F.lit(every)) == 0).mapInArrow(_packer(dim, 2048), "model string, ids array<string>, block binary")
+    data = usable.mapInArrow(_packer(dim, 8192, k + 1), "model string, ids array<string>, at array<int>, block binary").withColumn("salt", F.pmod(F.hash(F.col("ids")[0]), F.lit(salts)))
+    queries = usable.where(F.pmod(F.xxhash64("symbol_id"), F.lit(every)) == 0).mapInArrow(_packer(dim, 2048), "model string, ids array<string>, at array<int>, block binary")
     queries = queries.select("model", F.col("ids").alias("qids"), F.col("block").alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    scored = data.join(queries, ["model", "salt"]).select("qids", "qblock", "ids", "block").mapInPandas(_scanner(dim, k), "symbol_id string, neighbour_id string, cosine double")
+    scored = data.join(queries, ["model", "salt"]).select("qids", "qblock", "ids", "at", "block").mapInPandas(_scanner(dim, k), "symbol_id string, neighbour_id string, cosine double")
     place = F.row_number().over(Window.partitionBy("symbol_id").orderBy(F.desc("cosine"), "neighbour_id"))
     return scored.withColumn("position", place).where(F.col("position") <= k)

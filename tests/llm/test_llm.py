@@ -86,6 +86,31 @@ def test_search_is_exact(spark):
     assert got == brute(rows, 10, -1.0)
 
 
+def test_search_orders_ties_by_id(spark):
+    rng = np.random.default_rng(6)
+    hot, near = rng.standard_normal(96).astype(np.float32), rng.standard_normal(96)
+    names = rng.permutation(400)
+    rows = [(f"r{i:03}", rng.standard_normal(96).astype(np.float32).tolist(), "m", 1) for i in names[:200]]
+    rows += [(f"r{i:03}", hot.tolist(), "m", 1) for i in names[200:300]]  # far more copies than places
+    rows += [(f"r{i:03}", (near + 1e-5 * rng.standard_normal(96)).astype(np.float32).tolist(), "m", 1) for i in names[300:]]  # equal in single precision
+    got = {}
+    for r in neighbours.search(vectors(spark, rows).coalesce(1), 10, every=1).collect():
+        got.setdefault(r["symbol_id"], {})[r["position"]] = r["neighbour_id"]
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c, at = x @ x.T, {r[0]: i for i, r in enumerate(rows)}
+    copies = sorted(r[0] for r in rows[200:300])
+    for a, places in got.items():
+        assert sorted(places) == list(range(1, 11))
+        if a in copies:
+            assert [places[p] for p in range(1, 11)] == [b for b in copies if b != a][:10]
+        else:
+            others = [b for b in at if b != a]
+            tenth = sorted((c[at[a], at[b]] for b in others), reverse=True)[9]
+            assert min(c[at[a], at[b]] for b in places.values()) >= tenth - 1e-14
+    assert len(got) == len(rows)
+
+
 # ---- 4: code and comments --------------------------------------------------------------------------------------
 SOURCE = '''package x
 
