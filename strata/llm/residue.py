@@ -151,7 +151,6 @@ _MASKS = (
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"</?(?:noscript|html|body|head|title|p|div|h[1-6]|span|br|center|hr|main|header|footer|nav|strong|em|b|i)\b[^<>]*>", re.I)
-MAX_MESSAGE = 300  #: masked messages longer than this are prose and never looked up by hash; they are still judged
 
 
 def normalise(text: str) -> str:
@@ -204,8 +203,6 @@ def judge(message: str, masked: str) -> str:
         return "filler"
     if len(masked) < 160 and FURNITURE.search(masked):
         return "furniture"
-    if len(masked) > MAX_MESSAGE:
-        return "filler" if _mashed(words) else ""
     if re.match(r"\W*(?:template: |render(?:ing)? failed\b|fatal: |traceback\b)", masked):
         return "error"
     if "\x00" in message:  # a quotation: the sentence talks about something
@@ -305,7 +302,7 @@ def messages(text: str) -> tuple[bool, list[tuple[int, int, int, str]]]:
             sentences = [x for x in _SENTENCE.split(line) if x.strip()] if len(line) > 12 else [line]
             parts = [(x, m, judge(x, m)) for x in sentences for m in (mask(x),)]
             for s, m, k in parts:
-                out.append((n, xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) - (1 << 63) if len(m) <= MAX_MESSAGE else 0, k))
+                out.append((n, xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) - (1 << 63) or 1, k))
     return slot, out
 
 
@@ -331,7 +328,7 @@ def _scan(batches):
 
 
 def scan_messages(documents: DataFrame) -> DataFrame:
-    """One row per message of every text: (doc_id, source, unit, hash, kind, suspect, first); a slot is a row of unit -1. Hash 0 marks messages too long to recur, first the first place of a hash in its text."""
+    """One row per message of every text: (doc_id, source, unit, hash, kind, suspect, first); a slot is a row of unit -1. Hash 0 marks code and mashed units, first the first place of a hash in its text."""
     src = F.lower(F.regexp_replace(F.trim(F.coalesce(F.col("source"), F.lit(""))), r"[\s_-]+", "-"))
     return spread(documents.where("doc_id is not null").select("doc_id", src.alias("source"), "text")).mapInPandas(_scan, "doc_id long, source string, unit int, hash long, kind string, suspect boolean, first boolean")
 

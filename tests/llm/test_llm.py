@@ -368,3 +368,17 @@ MASHED = ["asdfg", "hjkl", "sdfg", "dfgh", "fghj", "ghjk", "asdfgh", "sdfghj", "
 )
 def test_judged_messages(message, kind):
     assert residue.judge(message, residue.mask(message)) == kind
+
+
+LONG = "the card of the northern zebra portal lists its parts and shelves and keeps them in the order of their labels " * 4
+
+
+def test_long_messages_are_judged_and_recur(spark):
+    message = "The requested page could not be loaded, " + LONG
+    assert residue.judge(message, residue.mask(message)) == "error"
+    assert residue.judge(LONG, residue.mask(LONG)) == ""
+    chinese = "页面不存在，" + "请从目录中选择其他条目并核对名称，" * 30
+    assert residue.judge(chinese, residue.mask(chinese)) == "error"
+    rows = [(i, LONG + "\nPage not found", f"s{i % 3}") for i in range(6)] + [(9, "An isolated remark " + LONG + "\nPage not found", "s1"), (10, message, "s1"), (11, LONG, "s1")]
+    got = {r["doc_id"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {*range(6), 10}
