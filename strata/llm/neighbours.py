@@ -1,16 +1,15 @@
 """Most similar vectors for every vector (problem 1).
 
-Method: collision-counting hashing. Every random projection is one array sorted by the projected value; a vector's
-window in an array is centred on it, and two vectors collide in the arrays whose windows hold both. Pairs that
-collide in at least ``threshold`` arrays are verified by their exact cosine.
-
-Windows are counted where they are informative. In the middle of an array a window wide enough for seven in ten of the
-wanted pairs also holds a third of all rows (at cosine 0.85 distances differ by a factor of 2.4 only), so counting
-there costs more than comparing all pairs. At the ends of an array the same window holds few rows. Each vector
-therefore counts only the ``windows`` arrays in which it lies farthest out; virtual rehashing widens these windows
-(more arrays, deeper ends) as ``windows`` grows, and at its end, when the windows cover the arrays, every row
-is verified (``search``). The number of arrays grows with the square root of the rows, so that the rows in a pair of
-windows stay about ``GROUP``; projections are the only cost above linear and stay small.
+Method: buckets of extreme random projections, in place of collision counting over sorted arrays. No array is sorted,
+no window is centred on a query and nothing is widened by virtual rehashing: every vector is put into the ends of the
+``windows`` projections in which it lies farthest out, and two vectors that share two such ends are verified by their
+exact cosine. ``search`` stands apart and compares all rows.
+
+Windows centred anywhere in an array cannot pay on these vectors: one wide enough for seven in ten of the wanted pairs
+also holds a third of all rows (at cosine 0.85 distances differ by a factor of 2.4 only), so counting there costs more
+than comparing all pairs. At the ends of an array the same width holds few rows. The number of arrays grows with the
+square root of the rows, so that the rows in a pair of ends stay about ``GROUP``, while ``windows`` is fixed: recall
+falls slowly as the rows grow (figures in the README). Projections are the only cost above linear and stay small.
 
 So that collisions below the threshold are never produced, rows are grouped by pairs of arrays (threshold 2). A
 128-bit sign sketch of each vector travels along and discards most of the remaining pairs before verification.
@@ -71,7 +70,7 @@ def _verifier(least: float, dim: int):
 
 
 def arrays_for(n: int, windows: int = WINDOWS) -> int:
-    """Number of sorted arrays for ``n`` rows: two ends each, ``windows`` ends per row, GROUP rows per pair of ends."""
+    """Number of projections (arrays) for ``n`` rows: two ends each, ``windows`` ends per row, GROUP rows per pair of ends."""
     return min(32_000, max(MIN_ARRAYS, math.ceil(windows / 2 * math.sqrt(max(n, 1) / GROUP))))
 
 
@@ -169,7 +168,7 @@ def _meeting(slack: int):
 
 
 def colliding_pairs(vectors: DataFrame, arrays: int, fit: tuple[np.ndarray, np.ndarray], dim: int = 96, windows: int = WINDOWS) -> DataFrame:
-    """(a, b, collisions), a < b: ids of the vectors that share at least two windows and whose sketches agree; collisions counts shared pairs of windows."""
+    """(a, b, collisions), a < b: ids of the vectors that share at least two ends and whose sketches agree; collisions counts shared pairs of ends and is not used further."""
     hashed = vectors.select("id", F.hash("model").alias("model32"), "vector").mapInArrow(_hasher(dim, arrays, windows, *fit), "id long, keys array<long>, s1 long, s2 long")
     keyed = hashed.select(F.explode("keys").alias("key"), "id", "s1", "s2").repartition("key").sortWithinPartitions("key")
     met = keyed.mapInArrow(_meeting(SKETCH_SLACK), "a long, b long").where("a <> b")
@@ -186,8 +185,8 @@ def copies(vectors: DataFrame) -> DataFrame:
 def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim: int = 96, windows: int = WINDOWS) -> DataFrame:
     """(symbol_id, neighbour_id, cosine): of every symbol, those of its k most similar symbols of the same model that have at least ``min_cosine``.
 
-    Windows are widened until a pair of ``min_cosine`` is expected to share two of them in 99 of 100 cases; pairs below
-    it are not sought (``search`` has no such bound).
+    ``windows`` and SKETCH_SLACK are set for pairs of at least 0.85 and don't follow ``min_cosine``: single pairs are
+    missed (README), more of them the lower ``min_cosine`` is below 0.85. ``search`` has no such bound and misses none.
     """
     n = vectors.count()
     arrays = arrays_for(n, windows)
@@ -297,8 +296,8 @@ def _scanner(dim: int, k: int):
 def search(vectors: DataFrame, k: int = 10, dim: int = 96, every: int = 50) -> DataFrame:
     """(symbol_id, neighbour_id, cosine, position): the k most similar symbols of each query, against all rows and with no bound on similarity.
 
-    Queries are the rows whose hashed symbol_id is divisible by ``every`` (1 for all). This is the last step of
-    virtual rehashing, at which every window covers its array: all rows are verified, in blocks. Query blocks are
+    Queries are the rows whose hashed symbol_id is divisible by ``every`` (1 for all). All rows are
+    verified, in blocks. Query blocks are
     spread over as many salts as there are partitions; neither side is gathered or broadcast. Exact copies are searched
     once a block and get their places by id.
     """
