@@ -25,6 +25,7 @@ def _ends(spark, d):
 
 
 def sym_find_by_name(spark, d):
+    """Symbols of the stated names: the first 20 over all names together, as its SQL states, not 20 of each name."""
     s = _catalog(spark, d).where(F.col("name").isin(*NAMES)).select("name", "package_path", "kind", "id", "repo_path")
     return s.orderBy("package_path", "kind", "name", "id").limit(20)
 
