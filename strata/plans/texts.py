@@ -25,6 +25,7 @@ def fts_tokens(spark, d):
 
 
 def fts_df(spark, d):
+    """Document frequencies of the terms in at least 5 documents, as its SQL states; rarer terms are left out, so the share lost depends on the table's size."""
     return fts.document_frequencies(fts.postings(_docs(spark, d), "doc_id", ["text"])).where("n >= 5")
 
 
