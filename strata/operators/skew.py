@@ -40,6 +40,23 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], share: float, width: int =
     return maybe.groupBy(*keys).agg(F.count("*").alias("n"), F.first("total").alias("total")).where(F.col("n") >= share * F.col("total"))
 
 
+def heavy_values(rows: DataFrame, key: str, share: float, width: int = SKETCH_WIDTH) -> list:
+    """The at most 1/share values of ``key`` that hold at least ``share`` of ``rows``, on the driver.
+
+    One pass counts the rows per bucket (two hashes, at most 2 ``width`` figures); only if a bucket is that full are its
+    keys counted. Null is no value.
+    """
+    h1, h2 = F.pmod(F.xxhash64(key), F.lit(width)).cast("int"), F.pmod(F.hash(key), F.lit(width)).cast("int")
+    known = rows.where(F.col(key).isNotNull()).select(key, h1.alias("h1"), h2.alias("h2"))
+    counts = known.groupBy("h1", F.lit(0).alias("w")).agg(F.count("*").alias("n")).unionByName(known.groupBy(F.col("h2").alias("h1"), F.lit(1).alias("w")).agg(F.count("*").alias("n"))).collect()
+    total = sum(r["n"] for r in counts) / 2
+    full = [[r["h1"] for r in counts if r["w"] == w and r["n"] >= share * total] for w in (0, 1)]
+    if not total or not full[0] or not full[1]:
+        return []
+    maybe = known.where(F.col("h1").isin(full[0]) & F.col("h2").isin(full[1])).groupBy(key).agg(F.count("*").alias("n"))
+    return [r[key] for r in maybe.where(F.col("n") >= share * total).collect()]
+
+
 def skew_join(rows: DataFrame, attributes: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """``rows`` left joined with ``attributes`` on ``key`` (one row per key there) without a task that holds a heavy key.
 
