@@ -80,14 +80,34 @@ pairs AS (SELECT a.symbol_id AS s, b.symbol_id AS t, list_cosine_similarity(a.v,
 best AS (SELECT s, t, c, row_number() OVER (PARTITION BY s ORDER BY c DESC, t) AS rn FROM pairs)
 SELECT DISTINCT least(s, t) AS symbol_a, greatest(s, t) AS symbol_b FROM best WHERE rn <= 10 AND c >= 0.85"""
 
-ORACLE = {
-    "p5_found": """
-WITH latest AS (
+_PRESENT = """
+latest AS (
   SELECT query_id, symbol_id, vector, keyword, graph FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY scored_at DESC NULLS LAST) AS rn FROM search_hits WHERE query_id IS NOT NULL AND symbol_id IS NOT NULL)
   WHERE rn = 1),
 present AS (
-  SELECT query_id, symbol_id, CASE WHEN NOT isnan(vector) THEN vector END AS v, CASE WHEN NOT isnan(keyword) THEN keyword END AS k, CASE WHEN NOT isnan(graph) THEN graph END AS g FROM latest),
+  SELECT query_id, symbol_id, CASE WHEN NOT isnan(vector) THEN vector END AS v, CASE WHEN NOT isnan(keyword) THEN keyword END AS k, CASE WHEN NOT isnan(graph) THEN graph END AS g FROM latest)"""
+
+
+def _each(text: str) -> str:
+    return ", ".join(text.format(c=c) for c in "vkg")
+
+
+ORACLE = {
+    "p5_ranking": f"""
+WITH {_PRESENT},
+ends AS (SELECT query_id, {_each("quantile_disc({c}, 0.05) AS lo_{c}, quantile_disc({c}, 0.95) AS hi_{c}")} FROM present GROUP BY query_id),
+clipped AS (SELECT p.query_id, p.symbol_id, {_each("CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, lo_{c}), hi_{c}) END AS {c}")} FROM present p JOIN ends e ON p.query_id = e.query_id),
+figures AS (SELECT query_id, {_each("sqrt(sum({c} * {c})) AS l_{c}, max({c}) AS b_{c}, min({c}) AS a_{c}")} FROM clipped GROUP BY query_id),
+spans AS (
+  SELECT c.query_id, c.symbol_id,
+         sqrt({" + ".join(f"CASE WHEN l_{c} > 0 THEN power((coalesce({c}, a_{c}) - b_{c}) / l_{c}, 2) ELSE 0 END" for c in "vkg")}) AS far,
+         sqrt({" + ".join(f"CASE WHEN l_{c} > 0 THEN power((coalesce({c}, a_{c}) - a_{c}) / l_{c}, 2) ELSE 0 END" for c in "vkg")}) AS near
+  FROM clipped c JOIN figures f ON c.query_id = f.query_id),
+closeness AS (SELECT query_id, symbol_id, CASE WHEN near > 0 THEN 1 / (1 + far / near) WHEN far > 0 THEN 0.0 ELSE 0.5 END AS closeness FROM spans)
+SELECT query_id, symbol_id, round(closeness, 9) AS closeness, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, symbol_id) AS position FROM closeness""",
+    "p5_found": f"""
+WITH {_PRESENT},
 ranked AS (
   SELECT *, rank() OVER (PARTITION BY query_id ORDER BY v DESC NULLS LAST) AS rv, rank() OVER (PARTITION BY query_id ORDER BY k DESC NULLS LAST) AS rk, rank() OVER (PARTITION BY query_id ORDER BY g DESC NULLS LAST) AS rg FROM present)
 SELECT query_id, symbol_id FROM ranked WHERE v IS NOT NULL AND k IS NOT NULL AND g IS NOT NULL AND rv <= 10 AND rk <= 10 AND rg <= 10""",

@@ -221,6 +221,27 @@ def test_unanimous_counts_ties_at_the_better_place(spark):
     assert got == want
 
 
+def test_heavy_queries_take_another_way_to_the_same_rows(spark):
+    rng = np.random.default_rng(8)
+    some = lambda: None if rng.random() < 0.1 else float(round(rng.random(), 2))
+    rows = [hit(q, f"s{i:03}", some(), some(), some()) for q, n in ((1, 300), (2, 40), (3, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, HIT)
+    key = lambda r: (r["query_id"], r["symbol_id"], round(r["closeness"], 9), r["closeness_rank"], r["position"])
+    assert ideal_point.heavy_queries(df, 0.5) == [1] and ideal_point.heavy_queries(df.limit(0), 0.5) == []
+    ordinary = sorted(map(key, ideal_point.ideal_point_ranking(df, share=2.0).collect()))
+    assert len(ordinary) == 345 and ordinary == sorted(map(key, ideal_point.ideal_point_ranking(df, share=0.5).collect()))
+    assert sorted(map(key, ideal_point.unanimous(df, 10, 2.0).collect())) == sorted(map(key, ideal_point.unanimous(df, 10, 0.5).collect()))
+
+
+def test_unanimous_hits_stand_within_the_depth_of_the_ranking(spark):
+    rng = np.random.default_rng(9)
+    rows = [hit(q, f"s{i:03}", *map(float, np.round(rng.random(3) ** 3 + 0.4 * rng.random(), 1))) for q in range(60) for i in range(45)]
+    for k in (1, 3, 10):
+        found = {(r["query_id"], r["symbol_id"]) for r in ideal_point.unanimous(spark.createDataFrame(rows, HIT), k).collect()}
+        want = {(r[0], r[1]) for r in rows if all(sum(o[c] > r[c] for o in rows if o[0] == r[0]) < k for c in (2, 3, 4))}
+        assert found == want and (want or k == 1)
+
+
 # ---- 6: packing ------------------------------------------------------------------------------------------------
 DOC = "doc_id long, text string, source string, tokens string, piece string"
 
