@@ -2,7 +2,8 @@
 
 Method: each document gets a hash-random key, sources are ordered by it in ranges, token counts are summed up by
 distributed prefix sums, and each source is cut at its exact budget; a source smaller than its budget is repeated in
-epochs. Hash-random keys are uniform, so equal ranges of the key are even without sampling, however large a source.
+epochs. Hash-random keys are uniform, so equal ranges of the key are even without sampling, however large a source;
+their number follows the number of rows.
 
 The size of a mix is the largest for which every source meets its share within ``max_repeats`` (the scarcest source
 decides), or ``total_tokens`` where given; then a source short of documents is used up and the report shows it.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from strata.common import cut
 from strata.llm.tokens import VOCABULARY, token_counts
 
-RANGES = 256  #: key ranges per source
+RANGE_ROWS = 50_000  #: rows of a key range, about: what one task sorts and sums up
+BUDGET_SALTS = 16  #: ways in which a source's rows meet its budgets
 
 
 def source_name(c: Column) -> Column:
@@ -46,11 +48,14 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return share.withColumn("budget", F.least(wanted, F.col("available") * F.col("max_repeats")).cast("long")).select("mix_name", "source", "target_share", "share", "max_repeats", "available", "budget")
 
 
-def with_prefix(sizes: DataFrame, seed: int = 0, ranges: int = RANGES) -> DataFrame:
-    """``sizes`` (doc_id, source, tokens) with ``before``: the tokens of the source's documents earlier in hash-random order."""
-    rand = F.xxhash64("doc_id", F.lit(seed))
-    keyed = sizes.withColumn("_key", rand).withColumn("_range", F.pmod(F.shiftrightunsigned("_key", 40), F.lit(ranges)).cast("int"))
-    sums = keyed.groupBy("source", "_range").agg(F.sum("tokens").alias("t"))  # at most ``ranges`` rows a source
+def with_prefix(sizes: DataFrame, seed: int = 0, ranges: int | None = None) -> DataFrame:
+    """``sizes`` (doc_id, source, tokens) with ``before``: the tokens of the source's documents earlier in hash-random order.
+
+    Ranges are the upper bits of the key, so they follow each other in the order of the key; ``ranges`` is rounded up to a power of two.
+    """
+    bits = (max(ranges or sizes.count() // RANGE_ROWS, 2) - 1).bit_length()
+    keyed = sizes.withColumn("_key", F.xxhash64("doc_id", F.lit(seed))).withColumn("_range", F.shiftright("_key", 64 - bits).cast("long"))
+    sums = keyed.groupBy("source", "_range").agg(F.sum("tokens").alias("t"))  # one row per range and source
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offset = sums.select("source", "_range", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +65,7 @@ def with_prefix(sizes: DataFrame, seed: int = 0, ranges: int = RANGES) -> DataFr
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of all non-blank texts that have a source, counted once and kept in the shared folder."""
     named = documents.select("doc_id", "source", "text").withColumn("source", source_name(F.col("source"))).where("source is not null and source <> ''")
-    return cut(token_counts(named, "source", vocabulary=vocabulary).select("doc_id", "source", F.col("tokens").cast("long").alias("tokens")))
+    return cut(token_counts(named, "source", vocabulary=vocabulary, prompts=False).select("doc_id", "source", F.col("tokens").cast("long").alias("tokens")))
 
 
 def select(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
@@ -72,9 +77,8 @@ def select(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None
     budgets = plan(sizes, targets, total_tokens).where("budget > 0").select("mix_name", "source", "available", "budget", "max_repeats")
     # One row per mix and source: the documents are the large side and meet it by a hash join; a large source is
     # spread by its ranges' salts.
-    salts = 16
-    spread = budgets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = with_prefix(sizes, seed).withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(spread, ["source", "_salt"])
+    spread = budgets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BUDGET_SALTS - 1))))
+    rows = with_prefix(sizes, seed).withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(BUDGET_SALTS))).join(spread, ["source", "_salt"])
     full = F.floor(F.col("budget") / F.col("available"))
     rest = F.col("budget") - full * F.col("available")
     part = (F.col("before") + F.col("tokens") / 2 <= rest) & (rest > 0) & (full < F.col("max_repeats"))
@@ -87,3 +91,12 @@ def report(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None
     joined = plan(sizes, targets, total_tokens).join(used, ["mix_name", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
     mix = F.sum("actual_tokens").over(Window.partitionBy("mix_name"))
     return joined.withColumn("actual_share", F.when(mix > 0, F.col("actual_tokens") / mix).otherwise(0.0)).withColumn("epochs", F.when(F.col("available") > 0, F.col("actual_tokens") / F.col("available")).otherwise(0.0))
+
+
+def target_report(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """(mix_name, source, target_share, documents, within_repeats, on_budget) of each target: whether no document is used more than max_repeats times and the tokens used are within one document of the budget."""
+    used = select(sizes, targets, None, seed).groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most"))
+    stock = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.max("tokens").alias("largest"))
+    all_of = plan(sizes, targets).join(used, ["mix_name", "source"], "left").join(stock, "source", "left")
+    off = F.abs(F.coalesce("used", F.lit(0)) - F.col("budget"))
+    return all_of.select("mix_name", "source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (off <= F.coalesce("largest", F.lit(0))).alias("on_budget"))

@@ -28,7 +28,8 @@ from strata.llm.tokens import VOCABULARY, token_counts
 SHARD_ITEMS = 3072  #: items that one call packs, about
 SLACK = 0.06
 MAX_BUDGETS = 64
-TOKENS_PER_SEGMENT = 16  #: a container of capacity c takes c / 16 segments, attention masks grow with them
+TOKENS_PER_SEGMENT = 32  #: default: a container of capacity c takes c / 32 segments, attention masks grow with them
+LOSS_SHARE = 0.95  #: default: of a container's capacity at most this share bears loss, the rest is left to prompts
 
 PLACED = "budget_name string, capacity int, container string, doc_id long, piece int, tokens int, loss_tokens int, place int"
 
@@ -44,40 +45,40 @@ def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int,
     left = np.diff(np.append(start, len(t)))  # items left of each class
     taken = np.zeros(len(start), np.int64)
     demand = np.stack([t[start], np.ones(len(start), np.int64), l[start]], axis=1)
+    share = demand / limits
     alive = np.flatnonzero(left > 0)
     out: list[list[int]] = []
     while len(alive):
         room = np.array([capacity, max_segments, max_loss], dtype=np.int64)
         one: list[int] = []
-        while True:
-            d = demand[alive]
-            fits = (d[:, 0] <= room[0]) & (d[:, 1] <= room[1]) & (d[:, 2] <= room[2])
+        open_for = alive  # room only shrinks: what does not fit now never fits this container
+        while len(open_for):
+            d = demand[open_for]
+            fits = (d <= room).all(axis=1)
             if not one:
                 fits |= d[:, 2] > max_loss  # alone in its container
-            if not fits.any():
+            open_for = open_for[fits]
+            if not len(open_for):
                 break
-            score = np.where(fits, (d / limits) @ (room / limits), -1.0)
-            c = alive[int(score.argmax())]
-            # Equal items go on fitting until the room is used up or another class scores higher; one at a time keeps to the heuristic.
+            c = int(open_for[int((share[open_for] @ (room / limits)).argmax())])
             one.append(int(order[start[c] + taken[c]]))
             taken[c] += 1
             left[c] -= 1
             room -= demand[c]
             if not left[c]:
                 alive = alive[alive != c]
-                if not len(alive):
-                    break
+                open_for = open_for[open_for != c]
             if room[2] < 0:
                 break
         out.append(one)
     return out
 
 
-def _pack_shard(round_no: int):
+def _pack_shard(round_no: int, tokens_per_segment: int, loss_share: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "loss_tokens", "doc_id", "piece"], ascending=False, kind="stable").reset_index(drop=True)
         capacity = int(pdf["capacity"].iloc[0])
-        bins = fill(pdf["tokens"].to_numpy(), pdf["loss_tokens"].to_numpy(), capacity, max(1, capacity // TOKENS_PER_SEGMENT), capacity)
+        bins = fill(pdf["tokens"].to_numpy(), pdf["loss_tokens"].to_numpy(), capacity, max(1, capacity // tokens_per_segment), max(1, int(capacity * loss_share)))
         container = np.empty(len(pdf), dtype=object)
         place = np.zeros(len(pdf), np.int32)
         for n, members in enumerate(bins):
@@ -112,8 +113,11 @@ def items(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return cut_up.select("budget_name", "capacity", "doc_id", "piece", size.cast("int").alias("tokens"), loss.cast("int").alias("loss_tokens"))
 
 
-def pack(documents: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(budget_name, capacity, container, doc_id, piece, tokens, loss_tokens, place): every item of every budget in exactly one container."""
+def pack(documents: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY, tokens_per_segment: int = TOKENS_PER_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
+    """(budget_name, capacity, container, doc_id, piece, tokens, loss_tokens, place): every item of every budget in exactly one container.
+
+    A container of capacity c takes at most c tokens, c / ``tokens_per_segment`` items and c * ``loss_share`` loss-bearing tokens.
+    """
     sizes = cut(token_counts(documents, vocabulary=vocabulary))
     every = items(sizes, budgets)
     full = F.col("tokens") == F.col("capacity")
@@ -122,7 +126,7 @@ def pack(documents: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY)
     n = sizes.count()
     shard: Column = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_shards(n))).cast("int")
     spread = lambda df, by: df.withColumn("shard", by).groupBy("budget_name", "shard")
-    first = cut(spread(rest, shard).applyInPandas(_pack_shard(1), PLACED))
+    first = cut(spread(rest, shard).applyInPandas(_pack_shard(1, tokens_per_segment, loss_share), PLACED))
     used = first.groupBy("container").agg(F.sum("tokens").alias("used"), F.max("capacity").alias("c"))
     poor = used.where(F.col("used") < (1 - SLACK) * F.col("c")).select("container", F.lit(True).alias("poor"))
     marked = first.join(poor, "container", "left")
@@ -131,7 +135,7 @@ def pack(documents: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY)
     # Only the poorly filled containers' items are left; their number sets the shards of the second round.
     left = again.groupBy("budget_name").count().agg(F.max("count")).first()[0] or 0
     shard2 = F.pmod(F.xxhash64("doc_id", "piece", F.lit(2)), F.lit(_shards(left))).cast("int")
-    second = spread(again, shard2).applyInPandas(_pack_shard(2), PLACED)
+    second = spread(again, shard2).applyInPandas(_pack_shard(2, tokens_per_segment, loss_share), PLACED)
     return filled.unionByName(good.select(*filled.columns)).unionByName(second.select(*filled.columns))
 
 
@@ -140,3 +144,15 @@ def fill_report(packed: DataFrame) -> DataFrame:
     per = packed.groupBy("budget_name", "capacity", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     total = per.groupBy("budget_name", "capacity").agg(F.count("*").alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"))
     return total.withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity"))).withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity")))
+
+
+def placement_report(packed: DataFrame) -> DataFrame:
+    """(budget_name, texts, placed_once, over_full, split_needlessly): what has to hold for every packing. A text is placed once if its pieces are numbered through and each is in one container."""
+    texts = packed.groupBy("budget_name", "doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("tokens").alias("t"), F.max("capacity").alias("capacity")
+    )
+    needed = F.ceil(F.col("t") / F.col("capacity"))
+    once = (F.col("n") == F.col("pieces")) & (F.col("last") + 1 == F.col("n"))
+    by_text = texts.groupBy("budget_name").agg(F.count("*").alias("texts"), F.count(F.when(once, 1)).alias("placed_once"), F.count(F.when(F.col("n") > needed, 1)).alias("split_needlessly"))
+    full = packed.groupBy("budget_name", "container").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c")).groupBy("budget_name").agg(F.count(F.when(F.col("t") > F.col("c"), 1)).alias("over_full"))
+    return by_text.join(full, "budget_name").select("budget_name", "texts", "placed_once", "over_full", "split_needlessly")

@@ -45,6 +45,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents"), table(spark, d, "token_budgets")))
 
 
+def p6_placement(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the packing, beside the same figures from the texts."""
+    return packing.placement_report(packing.pack(table(spark, d, "documents"), table(spark, d, "token_budgets")))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
@@ -53,6 +58,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
+def p7_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the mix, beside the same figures from the tables."""
+    return mixing.target_report(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).withColumn("target_share", F.round("target_share", 9))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).select("doc_id")
 
@@ -61,7 +71,7 @@ def p8_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return residue.split_residue(table(spark, d, "documents")).select("doc_id", "kept", "reason")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top10, p4_found, p4_symbol_pairs, p4_file_pairs, p5_found, p5_ranking, p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_verdicts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top10, p4_found, p4_symbol_pairs, p4_file_pairs, p5_found, p5_ranking, p6_pack, p6_report, p6_placement, p7_mix, p7_report, p7_targets, p8_found, p8_verdicts)}
 
 _USABLE = """
 usable AS (
@@ -93,7 +103,18 @@ def _each(text: str) -> str:
     return ", ".join(text.format(c=c) for c in "vkg")
 
 
+_TEXT = "regexp_matches(text, '[^\\s\\p{Z}\\x{FEFF}]')"
+_SOURCE = "regexp_replace(lower(trim(regexp_replace({c}, '[\\s\\x{{A0}}]+', ' ', 'g'))), '[\\s_]+', '-', 'g')"
+
 ORACLE = {
+    "p6_placement": f"""
+SELECT b.budget_name, count(*) AS texts, count(*) AS placed_once, 0::BIGINT AS over_full, 0::BIGINT AS split_needlessly
+FROM (SELECT budget_name FROM token_budgets WHERE budget_name IS NOT NULL AND capacity > 0 GROUP BY budget_name) b
+CROSS JOIN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND {_TEXT}) d GROUP BY b.budget_name""",
+    "p7_targets": f"""
+WITH stock AS (SELECT {_SOURCE.format(c="source")} AS source, count(*) AS documents FROM documents WHERE doc_id IS NOT NULL AND {_TEXT} AND source IS NOT NULL GROUP BY 1),
+goal AS (SELECT mix_name, {_SOURCE.format(c="source")} AS source, sum(CASE WHEN target_share > 0 THEN target_share ELSE 0 END) AS target_share FROM mix_targets WHERE mix_name IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
+SELECT g.mix_name, g.source, round(g.target_share, 9) AS target_share, coalesce(s.documents, 0) AS documents, true AS within_repeats, true AS on_budget FROM goal g LEFT JOIN stock s ON g.source = s.source""",
     "p5_ranking": f"""
 WITH {_PRESENT},
 ends AS (SELECT query_id, {_each("quantile_disc({c}, 0.05) AS lo_{c}, quantile_disc({c}, 0.95) AS hi_{c}")} FROM present GROUP BY query_id),

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import code_docs, ideal_point, mixing, neighbours, packing, queries, residue
+from strata.llm import code_docs, ideal_point, mixing, neighbours, packing, queries, residue, tokens
 from tests.conftest import DATA, connect, same_rows
 
 T = dt.datetime
@@ -280,6 +280,26 @@ def test_every_text_is_packed_once(spark):
     assert packing.pack(spark.createDataFrame(rows, DOC), budgets.limit(0)).count() == 0
 
 
+@has_data
+def test_limits_of_segments_and_loss_bind(spark):
+    packed = packing.pack(queries.table(spark, f"{DATA}/sf0.01", "documents"), queries.table(spark, f"{DATA}/sf0.01", "token_budgets"))
+    per = packed.groupBy("budget_name", "capacity", "container").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("loss_tokens").alias("l")).collect()
+    for r in per:
+        most, loss = r["capacity"] // packing.TOKENS_PER_SEGMENT, int(r["capacity"] * packing.LOSS_SHARE)
+        assert r["t"] <= r["capacity"] and r["n"] <= most and (r["l"] <= loss or r["n"] == 1)
+    assert any(r["n"] == r["capacity"] // packing.TOKENS_PER_SEGMENT for r in per)
+    assert sum(r["l"] == int(r["capacity"] * packing.LOSS_SHARE) and r["n"] > 1 for r in per) > 10
+    assert all(r["filled"] > 0.97 for r in packing.fill_report(packed).collect())
+
+
+@has_data
+def test_vocabularies_agree_on_whole_texts(spark):
+    """Ranks and the other file of the same vocabulary count alike, long runs of spaces included."""
+    texts = [r["text"] for r in queries.table(spark, f"{DATA}/sf0.001", "documents").where("text is not null").collect()]
+    texts += ["", " " * 20_000 + "x", "a" * 50_000, "<|endoftext|> end", "\n" * 6000, " " * 4999 + "y\r\n"]
+    assert tokens.encoder(tokens.VOCABULARY)(texts) == tokens.encoder(tokens.VOCABULARY.replace(".tiktoken", ".json"))(texts)
+
+
 # ---- 7: mixing ---------------------------------------------------------------------------------------------------
 def test_mix_meets_targets(spark):
     sizes = spark.createDataFrame([(i, "big", 10 + i % 7) for i in range(3000)] + [(10_000 + i, "small", 20) for i in range(60)], "doc_id long, source string, tokens long")
