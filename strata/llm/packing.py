@@ -36,7 +36,6 @@ PLACED = "budget_name string, capacity int, container string, doc_id long, piece
 
 def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int, max_loss: int) -> list[list[int]]:
     """Containers as lists of item indices, by the dot-product heuristic."""
-    limits = np.array([capacity, max_segments, max_loss], dtype=np.float64)
     order = np.lexsort((np.arange(len(tokens)), loss, tokens))
     t, l = tokens[order].astype(np.int64), loss[order].astype(np.int64)
     new = np.ones(len(t), bool)
@@ -44,32 +43,34 @@ def fill(tokens: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int,
     start = np.flatnonzero(new)
     left = np.diff(np.append(start, len(t)))  # items left of each class
     taken = np.zeros(len(start), np.int64)
-    demand = np.stack([t[start], np.ones(len(start), np.int64), l[start]], axis=1)
-    share = demand / limits
-    alive = np.flatnonzero(left > 0)
+    t, l = t[start], l[start]
+    # An empty container has the same room each time, so the order in which items open containers is fixed.
+    opening = np.argsort(-(t / capacity + l / max_loss), kind="stable")
+    at, alive = 0, np.arange(len(start))  # classes with items left, in order of tokens
     out: list[list[int]] = []
     while len(alive):
-        room = np.array([capacity, max_segments, max_loss], dtype=np.int64)
-        one: list[int] = []
-        open_for = alive  # room only shrinks: what does not fit now never fits this container
-        while len(open_for):
-            d = demand[open_for]
-            fits = (d <= room).all(axis=1)
-            if not one:
-                fits |= d[:, 2] > max_loss  # alone in its container
-            open_for = open_for[fits]
-            if not len(open_for):
-                break
-            c = int(open_for[int((share[open_for] @ (room / limits)).argmax())])
+        while not left[opening[at]]:
+            at += 1
+        room_t, room_n, room_l, one, c = capacity, max_segments, max_loss, [], int(opening[at])
+        open_for = None
+        while c >= 0:
             one.append(int(order[start[c] + taken[c]]))
             taken[c] += 1
             left[c] -= 1
-            room -= demand[c]
+            room_t, room_n, room_l = room_t - int(t[c]), room_n - 1, room_l - int(l[c])
             if not left[c]:
-                alive = alive[alive != c]
-                open_for = open_for[open_for != c]
-            if room[2] < 0:
+                alive = np.delete(alive, np.searchsorted(alive, c))
+                if open_for is not None:
+                    open_for = np.delete(open_for, np.searchsorted(open_for, c))
+            if room_t <= 0 or room_n <= 0 or room_l < 0:
                 break
+            # Room only shrinks: what does not fit now never fits this container.
+            pool = alive if open_for is None else open_for
+            pool = pool[: np.searchsorted(t[pool], room_t, side="right")]
+            open_for = pool[l[pool] <= room_l]
+            # The dot product of demand and room as shares of the limits; the segment's part is the same for all items.
+            score = t[open_for] * (room_t / capacity**2) + l[open_for] * (room_l / max_loss**2)
+            c = int(open_for[int(score.argmax())]) if len(open_for) else -1
         out.append(one)
     return out
 
