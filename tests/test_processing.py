@@ -78,19 +78,67 @@ def test_refresh_recomputes_only_changed_partitions(spark, tmp_path):
     assert result() == {("b", 3), (None, 4)}
 
 
-def test_failed_refresh_is_done_again(spark, tmp_path, monkeypatch):
-    table = incremental.IncrementalTable(spark, str(tmp_path / "t"), "k", lambda df: df)
+@pytest.mark.parametrize("step", ["_differing", "_write", "_prints", "_commit", "_rename"])
+def test_failed_refresh_is_done_again(spark, tmp_path, monkeypatch, step):
+    """A run dies before or after each of its steps; the next one skips and repeats nothing."""
     make = lambda r: spark.createDataFrame(r, "k string, v long")
-    table.refresh(make([("a", 1), ("b", 2)]))
-    changed = make([("a", 5), ("b", 2)])
-    good = incremental.IncrementalTable._directories
-    monkeypatch.setattr(incremental.IncrementalTable, "_directories", lambda self: 1 / 0)  # dies after the data, before the fingerprints
-    with pytest.raises(ZeroDivisionError):
-        table.refresh(changed)
-    monkeypatch.setattr(incremental.IncrementalTable, "_directories", good)
+    table = incremental.IncrementalTable(spark, str(tmp_path / "t"), "k", lambda df: df)
+    table.refresh(make([("a", 1), ("b", 2), ("01", 3)]))
+    changed = make([("a", 5), ("b", 2), ("01", 3)])
+    with monkeypatch.context() as m:
+        if step == "_write":  # during the computation of the data
+            m.setattr(table, "transform", lambda df: df.withColumn("v", F.raise_error(F.lit("lost")).cast("long")))
+        elif step == "_rename":  # after the new fingerprints were written, before they are visible
+            m.setattr(table, "_states", lambda: 1 / 0)
+        elif step == "_prints":  # after the data, while looking at what moved
+            calls, whole = [], table._prints
+            m.setattr(table, "_prints", lambda source: whole(source) if not calls.append(1) and len(calls) == 1 else 1 / 0)
+        else:
+            m.setattr(table, step, lambda *a: 1 / 0)
+        with pytest.raises(Exception):
+            table.refresh(changed)
     assert [r["k"] for r in table.pending(changed).collect()] == ["a"]
     assert table.refresh(changed) == 1 and table.refresh(changed) == 0
-    assert {tuple(r) for r in table.read().select("k", "v").collect()} == {("a", 5), ("b", 2)}
+    assert {tuple(r) for r in table.read().select("k", "v").collect()} == {("a", 5), ("b", 2), ("01", 3)}
+
+
+def test_partition_that_moves_during_a_run_is_done_again(spark, tmp_path):
+    files = str(tmp_path / "src")
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long").write.parquet(files)
+
+    def transform(df):
+        out = spark.createDataFrame(df.collect(), df.schema)
+        if not moved:
+            moved.append(1)
+            spark.createDataFrame([("b", 7)], "k string, v long").write.mode("append").parquet(files)
+            spark.catalog.refreshByPath(files)
+        return out
+
+    moved = []
+    table = incremental.IncrementalTable(spark, str(tmp_path / "t"), "k", transform)
+    table.refresh(spark.read.parquet(files))
+    assert [r["k"] for r in table.pending(spark.read.parquet(files)).collect()] == ["b"]
+    assert table.refresh(spark.read.parquet(files)) == 1
+    assert sorted(r["v"] for r in table.read().collect()) == [1, 2, 7]
+
+
+def test_second_run_over_symbols_recomputes_changed_partitions_only(spark, runs, tmp_path, monkeypatch):
+    jan, mar = T(2024, 1, 5), T(2024, 3, 5)
+    rows = [symbol(f"s{i}", r, "x.go", jan, "2024-01-04T00:00:00Z") for r in ("/a", "/b") for i in range(40)]
+    asked, whole = [], incremental.symbol_changes
+
+    def counted(df):
+        asked.extend([n] if (n := df.select("part").distinct().count()) else [])
+        return whole(df)
+
+    monkeypatch.setattr(incremental, "symbol_changes", counted)
+    go = lambda r: incremental.changed_symbols(spark.createDataFrame(r, SYMBOL), *runs, path=str(tmp_path / "c"))
+    # Everything was seen by the runs of /a (2024-02-01) and /b (2024-02-01): nothing is computed.
+    assert go(rows).count() == 0 and asked == []
+    later = [*rows, symbol("s3", "/a", "x.go", mar, "2024-03-04T00:00:00Z"), symbol("new", "/b", "x.go", mar, "2024-03-04T00:00:00Z")]
+    assert {(r["symbol_id"], r["change"]) for r in go(later).collect()} == {("s3", "changed"), ("new", "added")}
+    assert asked == [2]  # of two repositories
+    assert go(later).count() == 2 and asked == [2]
 
 
 def edges(spark):
