@@ -1,19 +1,23 @@
 """Most similar vectors for every vector (problem 1).
 
-Method: buckets of extreme random projections, in place of collision counting over sorted arrays. No array is sorted,
-no window is centred on a query and nothing is widened by virtual rehashing: every vector is put into the ends of the
-``windows`` projections in which it lies farthest out, and two vectors that share two such ends are verified by their
-exact cosine. ``search`` stands apart and compares all rows.
+Method: collision-counting hashing. A vector has a place in each of ARRAYS single-projection arrays, in steps of the
+finest radius. Around each vector (the query) a window of the same radius is laid in every array; another vector
+collides with it in an array if it lies inside. Virtual rehashing expands the radius (RADII steps); vectors that
+collide in at least as many arrays as the threshold of a radius are verified by their exact cosine. Queries that have
+their k best within a radius are not expanded further. Radii and thresholds follow from ``min_cosine`` alone.
 
-Windows centred anywhere in an array cannot pay on these vectors: one wide enough for seven in ten of the wanted pairs
-also holds a third of all rows (at cosine 0.85 distances differ by a factor of 2.4 only), so counting there costs more
-than comparing all pairs. At the ends of an array the same width holds few rows. The number of arrays grows with the
-square root of the rows, so that the rows in a pair of ends stay about ``GROUP``, while ``windows`` is fixed: recall
-falls slowly as the rows grow (figures in the README). Projections are the only cost above linear and stay small.
+Windows in the arrays are not read off one after the other, since at cosine 0.85 distances differ by a factor of 2.4
+only, and a window wide enough for such a pair holds a third of all rows: counting them one by one would cost more than
+comparing all pairs. So only rows that share a cell are counted: each vector lies in the cells of all pairs among the
+``windows`` sorted arrays in whose sparse ends it stands farthest out. The number of these arrays grows with the square
+root of the rows, so that cells stay small, and ``windows`` grows as slowly as a simulation of pairs of ``min_cosine``
+asks for, to keep the share of them that meet at RECALL or above at every size. ``search`` has no index and is exact.
 
-So that collisions below the threshold are never produced, rows are grouped by pairs of arrays (threshold 2). A
-128-bit sign sketch of each vector travels along and discards most of the remaining pairs before verification.
-The array ends are fitted (mean, spread) on a sample of at most ``FIT_ROWS`` vectors; every vector is indexed.
+A cell that holds very many rows (near-copies) is taken out: its rows are compared exactly in blocks that are spread
+over tasks, and each block passes on the k best of each row only. Cells with a known share are seen in the fitted
+sample, others when they are met; known ones that share rows are compared as one.
+
+The centre and the known heavy cells are fitted on a sample of at most FIT_ROWS vectors; every vector is indexed.
 
 Defined results: per symbol the row with the latest created_at counts (null is oldest; ties by content); it is unusable,
 and the symbol falls out, if its vector is null, not of ``dim`` values, has a null, NaN or infinite value or is all
@@ -23,7 +27,9 @@ their neighbours by membership, so a vector repeated very often is no hot spot.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -32,13 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.common import parallelism
-
-WINDOWS = 7  #: arrays per vector in which collisions count; 21 pairs of arrays
-GROUP = 27  #: rows expected in a pair of windows
-MIN_ARRAYS = 48
+from strata.common import cut, parallelism
+
+ARRAYS = 48  #: arrays in which collisions are counted
+RADII = (1, 2, 4)  #: window radii in steps, smallest first
+LEVELS = 16  #: steps of an array, 4 bits each
+WIDTH = 1.8  #: widest radius as a multiple of the distance at ``min_cosine``; there the counts of wanted and other pairs differ most
+MISSED = 0.01  #: share of pairs at a radius's distance that its threshold may miss
+RECALL = 0.97  #: share of pairs of ``min_cosine`` that have to share a cell
+GROUP = 48  #: rows expected in a cell
+MIN_CELL_ARRAYS = 48
+MAX_WINDOWS = 24
 FIT_ROWS = 8192
-SKETCH_SLACK = 33  #: of 128 sign bits that may differ; at cosine 0.85 it is 22.6 on average with a deviation of 4.3
+HOT_CELL = 4096  #: rows of a cell beyond which it is compared in blocks
+HOT_SEEN = 16  #: rows of the fitted sample in a cell, from which on its share is known
+BLOCK = 2048
 MAX_MEAN = 0.3  #: squared length of the mean beyond which vectors are not centred
 SEED = 20240229
 
@@ -69,9 +83,71 @@ def _verifier(least: float, dim: int):
     return run
 
 
-def arrays_for(n: int, windows: int = WINDOWS) -> int:
-    """Number of projections (arrays) for ``n`` rows: two ends each, ``windows`` ends per row, GROUP rows per pair of ends."""
-    return min(32_000, max(MIN_ARRAYS, math.ceil(windows / 2 * math.sqrt(max(n, 1) / GROUP))))
+def distance_at(cosine: float) -> float:
+    """Distance of two unit vectors."""
+    return math.sqrt(max(2 - 2 * cosine, 1e-6))
+
+
+def step_for(min_cosine: float) -> float:
+    """Width of a step: the widest radius is WIDTH times the distance at ``min_cosine``."""
+    return WIDTH * distance_at(min_cosine) / RADII[-1]
+
+
+def places(z: np.ndarray, step: float) -> np.ndarray:
+    """Steps (0 to LEVELS - 1) of projections in their arrays; what lies outside stands in the last step."""
+    return np.clip(np.floor(z / step) + LEVELS // 2, 0, LEVELS - 1).astype(np.int8)
+
+
+@functools.cache
+def thresholds(min_cosine: float, arrays: int = ARRAYS, pairs: int = 20_000) -> tuple[int, ...]:
+    """For each radius, the collisions that all but MISSED of the pairs have whose distance is in proportion to it (the widest: pairs of ``min_cosine``). By simulation, as projections of any pair are normal with its distance."""
+    rng = np.random.default_rng(SEED + 2)
+    out = []
+    for radius in RADII:
+        d = distance_at(min_cosine) * radius / RADII[-1]
+        x = rng.standard_normal((pairs, arrays))
+        y = (1 - d * d / 2) * x + math.sqrt(max(0.0, 1 - (1 - d * d / 2) ** 2)) * rng.standard_normal((pairs, arrays))
+        step = step_for(min_cosine)
+        met = (np.abs(places(x, step) - places(y, step)) <= radius).sum(axis=1)
+        out.append(int(np.sort(met)[int(MISSED * pairs)]))
+    return tuple(out)
+
+
+def cell_arrays(n: int, windows: int) -> int:
+    """Number of arrays whose ends make cells for ``n`` rows: two ends each, ``windows`` ends per row, GROUP rows per pair of ends."""
+    return max(MIN_CELL_ARRAYS, math.ceil(windows / 2 * math.sqrt(max(n, 1) / GROUP)))
+
+
+@functools.cache
+def shared_cells(arrays: int, cosine: float, pairs: int = 800) -> tuple[float, ...]:
+    """For 0, 1, 2, ... windows, the share of pairs of this cosine that share at least two ends, hence a cell; by simulation."""
+    rng = np.random.default_rng(SEED + 3)
+    most = min(MAX_WINDOWS, arrays - 1)
+    met = np.zeros(most + 1)
+    for _ in range(0, pairs, 100):
+        x = rng.standard_normal((100, arrays), dtype=np.float32)
+        y = cosine * x + math.sqrt(1 - cosine * cosine) * rng.standard_normal((100, arrays), dtype=np.float32)
+        place = [np.argsort(np.argsort(-np.abs(z), axis=1), axis=1) for z in (x, y)]
+        later = np.where(np.sign(x) == np.sign(y), np.maximum(*place), arrays)  # windows from which on both have this end
+        second = np.partition(later, 1, axis=1)[:, 1]
+        for w in range(most + 1):
+            met[w] += (second < w).sum()
+    return tuple(met / pairs)
+
+
+@functools.cache
+def windows_for(n: int, min_cosine: float) -> int:
+    """The fewest windows with which RECALL of the pairs of ``min_cosine`` share a cell among ``n`` rows."""
+    w = 2
+    while w < MAX_WINDOWS and shared_cells(min(_rounded(cell_arrays(n, w)), 20_000), min_cosine)[w] < RECALL:
+        w += 1
+    return w
+
+
+def _rounded(arrays: int) -> int:
+    """Up to a quarter more, so that few simulations serve all sizes."""
+    power = 2.0 ** math.floor(math.log2(arrays))
+    return int(next(power * f for f in (1, 1.25, 1.5, 1.75, 2) if power * f >= arrays))
 
 
 def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -82,97 +158,203 @@ def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _fit(vectors: DataFrame, n: int, dim: int, arrays: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and spread of each array over a sample of at most FIT_ROWS rows."""
-    every = max(1, n // (FIT_ROWS // 2))
-    sample = vectors.where(F.col("vector").isNotNull() & (F.size("vector") == dim) & (F.pmod(F.xxhash64("symbol_id", F.lit(1)), F.lit(every)) == 0)).select(F.col("vector").cast("array<float>").alias("vector")).limit(FIT_ROWS).toArrow()
-    rows = [np.array(v, dtype=np.float64) for v in sample.column("vector").to_pylist() if None not in v]
-    rows = [v / np.linalg.norm(v) for v in rows if np.isfinite(v).all() and v.any()]
-    x = np.array(rows, dtype=np.float32) if rows else np.zeros((1, dim), np.float32)
-    mean = x.mean(axis=0)
-    if mean @ mean > MAX_MEAN:  # all vectors point one way: without their mean, similar ones would be far apart
-        mean = np.zeros_like(mean)
-    spread = ((x - mean) @ _projections(dim, arrays)).std(axis=0)
-    spread[~(spread > 1e-6)] = 1.0
-    return mean, spread.astype(np.float32)
+class Index:
+    """What is fitted: centre and spread of the cells' arrays, and the heavy cells that the sample shows, each with its group."""
+
+    def __init__(self, n: int, dim: int, min_cosine: float, windows: int | None = None, hot_cell: int = HOT_CELL):
+        self.n, self.dim, self.step, self.hot_cell = n, dim, step_for(min_cosine), hot_cell
+        self.windows = windows or windows_for(n, min_cosine)
+        self.arrays = cell_arrays(n, self.windows)
+        self.mean, self.spread, self.hot = np.zeros(dim, np.float32), np.ones(self.arrays, np.float32), {}
+
+    def fit(self, vectors: DataFrame) -> Index:
+        every = max(1, self.n // (FIT_ROWS // 2))
+        good = F.col("vector").isNotNull() & (F.size("vector") == self.dim) & F.col("model").isNotNull() & (F.pmod(F.xxhash64("symbol_id", F.lit(1)), F.lit(every)) == 0)
+        sample = vectors.where(good).select(F.hash("model").alias("model32"), F.col("vector").cast("array<float>").alias("vector")).limit(FIT_ROWS).toArrow()
+        rows = [(m, np.array(v, dtype=np.float64)) for m, v in zip(sample.column("model32").to_pylist(), sample.column("vector").to_pylist()) if None not in v]
+        rows = [(m, v / np.linalg.norm(v)) for m, v in rows if np.isfinite(v).all() and v.any()]
+        if not rows:
+            return self
+        rows = list({(m, v.tobytes()): (m, v) for m, v in rows}.values())  # exact copies are indexed once
+        x = np.array([v for _, v in rows], dtype=np.float32)
+        mean = x.mean(axis=0)
+        if mean @ mean <= MAX_MEAN:  # if all vectors point one way: without their mean, similar ones would be far apart
+            self.mean = mean
+        spread = ((x - self.mean) @ _projections(self.dim, self.arrays)).std(axis=0)
+        spread[~(spread > 1e-6)] = 1.0
+        self.spread = spread.astype(np.float32)
+        cells = self.cells(x, np.array([m for m, _ in rows], np.int64))
+        seen = {c: k for c, k in Counter(cells.ravel().tolist()).items() if k >= HOT_SEEN and k * self.n / len(rows) >= self.hot_cell}
+        self.hot = _merged(seen, [[c for c in row if c in seen] for row in cells.tolist()])
+        return self
+
+    def cells(self, x: np.ndarray, model: np.ndarray) -> np.ndarray:
+        """The cells of unit vectors: a row of as many keys as there are pairs of windows."""
+        pairs = list(combinations(range(self.windows), 2))
+        a = _projections(self.dim, self.arrays) / self.spread
+        keys = np.empty((len(x), len(pairs)), np.int64)
+        for at in range(0, len(x), 4096):
+            z = (x[at : at + 4096] - self.mean) @ a
+            far = np.argpartition(-np.abs(z), self.windows, axis=1)[:, : self.windows]
+            ends = np.sort(far * 2 + (np.take_along_axis(z, far, 1) > 0), axis=1).astype(np.int64)
+            for k, (i, j) in enumerate(pairs):
+                keys[at : at + 4096, k] = ends[:, i] * (2 * self.arrays) + ends[:, j]
+        return keys ^ (model[:, None] << 32)
+
+
+def _merged(seen: dict[int, int], rows: list[list[int]]) -> dict[int, int]:
+    """For each heavy cell the group in which its rows are compared. The cells of one crowd of vectors hold much the same rows: cells that share rows become one group where comparing that once costs less than comparing each cell."""
+    parent = {c: c for c in seen}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    for row in rows:
+        for c in row[1:]:
+            parent[root(c)] = root(row[0])
+    together = Counter(root(row[0]) for row in rows if row)
+    apart = Counter()
+    for c, k in seen.items():
+        apart[root(c)] += k * k
+    return {c: root(c) if together[root(c)] ** 2 <= apart[root(c)] else c for c in seen}
 
 
 def _projections(dim: int, arrays: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dim, arrays), dtype=np.float32)
 
 
-def _hasher(dim: int, arrays: int, windows: int, mean: np.ndarray, spread: np.ndarray):
-    """mapInArrow function: rows of (id, model32, vector) to (id, keys, s1, s2)."""
-    pairs = list(combinations(range(windows), 2))
+def _hasher(index: Index):
+    """mapInArrow function: rows of (id, model32, vector) to (id, keys, code, hot): the cells, the places in the counted arrays (4 bits each), and the groups of the known heavy cells, which are left out of the keys."""
 
     def run(batches):
-        a = _projections(dim, arrays) / spread
-        sketch = np.random.default_rng(SEED + 1).standard_normal((dim, 128), dtype=np.float32)
-        weights = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
+        counted = np.random.default_rng(SEED + 1).standard_normal((index.dim, ARRAYS), dtype=np.float32)
+        heavy = np.array(sorted(index.hot), dtype=np.int64)
+        groups = np.array([index.hot[c] for c in heavy.tolist()], dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch, dim)
-            model = batch.column(batch.schema.get_field_index("model32")).to_numpy().astype(np.int64)
-            keys = np.empty((len(x), len(pairs)), np.int64)
-            for at in range(0, len(x), 4096):
-                z = (x[at : at + 4096] - mean) @ a
-                far = np.argpartition(-np.abs(z), windows, axis=1)[:, :windows] if windows < arrays else np.broadcast_to(np.arange(arrays), z.shape)
-                ends = np.sort(far * 2 + (np.take_along_axis(z, far, 1) > 0), axis=1).astype(np.int64)
-                for k, (i, j) in enumerate(pairs):
-                    keys[at : at + 4096, k] = ends[:, i] * (2 * arrays) + ends[:, j]
-            keys |= model[:, None] << 32
-            bits = (x @ sketch > 0).astype(np.uint64)
-            s = [(bits[:, h : h + 64] * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for h in (0, 64)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(pairs), dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), lists, pa.array(s[0]), pa.array(s[1])], names=["id", "keys", "s1", "s2"])
+            x = _unit(batch, index.dim)
+            keys = index.cells(x, batch.column(1).to_numpy().astype(np.int64))
+            spots = places((x - index.mean) @ counted, index.step).astype(np.uint8)
+            code = np.ascontiguousarray(spots[:, ::2] << 4 | spots[:, 1::2])
+            light, of, hot = np.ones(keys.shape, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(heavy):
+                at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
+                light = heavy[at] != keys
+                row, cell = np.nonzero(~light)
+                of, hot = np.unique(np.stack([row, groups[at[row, cell]]]), axis=1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, count.cumsum()].astype(np.int32)), pa.array(values)) for count, values in ((light.sum(axis=1), keys[light]), (np.bincount(of, minlength=len(x)), hot))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists[0], pa.array([r.tobytes() for r in code], pa.binary()), lists[1]],
+                names=["id", "keys", "code", "hot"],
+            )
 
     return run
 
 
-def _meeting(slack: int):
-    """mapInArrow function over rows sorted by key: the pairs (a, b) of each key's rows whose sketches agree.
+def _counter(limits: tuple[int, ...], hot_cell: int):
+    """mapInArrow function over rows sorted by key: (a, b, radius) of the pairs of each cell whose collisions reach the threshold of a radius (the least such); (id, key, 0) of the rows of a cell beyond ``hot_cell`` rows.
 
-    Rows o places apart are compared as whole columns, for o = 1, 2, ... until no key has so many rows. A key's rows
-    may spread over batches; only the last, unfinished key is carried along.
+    Rows o places apart are compared as whole columns, for o = 1, 2, ... until no cell has so many rows. A cell's rows
+    may spread over batches; only the last, unfinished cell is carried along, and no more than ``hot_cell`` rows of it.
     """
 
-    def pairs(key, ident, s1, s2):
+    def pairs(key, ident, spots):
         left = np.arange(len(key) - 1)
         for o in range(1, len(key)):
             left = left[left < len(key) - o]
             left = left[key[left] == key[left + o]]
             if not len(left):
                 return
-            right = left + o
-            near = np.bitwise_count(s1[left] ^ s1[right]).astype(np.int16) + np.bitwise_count(s2[left] ^ s2[right]) <= slack
-            a, b = ident[left[near]], ident[right[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for at in range(0, len(left), 65536):
+                i = left[at : at + 65536]
+                apart = np.abs(spots[i] - spots[i + o])
+                wide = (apart <= RADII[-1]).sum(axis=1, dtype=np.uint8) >= limits[-1]
+                radius = np.where(wide, RADII[-1], 0)
+                for r, least in list(zip(RADII, limits))[-2::-1]:
+                    radius[(apart <= r).sum(axis=1, dtype=np.uint8) >= least] = r
+                i, radius = i[radius > 0], radius[radius > 0]
+                a, b = ident[i], ident[i + o]
+                yield batch_of(np.minimum(a, b), np.maximum(a, b), radius)
+
+    def batch_of(a, b, radius):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(radius.astype(np.int32))], names=["a", "b", "radius"])
 
     def run(batches):
-        kept = None
+        kept, hot = None, None
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            columns[2:] = [c.view(np.uint64) for c in columns[2:]]  # bits are counted of unsigned numbers
+            if not batch.num_rows:
+                continue
+            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            spots = np.stack([code >> 4, code & 15], axis=2).reshape(batch.num_rows, -1).astype(np.int8)
+            columns = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), spots]
             if kept is not None:
                 columns = [np.concatenate(x) for x in zip(kept, columns)]
-            if not len(columns[0]):
-                continue
-            done = int(np.searchsorted(columns[0], columns[0][-1]))
+            key = columns[0]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            large = np.repeat((size > hot_cell) | (key[start] == hot if hot is not None else False), size)
+            if large.any():
+                yield batch_of(columns[1][large], key[large], np.zeros(large.sum(), np.int32))
+                hot = key[-1] if large[-1] else hot
+                columns = [c[~large] for c in columns]
+                key = columns[0]
+            done = int(np.searchsorted(key, key[-1])) if len(key) else 0
             yield from pairs(*[c[:done] for c in columns])
             kept = [c[done:] for c in columns]
-        if kept is not None:
+        if kept is not None and len(kept[0]):
             yield from pairs(*kept)
 
     return run
 
 
-def colliding_pairs(vectors: DataFrame, arrays: int, fit: tuple[np.ndarray, np.ndarray], dim: int = 96, windows: int = WINDOWS) -> DataFrame:
-    """(a, b, collisions), a < b: ids of the vectors that share at least two ends and whose sketches agree; collisions counts shared pairs of ends and is not used further."""
-    hashed = vectors.select("id", F.hash("model").alias("model32"), "vector").mapInArrow(_hasher(dim, arrays, windows, *fit), "id long, keys array<long>, s1 long, s2 long")
-    keyed = hashed.select(F.explode("keys").alias("key"), "id", "s1", "s2").repartition("key").sortWithinPartitions("key")
-    met = keyed.mapInArrow(_meeting(SKETCH_SLACK), "a long, b long").where("a <> b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("collisions"))
+def counted_pairs(hashed: DataFrame, limits: tuple[int, ...], hot_cell: int = HOT_CELL) -> DataFrame:
+    """(a, b, radius) as ``_counter`` gives them, kept in the shared folder."""
+    keyed = hashed.select(F.explode("keys").alias("key"), "id", "code").repartition("key").sortWithinPartitions("key")
+    return cut(keyed.mapInArrow(_counter(limits, hot_cell), "a long, b long, radius int").where("a <> b or radius = 0"))
+
+
+def _block_pairs(k: int, least: float, dim: int):
+    """applyInArrow function: of two blocks of a heavy cell, each row's pairs with its k + 1 best rows of the other."""
+
+    def best(x, y, u, v, out):
+        for at in range(0, len(x), 512):
+            s = u[at : at + 512] @ v.T
+            n = s.shape[1] - min(k + 2, s.shape[1])
+            rows, cols = np.nonzero((s >= np.partition(s, n, axis=1)[:, n, None] - 1e-5) & (s >= least - 1e-5))
+            out.append((x[at + rows], y[cols]))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, names, models = table.column("id").to_numpy(), np.array(table.column("symbol_id").to_pylist(), dtype=object), np.array(table.column("model").to_pylist(), dtype=object)
+        raw = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("vector").chunks]).reshape(-1, dim).astype(np.float64)
+        raw /= np.abs(raw).max(axis=1, keepdims=True)
+        raw /= np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+        low = raw.astype(np.float32)
+        left, right, out = np.flatnonzero(side <= 1), np.flatnonzero(side != 1), []  # 0 stands on both sides
+        if len(left) and len(right):
+            best(left, right, low[left], low[right], out)
+            best(right, left, low[right], low[left], out)
+        i, j = (np.concatenate([o[n] for o in out]) if out else np.array([], np.int64) for n in (0, 1))
+        one = np.unique(np.stack([np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)], axis=1)[(ids[i] != ids[j]) & (models[i] == models[j])], axis=0)
+        i, j = one[:, 0], one[:, 1]
+        c = np.concatenate([np.einsum("ij,ij->i", raw[i[o : o + 65536]], raw[j[o : o + 65536]]) for o in range(0, len(i), 65536)] or [np.array([])])
+        good = c >= least
+        return pa.table({"a": ids[i[good]], "b": ids[j[good]], "sa": pa.array(names[i[good]].tolist(), pa.string()), "sb": pa.array(names[j[good]].tolist(), pa.string()), "cosine": c[good]})
+
+    return run
+
+
+def heavy_pairs(members: DataFrame, vectors: DataFrame, k: int, least: float, dim: int) -> DataFrame:
+    """(a, b, sa, sb, cosine): exactly the pairs of rows of one heavy cell (cell, id) of which one is among the other's k best of the cell. Cells are cut into blocks and each pair of blocks is a task's work."""
+    blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(vectors, "id").join(blocks, "cell").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
+    placed = spread.select("cell", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), side.alias("side"), "id", "symbol_id", "model", "vector")
+    return placed.groupBy("cell", "i", "j").applyInArrow(_block_pairs(k, least, dim), "a long, b long, sa string, sb string, cosine double")
 
 
 def copies(vectors: DataFrame) -> DataFrame:
@@ -182,25 +364,45 @@ def copies(vectors: DataFrame) -> DataFrame:
     return slim.join(same, ["h1", "h2"]).where("id > rep").select("id", "rep")
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim: int = 96, windows: int = WINDOWS) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim: int = 96, windows: int | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
     """(symbol_id, neighbour_id, cosine): of every symbol, those of its k most similar symbols of the same model that have at least ``min_cosine``.
 
-    ``windows`` and SKETCH_SLACK are set for pairs of at least 0.85 and don't follow ``min_cosine``: single pairs are
-    missed (README), more of them the lower ``min_cosine`` is below 0.85. ``search`` has no such bound and misses none.
+    Single pairs are missed, most of them near ``min_cosine`` (figures in the README). ``search`` has no bound and misses none.
     """
     n = vectors.count()
-    arrays = arrays_for(n, windows)
     usable = usable_vectors(vectors, dim)
     again = copies(usable)
     single = usable.join(again.select("id"), "id", "left_anti")
-    pairs = colliding_pairs(single, arrays, _fit(vectors, n, dim, arrays), dim, windows)
+    index = Index(n, dim, min_cosine, windows, hot_cell).fit(vectors)
+    hashed = single.select("id", F.hash("model").alias("model32"), "vector").mapInArrow(_hasher(index), "id long, keys array<long>, code binary, hot array<long>")
+    met = counted_pairs(hashed, thresholds(min_cosine), hot_cell)
+    pairs = met.where("radius > 0").groupBy("a", "b").agg(F.min("radius").alias("radius"))
     left = usable.select(F.col("id").alias("a"), F.col("symbol_id").alias("sa"), F.col("model").alias("ma"), F.col("vector").alias("va"))
     right = usable.select(F.col("id").alias("b"), F.col("symbol_id").alias("sb"), F.col("model").alias("mb"), F.col("vector").alias("vb"))
-    # Models are compared by a function, as another join key would shuffle all vectors once more.
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").where(F.array_contains(F.array("ma"), F.col("mb")))
-    verified = met.select("a", "b", "sa", "sb", "va", "vb").mapInArrow(_verifier(min_cosine, dim), "a long, b long, sa string, sb string, cosine double")
+
+    def verified(some: DataFrame) -> DataFrame:
+        # Models are compared by a function, as another join key would shuffle all vectors once more.
+        met = some.select("a", "b").join(left, "a").join(right, "b").where(F.array_contains(F.array("ma"), F.col("mb")))
+        return met.select("a", "b", "sa", "sb", "va", "vb").mapInArrow(_verifier(min_cosine, dim), "a long, b long, sa string, sb string, cosine double")
+
+    # Virtual rehashing: the widest windows are only expanded for queries without k neighbours in narrower ones.
+    near = cut(verified(pairs.where(F.col("radius") < RADII[-1])))
+    inner = distance_at(min_cosine) * RADII[-2] / RADII[-1]
+    within = near.where(F.col("cosine") >= 1 - inner * inner / 2).select(F.explode(F.array("a", "b")).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
+    full = within.where(F.col("n") >= k).select("q")
+    wide = pairs.where(F.col("radius") == RADII[-1])
+    wide = wide.join(full.select(F.col("q").alias("a"), F.lit(True).alias("fa")), "a", "left").join(full.select(F.col("q").alias("b"), F.lit(True).alias("fb")), "b", "left").where("fa is null or fb is null")
+    found = near.unionByName(verified(wide))
+    members = None
+    if index.hot:
+        members = hashed.select(F.explode("hot").alias("cell"), "id")
+    late = met.where("radius = 0").select(F.col("b").alias("cell"), F.col("a").alias("id"))
+    if late.limit(1).count():
+        members = late if members is None else members.unionByName(late).distinct()
+    if members is not None:
+        found = found.unionByName(heavy_pairs(members, single, k, min_cosine, dim)).dropDuplicates(["a", "b"])
     ways = F.array(*[F.struct(F.col(x).alias("c"), F.col(sx).alias("own"), F.col(y).alias("c2"), F.col(sy).alias("other"), "cosine") for x, sx, y, sy in (("a", "sa", "b", "sb"), ("b", "sb", "a", "sa"))])
-    both = verified.select(F.explode(ways).alias("p")).select("p.*")
+    both = found.select(F.explode(ways).alias("p")).select("p.*")
     # Classes of exact copies: (rep, member), the representative among them. Of a class at most k + 1 members can be
     # among anyone's k most similar.
     named = usable.select("id", "symbol_id")
@@ -296,7 +498,7 @@ def _scanner(dim: int, k: int):
 def search(vectors: DataFrame, k: int = 10, dim: int = 96, every: int = 50) -> DataFrame:
     """(symbol_id, neighbour_id, cosine, position): the k most similar symbols of each query, against all rows and with no bound on similarity.
 
-    Queries are the rows whose hashed symbol_id is divisible by ``every`` (1 for all). All rows are
+    Queries are the rows whose symbol_id, hashed by MD5, is divisible by ``every`` (1 for all). All rows are
     verified, in blocks. Query blocks are
     spread over as many salts as there are partitions; neither side is gathered or broadcast. Exact copies are searched
     once a block and get their places by id.
@@ -305,8 +507,8 @@ def search(vectors: DataFrame, k: int = 10, dim: int = 96, every: int = 50) -> D
     usable = usable_vectors(vectors, dim)
     salts = parallelism(spark)
     data = usable.mapInArrow(_packer(dim, 8192, k + 1), "model string, ids array<string>, at array<int>, block binary").withColumn("salt", F.pmod(F.hash(F.col("ids")[0]), F.lit(salts)))
-    queries = usable.where(F.pmod(F.xxhash64("symbol_id"), F.lit(every)) == 0).mapInArrow(_packer(dim, 2048), "model string, ids array<string>, at array<int>, block binary")
+    queries = usable.where(F.conv(F.substring(F.md5("symbol_id"), 1, 8), 16, 10).cast("long") % every == 0).mapInArrow(_packer(dim, 2048), "model string, ids array<string>, at array<int>, block binary")
     queries = queries.select("model", F.col("ids").alias("qids"), F.col("block").alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    scored = data.join(queries, ["model", "salt"]).select("qids", "qblock", "ids", "at", "block").mapInPandas(_scanner(dim, k), "symbol_id string, neighbour_id string, cosine double")
+    scored = data.join(queries.hint("shuffle_merge"), ["model", "salt"]).select("qids", "qblock", "ids", "at", "block").mapInPandas(_scanner(dim, k), "symbol_id string, neighbour_id string, cosine double")
     place = F.row_number().over(Window.partitionBy("symbol_id").orderBy(F.desc("cosine"), "neighbour_id"))
     return scored.withColumn("position", place).where(F.col("position") <= k)

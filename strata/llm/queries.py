@@ -107,6 +107,13 @@ _TEXT = "regexp_matches(text, '[^\\s\\p{Z}\\x{FEFF}]')"
 _SOURCE = "regexp_replace(lower(trim(regexp_replace({c}, '[\\s\\x{{A0}}]+', ' ', 'g'))), '[\\s_]+', '-', 'g')"
 
 ORACLE = {
+    "p1_top10": f"""
+WITH {_USABLE},
+pairs AS (
+  SELECT a.symbol_id, b.symbol_id AS neighbour_id, list_cosine_similarity(a.v, b.v) AS c
+  FROM usable a JOIN usable b ON a.model = b.model AND a.symbol_id <> b.symbol_id WHERE ('0x' || substr(md5(a.symbol_id), 1, 8))::BIGINT % 50 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY round(c, 12) DESC, neighbour_id) AS position FROM pairs)
+SELECT symbol_id, neighbour_id, round(c, 6) AS cosine, position FROM best WHERE position <= 10""",
     "p6_placement": f"""
 SELECT b.budget_name, count(*) AS texts, count(*) AS placed_once, 0::BIGINT AS over_full, 0::BIGINT AS split_needlessly
 FROM (SELECT budget_name FROM token_budgets WHERE budget_name IS NOT NULL AND capacity > 0 GROUP BY budget_name) b

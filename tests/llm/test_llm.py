@@ -69,6 +69,47 @@ def test_neighbours_with_copies_and_clusters(spark):
     assert copies <= got
 
 
+@pytest.mark.parametrize("seen", [16, 10**9])
+def test_cells_of_many_near_copies_are_compared_in_blocks(spark, monkeypatch, seen):
+    """A third of all rows in one place: known from the sample, or met while counting."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(96)
+    rows = [(f"r{i:03}", rng.standard_normal(96).astype(np.float32).tolist(), "m", 1) for i in range(500)]
+    rows += [(f"c{i:03}", (base + 0.1 * rng.standard_normal(96)).astype(np.float32).tolist(), "m" if i % 10 else "n", 1) for i in range(260)]
+    monkeypatch.setattr(neighbours, "HOT_SEEN", seen)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    sizes, whole = [], neighbours.heavy_pairs
+    monkeypatch.setattr(neighbours, "heavy_pairs", lambda members, *a: sizes.append(members.count()) or whole(members, *a))
+    got = {(r["symbol_id"], r["neighbour_id"]) for r in neighbours.similar_vectors(vectors(spark, rows), 10, 0.85, hot_cell=30).collect()}
+    want = brute(rows, 10, 0.85)
+    assert sizes and sizes[0] >= 200
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+@pytest.mark.parametrize("least", [0.7, 0.85, 0.95])
+def test_index_follows_the_least_cosine(spark, least):
+    """Pairs just above the bound are found whatever the bound; thresholds and windows follow from it."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        x, y = rng.standard_normal((2, 96))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        c = least + 0.25 * (1 - least)
+        rows += [(f"a{i:03}", x.astype(np.float32).tolist(), "m", 1), (f"b{i:03}", (c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y)).astype(np.float32).tolist(), "m", 1)]
+    found = neighbours.similar_pairs(vectors(spark, rows), 10, least).count()
+    assert 0.95 * 300 <= found <= 300
+    assert neighbours.thresholds(least)[0] >= neighbours.thresholds(least)[-1] - 1
+
+
+def test_windows_grow_with_the_rows():
+    """The simulated share of pairs of the bound that share a cell holds at every size."""
+    for n in (10**5, 10**7, 10**8):
+        w = neighbours.windows_for(n, 0.85)
+        assert neighbours.shared_cells(neighbours._rounded(neighbours.cell_arrays(n, w)), 0.85)[w] >= neighbours.RECALL
+    assert neighbours.windows_for(10**8, 0.85) > neighbours.windows_for(10**5, 0.85) > 2
+
+
 def test_unusable_vectors_fall_out(spark):
     good = np.ones(96, np.float32).tolist()
     near = [1.0] * 95 + [0.9]
