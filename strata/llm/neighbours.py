@@ -38,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.common import cut, parallelism
+from strata.common import parallelism
 
-ARRAYS = 48  #: arrays in which collisions are counted
+ARRAYS = 32  #: arrays in which collisions are counted
 RADII = (1, 2, 4)  #: window radii in steps, smallest first
 LEVELS = 16  #: steps of an array, 4 bits each
 WIDTH = 1.8  #: widest radius as a multiple of the distance at ``min_cosine``; there the counts of wanted and other pairs differ most
 MISSED = 0.01  #: share of pairs at a radius's distance that its threshold may miss
-RECALL = 0.97  #: share of pairs of ``min_cosine`` that have to share a cell
-GROUP = 48  #: rows expected in a cell
+RECALL = 0.95  #: share of pairs of ``min_cosine`` that have to share a cell
+GROUP = 40  #: rows expected in a cell
 MIN_CELL_ARRAYS = 48
 MAX_WINDOWS = 24
 FIT_ROWS = 8192
@@ -271,11 +271,12 @@ def _counter(limits: tuple[int, ...], hot_cell: int):
             for at in range(0, len(left), 65536):
                 i = left[at : at + 65536]
                 apart = np.abs(spots[i] - spots[i + o])
-                wide = (apart <= RADII[-1]).sum(axis=1, dtype=np.uint8) >= limits[-1]
-                radius = np.where(wide, RADII[-1], 0)
+                some = (apart <= RADII[-1]).view(np.uint64).sum(axis=1)  # eight arrays at a time: their counts stand side by side
+                wide = some.view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.uint8) >= limits[-1]
+                i, apart = i[wide], apart[wide]
+                radius = np.full(len(i), RADII[-1])
                 for r, least in list(zip(RADII, limits))[-2::-1]:
                     radius[(apart <= r).sum(axis=1, dtype=np.uint8) >= least] = r
-                i, radius = i[radius > 0], radius[radius > 0]
                 a, b = ident[i], ident[i + o]
                 yield batch_of(np.minimum(a, b), np.maximum(a, b), radius)
 
@@ -311,9 +312,10 @@ def _counter(limits: tuple[int, ...], hot_cell: int):
 
 
 def counted_pairs(hashed: DataFrame, limits: tuple[int, ...], hot_cell: int = HOT_CELL) -> DataFrame:
-    """(a, b, radius) as ``_counter`` gives them, kept in the shared folder."""
+    """(a, b, radius) as ``_counter`` gives them, once each with the least radius."""
     keyed = hashed.select(F.explode("keys").alias("key"), "id", "code").repartition("key").sortWithinPartitions("key")
-    return cut(keyed.mapInArrow(_counter(limits, hot_cell), "a long, b long, radius int").where("a <> b or radius = 0"))
+    met = keyed.mapInArrow(_counter(limits, hot_cell), "a long, b long, radius int").where("a <> b or radius = 0")
+    return met.groupBy("a", "b").agg(F.min("radius").alias("radius"))
 
 
 def _block_pairs(k: int, least: float, dim: int):
@@ -376,7 +378,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, d
     index = Index(n, dim, min_cosine, windows, hot_cell).fit(vectors)
     hashed = single.select("id", F.hash("model").alias("model32"), "vector").mapInArrow(_hasher(index), "id long, keys array<long>, code binary, hot array<long>")
     met = counted_pairs(hashed, thresholds(min_cosine), hot_cell)
-    pairs = met.where("radius > 0").groupBy("a", "b").agg(F.min("radius").alias("radius"))
+    pairs = met.where("radius > 0")
     left = usable.select(F.col("id").alias("a"), F.col("symbol_id").alias("sa"), F.col("model").alias("ma"), F.col("vector").alias("va"))
     right = usable.select(F.col("id").alias("b"), F.col("symbol_id").alias("sb"), F.col("model").alias("mb"), F.col("vector").alias("vb"))
 
@@ -386,21 +388,17 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, d
         return met.select("a", "b", "sa", "sb", "va", "vb").mapInArrow(_verifier(min_cosine, dim), "a long, b long, sa string, sb string, cosine double")
 
     # Virtual rehashing: the widest windows are only expanded for queries without k neighbours in narrower ones.
-    near = cut(verified(pairs.where(F.col("radius") < RADII[-1])))
+    near = verified(pairs.where(F.col("radius") < RADII[-1]))
     inner = distance_at(min_cosine) * RADII[-2] / RADII[-1]
     within = near.where(F.col("cosine") >= 1 - inner * inner / 2).select(F.explode(F.array("a", "b")).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
     full = within.where(F.col("n") >= k).select("q")
     wide = pairs.where(F.col("radius") == RADII[-1])
     wide = wide.join(full.select(F.col("q").alias("a"), F.lit(True).alias("fa")), "a", "left").join(full.select(F.col("q").alias("b"), F.lit(True).alias("fb")), "b", "left").where("fa is null or fb is null")
     found = near.unionByName(verified(wide))
-    members = None
+    members = met.where("radius = 0").select(F.col("b").alias("cell"), F.col("a").alias("id"))
     if index.hot:
-        members = hashed.select(F.explode("hot").alias("cell"), "id")
-    late = met.where("radius = 0").select(F.col("b").alias("cell"), F.col("a").alias("id"))
-    if late.limit(1).count():
-        members = late if members is None else members.unionByName(late).distinct()
-    if members is not None:
-        found = found.unionByName(heavy_pairs(members, single, k, min_cosine, dim)).dropDuplicates(["a", "b"])
+        members = members.unionByName(hashed.select(F.explode("hot").alias("cell"), "id")).distinct()
+    found = found.unionByName(heavy_pairs(members, single, k, min_cosine, dim)).dropDuplicates(["a", "b"])
     ways = F.array(*[F.struct(F.col(x).alias("c"), F.col(sx).alias("own"), F.col(y).alias("c2"), F.col(sy).alias("other"), "cosine") for x, sx, y, sy in (("a", "sa", "b", "sb"), ("b", "sb", "a", "sa"))])
     both = found.select(F.explode(ways).alias("p")).select("p.*")
     # Classes of exact copies: (rep, member), the representative among them. Of a class at most k + 1 members can be
