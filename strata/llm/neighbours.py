@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.common import parallelism
+from strata.common import cut, parallelism
 
-ARRAYS = 32  #: arrays in which collisions are counted
+ARRAYS = 40  #: arrays in which collisions are counted
 RADII = (1, 2, 4)  #: window radii in steps, smallest first
 LEVELS = 16  #: steps of an array, 4 bits each
 WIDTH = 1.8  #: widest radius as a multiple of the distance at ``min_cosine``; there the counts of wanted and other pairs differ most
@@ -57,28 +57,45 @@ MAX_MEAN = 0.3  #: squared length of the mean beyond which vectors are not centr
 SEED = 20240229
 
 
+def _usable(dim: int):
+    finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    some = F.exists("vector", lambda x: x != 0)
+    return F.col("model").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == dim) & finite & some
+
+
 def usable_vectors(vectors: DataFrame, dim: int = 96) -> DataFrame:
     """(id, symbol_id, model, vector): the row that counts of every symbol with a usable vector; id is a hash of symbol_id, by which the rows are partitioned."""
     rows = vectors.where("symbol_id is not null").select(F.xxhash64("symbol_id").alias("id"), "symbol_id", "model", F.col("vector").cast("array<float>").alias("vector"), "created_at")
-    latest = Window.partitionBy("id", "symbol_id").orderBy(F.desc_nulls_last("created_at"), F.desc_nulls_last("model"), F.xxhash64("vector"))
+    latest = Window.partitionBy("id", "symbol_id").orderBy(F.desc_nulls_last("created_at"), F.desc_nulls_last("model"), F.desc_nulls_last(F.xxhash64("vector")))
     one = rows.repartition("id").withColumn("_rn", F.row_number().over(latest)).where("_rn = 1")
-    finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
-    some = F.exists("vector", lambda x: x != 0)
-    return one.where(F.col("model").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == dim) & finite & some).select("id", "symbol_id", "model", "vector")
+    return one.where(_usable(dim)).select("id", "symbol_id", "model", "vector")
+
+
+def points_and_members(vectors: DataFrame, dim: int = 96) -> tuple[DataFrame, DataFrame]:
+    """The rows as points (id, model, vector), id a hash of model and vector, and (id, symbol_id) of the symbols with a usable vector.
+
+    Exact copies are one point. Points of rows that no longer count are among them and have no symbols. Members need no
+    vectors to be shuffled.
+    """
+    rows = vectors.where("symbol_id is not null").select("symbol_id", "model", F.col("vector").cast("array<float>").alias("vector"), "created_at")
+    rows = rows.withColumn("id", F.xxhash64("model", "vector")).withColumn("good", _usable(dim))
+    latest = F.max(F.struct("created_at", "model", F.xxhash64("vector").alias("h"), "id", "good")).alias("l")
+    members = rows.groupBy("symbol_id").agg(latest).where("l.good").select("l.id", "symbol_id")
+    return rows.where("good").select("id", "model", "vector"), members
 
 
 def _verifier(least: float, dim: int):
-    """mapInArrow function: rows of (a, b, sa, sb, va, vb) to (a, b, sa, sb, cosine), exact in double precision, where the cosine is at least ``least``."""
+    """mapInArrow function: rows of (a, b, va, vb) to (a, b, cosine), exact in double precision, where the cosine is at least ``least``."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for i in (4, 5))
+            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for i in (2, 3))
             x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
             c = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
             good = pa.array(c >= least)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(good) for i in range(4)), pa.array(c[c >= least])], names=["a", "b", "sa", "sb", "cosine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(c[c >= least])], names=["a", "b", "cosine"])
 
     return run
 
@@ -235,6 +252,7 @@ def _hasher(index: Index):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch.take(pa.array(np.sort(np.unique(batch.column(0).to_numpy(), return_index=True)[1])))  # exact copies
             x = _unit(batch, index.dim)
             keys = index.cells(x, batch.column(1).to_numpy().astype(np.int64))
             spots = places((x - index.mean) @ counted, index.step).astype(np.uint8)
@@ -255,7 +273,7 @@ def _hasher(index: Index):
 
 
 def _counter(limits: tuple[int, ...], hot_cell: int):
-    """mapInArrow function over rows sorted by key: (a, b, radius) of the pairs of each cell whose collisions reach the threshold of a radius (the least such); (id, key, 0) of the rows of a cell beyond ``hot_cell`` rows.
+    """mapInArrow function over rows sorted by key and id: (a, b, radius) of the pairs of each cell whose collisions reach the threshold of a radius (the least such); (id, key, 0) of the rows of a cell beyond ``hot_cell`` rows.
 
     Rows o places apart are compared as whole columns, for o = 1, 2, ... until no cell has so many rows. A cell's rows
     may spread over batches; only the last, unfinished cell is carried along, and no more than ``hot_cell`` rows of it.
@@ -293,6 +311,8 @@ def _counter(limits: tuple[int, ...], hot_cell: int):
             columns = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), spots]
             if kept is not None:
                 columns = [np.concatenate(x) for x in zip(kept, columns)]
+            new = np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])]
+            columns = [c[new] for c in columns]  # exact copies from other batches
             key = columns[0]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
@@ -312,10 +332,10 @@ def _counter(limits: tuple[int, ...], hot_cell: int):
 
 
 def counted_pairs(hashed: DataFrame, limits: tuple[int, ...], hot_cell: int = HOT_CELL) -> DataFrame:
-    """(a, b, radius) as ``_counter`` gives them, once each with the least radius."""
-    keyed = hashed.select(F.explode("keys").alias("key"), "id", "code").repartition("key").sortWithinPartitions("key")
+    """(a, b, radius) as ``_counter`` gives them, once each with the least radius, kept in the shared folder."""
+    keyed = hashed.select(F.explode("keys").alias("key"), "id", "code").repartition("key").sortWithinPartitions("key", "id")
     met = keyed.mapInArrow(_counter(limits, hot_cell), "a long, b long, radius int").where("a <> b or radius = 0")
-    return met.groupBy("a", "b").agg(F.min("radius").alias("radius"))
+    return cut(met.groupBy("a", "b").agg(F.min("radius").alias("radius")))
 
 
 def _block_pairs(k: int, least: float, dim: int):
@@ -330,7 +350,7 @@ def _block_pairs(k: int, least: float, dim: int):
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        ids, names, models = table.column("id").to_numpy(), np.array(table.column("symbol_id").to_pylist(), dtype=object), np.array(table.column("model").to_pylist(), dtype=object)
+        ids, models = table.column("id").to_numpy(), np.array(table.column("model").to_pylist(), dtype=object)
         raw = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("vector").chunks]).reshape(-1, dim).astype(np.float64)
         raw /= np.abs(raw).max(axis=1, keepdims=True)
         raw /= np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
@@ -344,26 +364,19 @@ def _block_pairs(k: int, least: float, dim: int):
         i, j = one[:, 0], one[:, 1]
         c = np.concatenate([np.einsum("ij,ij->i", raw[i[o : o + 65536]], raw[j[o : o + 65536]]) for o in range(0, len(i), 65536)] or [np.array([])])
         good = c >= least
-        return pa.table({"a": ids[i[good]], "b": ids[j[good]], "sa": pa.array(names[i[good]].tolist(), pa.string()), "sb": pa.array(names[j[good]].tolist(), pa.string()), "cosine": c[good]})
+        return pa.table({"a": ids[i[good]], "b": ids[j[good]], "cosine": c[good]})
 
     return run
 
 
 def heavy_pairs(members: DataFrame, vectors: DataFrame, k: int, least: float, dim: int) -> DataFrame:
-    """(a, b, sa, sb, cosine): exactly the pairs of rows of one heavy cell (cell, id) of which one is among the other's k best of the cell. Cells are cut into blocks and each pair of blocks is a task's work."""
+    """(a, b, cosine): exactly the pairs of rows of one heavy cell (cell, id) of which one is among the other's k best of the cell. Cells are cut into blocks and each pair of blocks is a task's work."""
     blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(vectors, "id").join(blocks, "cell").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
-    placed = spread.select("cell", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), side.alias("side"), "id", "symbol_id", "model", "vector")
-    return placed.groupBy("cell", "i", "j").applyInArrow(_block_pairs(k, least, dim), "a long, b long, sa string, sb string, cosine double")
-
-
-def copies(vectors: DataFrame) -> DataFrame:
-    """(id, rep): the vectors that exactly repeat that of a smaller id of their model, with the smallest such id. Only hashes of the vectors are shuffled, combined first."""
-    slim = vectors.select("id", F.xxhash64("model", "vector").alias("h1"), F.hash("vector").alias("h2"))
-    same = slim.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "rep")
-    return slim.join(same, ["h1", "h2"]).where("id > rep").select("id", "rep")
+    placed = spread.select("cell", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), side.alias("side"), "id", "model", "vector")
+    return placed.groupBy("cell", "i", "j").applyInArrow(_block_pairs(k, least, dim), "a long, b long, cosine double")
 
 
 def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim: int = 96, windows: int | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
@@ -372,48 +385,47 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, d
     Single pairs are missed, most of them near ``min_cosine`` (figures in the README). ``search`` has no bound and misses none.
     """
     n = vectors.count()
-    usable = usable_vectors(vectors, dim)
-    again = copies(usable)
-    single = usable.join(again.select("id"), "id", "left_anti")
+    rows, members = points_and_members(vectors, dim)
     index = Index(n, dim, min_cosine, windows, hot_cell).fit(vectors)
-    hashed = single.select("id", F.hash("model").alias("model32"), "vector").mapInArrow(_hasher(index), "id long, keys array<long>, code binary, hot array<long>")
+    hashed = rows.select("id", F.hash("model").alias("model32"), "vector").mapInArrow(_hasher(index), "id long, keys array<long>, code binary, hot array<long>")
     met = counted_pairs(hashed, thresholds(min_cosine), hot_cell)
     pairs = met.where("radius > 0")
-    left = usable.select(F.col("id").alias("a"), F.col("symbol_id").alias("sa"), F.col("model").alias("ma"), F.col("vector").alias("va"))
-    right = usable.select(F.col("id").alias("b"), F.col("symbol_id").alias("sb"), F.col("model").alias("mb"), F.col("vector").alias("vb"))
+    points = rows.dropDuplicates(["id"])  # combined before the shuffle, so a vector repeated very often is no hot spot
 
     def verified(some: DataFrame) -> DataFrame:
+        left = points.select(F.col("id").alias("a"), F.col("model").alias("ma"), F.col("vector").alias("va"))
+        right = points.select(F.col("id").alias("b"), F.col("model").alias("mb"), F.col("vector").alias("vb"))
         # Models are compared by a function, as another join key would shuffle all vectors once more.
-        met = some.select("a", "b").join(left, "a").join(right, "b").where(F.array_contains(F.array("ma"), F.col("mb")))
-        return met.select("a", "b", "sa", "sb", "va", "vb").mapInArrow(_verifier(min_cosine, dim), "a long, b long, sa string, sb string, cosine double")
+        both = some.select("a", "b").join(left, "a").join(right, "b").where(F.array_contains(F.array("ma"), F.col("mb")))
+        return both.select("a", "b", "va", "vb").mapInArrow(_verifier(min_cosine, dim), "a long, b long, cosine double")
 
     # Virtual rehashing: the widest windows are only expanded for queries without k neighbours in narrower ones.
-    near = verified(pairs.where(F.col("radius") < RADII[-1]))
+    near = cut(verified(pairs.where(F.col("radius") < RADII[-1])))
     inner = distance_at(min_cosine) * RADII[-2] / RADII[-1]
     within = near.where(F.col("cosine") >= 1 - inner * inner / 2).select(F.explode(F.array("a", "b")).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
-    full = within.where(F.col("n") >= k).select("q")
+    full = within.where(F.col("n") >= k).select("q", F.lit(True).alias("full"))
     wide = pairs.where(F.col("radius") == RADII[-1])
-    wide = wide.join(full.select(F.col("q").alias("a"), F.lit(True).alias("fa")), "a", "left").join(full.select(F.col("q").alias("b"), F.lit(True).alias("fb")), "b", "left").where("fa is null or fb is null")
-    found = near.unionByName(verified(wide))
-    members = met.where("radius = 0").select(F.col("b").alias("cell"), F.col("a").alias("id"))
+    for end in ("a", "b"):
+        wide = wide.join(full.select(F.col("q").alias(end), F.col("full").alias(f"f{end}")), end, "left")
+    found = near.unionByName(verified(wide.where("fa is null or fb is null")))
+    late = met.where("radius = 0").select(F.col("b").alias("cell"), F.col("a").alias("id"))
+    crowds = [late] if late.limit(1).count() else []
     if index.hot:
-        members = members.unionByName(hashed.select(F.explode("hot").alias("cell"), "id")).distinct()
-    found = found.unionByName(heavy_pairs(members, single, k, min_cosine, dim)).dropDuplicates(["a", "b"])
-    ways = F.array(*[F.struct(F.col(x).alias("c"), F.col(sx).alias("own"), F.col(y).alias("c2"), F.col(sy).alias("other"), "cosine") for x, sx, y, sy in (("a", "sa", "b", "sb"), ("b", "sb", "a", "sa"))])
-    both = found.select(F.explode(ways).alias("p")).select("p.*")
-    # Classes of exact copies: (rep, member), the representative among them. Of a class at most k + 1 members can be
-    # among anyone's k most similar.
-    named = usable.select("id", "symbol_id")
-    members = again.select("id", "rep").unionByName(again.select(F.col("rep").alias("id"), "rep").distinct()).join(named, "id").select("rep", F.col("symbol_id").alias("member"))
-    few = members.withColumn("_rn", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("_rn") <= k + 1).select("rep", "member")
-    out = both.join(few.select(F.col("rep").alias("c2"), "member"), "c2", "left").select("c", "own", F.coalesce("member", "other").alias("neighbour_id"), "cosine")
-    inside = few.select(F.col("rep").alias("c"), F.lit(None).cast("string").alias("own"), F.col("member").alias("neighbour_id"), F.lit(1.0).alias("cosine"))
+        crowds.append(hashed.select(F.explode("hot").alias("cell"), "id"))
+    if crowds:
+        crowd = functools.reduce(DataFrame.unionByName, crowds).distinct()
+        found = found.unionByName(heavy_pairs(crowd, points, k, min_cosine, dim)).dropDuplicates(["a", "b"])
+    both = found.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("c2"), "cosine"), F.struct(F.col("b").alias("c"), F.col("a").alias("c2"), "cosine"))).alias("p")).select("p.*")
+    # Of the symbols of one point at most the k + 1 first can be among anyone's k most similar.
+    few = members.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy("symbol_id"))).where(F.col("_rn") <= k + 1).select(F.col("id").alias("c2"), F.col("symbol_id").alias("neighbour_id"))
+    out = both.join(few, "c2").select("c", "neighbour_id", "cosine")
+    inside = few.select(F.col("c2").alias("c"), "neighbour_id", F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("c").orderBy(F.desc("cosine"), "neighbour_id")
-    of_class = out.unionByName(inside).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1)
-    # Each member takes its class's list without itself; a class without copies has its own symbol as only member.
-    own = of_class.join(members.select(F.col("rep").alias("c"), "member"), "c", "left").withColumn("symbol_id", F.coalesce("member", "own")).where("symbol_id <> neighbour_id")
-    # A member that isn't in its class's list (its copies with smaller ids fill it) sees one entry too many.
-    return own.withColumn("_after", F.count("*").over(Window.partitionBy("c", "symbol_id").orderBy("_rn"))).where(F.col("_after") <= k).select("symbol_id", "neighbour_id", "cosine")
+    of_point = out.unionByName(inside).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1)
+    # Each symbol takes its point's list without itself.
+    own = of_point.join(members.select(F.col("id").alias("c"), "symbol_id"), "c").where("symbol_id <> neighbour_id")
+    # A symbol that isn't in its point's list (its copies with smaller ids fill it) sees one entry too many.
+    return own.withColumn("_after", F.row_number().over(Window.partitionBy("c", "symbol_id").orderBy("_rn"))).where(F.col("_after") <= k).select("symbol_id", "neighbour_id", "cosine")
 
 
 def similar_pairs(vectors: DataFrame, k: int = 10, min_cosine: float = 0.85, dim: int = 96) -> DataFrame:
