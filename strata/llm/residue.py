@@ -3,9 +3,13 @@
 Method: every text is cut into units (whole text, body of a section, value of a field) and every unit into
 messages (lines, else sentences). Numbers, addresses, dates and ids in a message are masked and the normalised
 message is hashed; equal hashes are grouped over all documents and sources. Phrase rules classify a message as
-filler, error or scripts notice; a placeholder rule finds unfilled slots outside of code and quotations. A unit
-is residue if it holds a classified message and nothing but such messages, page furniture, or unclassified
-messages that recur widely (``min_docs`` documents in ``min_sources`` sources).
+filler, error or scripts notice; a placeholder rule finds unfilled slots outside of code and quotations. Messages that
+no phrase names are classified by their group: one that recurs widely (``min_docs`` documents in ``min_sources``
+sources) and stands beside classified messages in at least ``company`` of its places belongs to the pages these come
+from, whatever it says. A share does not depend on the size of the corpus, so sentences of real content, which recur
+as well in a large one, stay content. A unit is residue if it holds a classified message and nothing but such
+messages, page furniture and messages classified by their group, or if it is made of the latter alone, where they
+stand beside classified ones in ``sure`` of their places.
 
 Defined results: a null or blank text is kept (``reason`` null), as is a row without doc_id; repeated rows are judged alike; an empty table
 gives an empty result; columns of the input beyond those named are ignored.
@@ -57,7 +61,7 @@ BARE_SLOT = re.compile(r"(?<![A-Za-z0-9_/$#{%=)\]])\{[^\W\dA-Z][\w ]{0,40}\}(?![
 FILLER = re.compile(
     r"""sample\stext|dummy\s(?:text|paragraph|copy)|placeholder\s(?:text|copy)|(?:description|content|text|more)\s(?:is\s)?coming\ssoon
       | your\s(?:text|content|description)\s(?:goes\s)?here|add\s(?:content|text|a\sdescription)\s(?:for|to|in)\s(?:this|the)\b|some\stext\shere
-      | write\s(?:a|your)\s[\w\s]{0,30}(?:in\sthis\sbox|here)|section\sbody\sto\sbe\ssupplied|to\sbe\s(?:supplied|written|announced|completed)\.?$
+      | write\s(?:a|your)\s[\w\s]{0,30}(?:in\sthis\sbox|here)|to\sbe\s(?:supplied|written|announced|completed)\.?$
       | lorem\sipsum|replace\sbefore\spublishing|under\sconstruction|text\sto\sfollow|insert\s(?:text|content)\shere
       | ^(?:tbd|tba|todo|n/?a|none|bla(?:\W+bla)*|foo(?:\W+bar)?(?:\W+baz)?|test(?:\W+test)*|asdf\w*|qwert\w*|abc|xyz|placeholder|untitled)\W*$
       | platzhalter(?:text)?\b|blindtext|hier\s(?:steht|folgt|kommt)\b|inhalt\s(?:folgt|kommt)|text\sfolgt|beispieltext|wird\snoch\s(?:ergänzt|ausgefüllt)|mustertext
@@ -68,7 +72,7 @@ FILLER = re.compile(
 SCRIPTS = re.compile(
     r"""(?:enable|allow|activate|turn\son|require[sd]?|needs?|without|execute|disabled)\b[^.]{0,50}\b(?:javascript|scripts?|js)\b
       | \b(?:javascript|scripts?|js)\b[^.]{0,40}(?:disabled|is\soff|must\sbe|required|turned\soff|not\senabled|to\srun|in\syour\sbrowser)
-      | checking\syour\sbrowser|turn\sthem\son\sin\syour\sbrowser
+      | checking\syour\sbrowser
       | (?:javascript|skripte?)\b[^.]{0,40}(?:aktivier|zugelassen|erlaub|deaktiviert|eingeschaltet|benötig|erforderlich)
       | (?:aktivieren|erlauben|benötigt|führt\skeine)\b[^.]{0,40}(?:javascript|skripte?)
       | (?:启用|开启|允许|打开|需要|未开启|禁用|关闭了?)[^。]{0,10}(?:脚本|\s?javascript)|(?:脚本|javascript)[^。]{0,8}(?:被禁用|未启用|未开启|已关闭)
@@ -76,18 +80,18 @@ SCRIPTS = re.compile(
     re.X | re.I,
 )
 ERROR = re.compile(
-    r"""^\W*(?:error\W+|http(?:/\d\.\d)?\s)?(?:[45]\d\d\W{1,3})?(?:not\sfound|forbidden|unauthorized|bad\s(?:gateway|request)|gateway\stime-?out|service\s(?:temporarily\s)?unavailable|internal\sserver\serror|too\smany\srequests|request\stimeout|gone|zeitüberschreitung|未找到页面|服务器)(?:\W*$|\W+\(|\W+am\b)
+    r"""^\W*(?:error\W+|http(?:/\d(?:\.\d)?)?\s)?(?:[45]\d\d\W{1,3})?(?:not\sfound|forbidden|unauthorized|bad\s(?:gateway|request)|gateway\stime-?out|service\s(?:temporarily\s)?unavailable|internal\sserver\serror|too\smany\srequests|request\stimeout|gone|zeitüberschreitung|未找到页面|服务器)(?:\W*$|\W+\(|\W+am\b)
       | zeitüberschreitung\sam\sgateway
       | ^\W*(?:error|fehler|错误)\s?\d{3,4}\b|page\s(?:was\s|could\s)?not\s(?:be\s)?found|(?:could|can)(?:\snot|n't)\sfind\s(?:that|the|this)\s(?:document|page|file|resource)
       | something\swent\swrong|request\s(?:was\s)?blocked|session\s(?:has\s|is\s)?(?:expired|timed\sout)|(?:permission|not\sallowed|not\sauthori[sz]ed)\sto\s(?:view|access|see|read)
       | (?:site|service|system|page|server)\s(?:is\s)?(?:currently\s)?(?:down|under\smaintenance|undergoing\smaintenance|offline)|maintenance\smode
       | (?:repository|page|document|service|resource|site|file)\sis\s(?:not|currently\sun|temporarily\sun|no\slonger\s)\s?available|temporarily\sunavailable
       | unable\sto\s(?:connect|reach|load)\b|requested\s(?:revision|page|resource|url|document|file)\s(?:does\snot\sexist|was\snot\sfound|could\snot\sbe)
-      | link\syou\sfollowed|try\sagain\s(?:later|in\sa)|(?:internal|unexpected)\s(?:server\s)?error(?:\soccurred)?\W*$|access\s(?:is\s)?denied|too\smany\srequests\W*$|rate\slimit\sexceeded
+      | link\syou\sfollowed|(?:internal|unexpected)\s(?:server\s)?error(?:\soccurred)?\W*$|access\s(?:is\s)?denied|too\smany\srequests\W*$|rate\slimit\sexceeded
       | ^render(?:ing)?\sfailed|^template:\s.*(?:executing|parse)|^fatal:\s|^traceback\b|no\ssuch\sfile\sor\sdirectory|could\snot\srender|exception\sin\sthread
-      | upstream\sserver\sdid\snot|have\sbeen\snotified|page\syou\sasked\sfor|moved\sor\sdeleted|contact\sthe\s[\w\s]{1,30}if\sthis\skeeps|check\sthe\saddress\sand|back\sto\sthe\s(?:start|home)\s?page|the\sconnection\swas\sreset
-      | (?:seite|dokument|datei)\s(?:wurde\s)?nicht\sgefunden|interner\sserverfehler|zugriff\sverweigert|wartungsarbeiten|sitzung\sist\sabgelaufen|angeforderte\sseite|später\serneut|zurück\szur\sstartseite|nicht\s(?:verfügbar|erreichbar)\W*$|zu\sviele\sanfragen|keine\sberechtigung
-      | 页面不存在|(?:未找到|找不到)(?:该|此|您)?[^。]{0,8}(?:页面|文档|资源)|(?:页面|文档)(?:未找到|找不到|走丢)|服务器(?:内部)?(?:错误|繁忙|异常)|请求(?:过于频繁|被拦截|超时)[，,]?|(?:登录|会话)已(?:过期|失效)|(?:没有|无)(?:权限)?(?:访问|查看)权?限?|(?:网站|系统|服务器?)(?:正在)?(?:维护|升级)|服务(?:暂时|暂)?不可用|稍后(?:再试|重试)|已被移动或删除|返回首页|联系管理员|网关(?:超时|错误)|仓库不可用|无法连接
+      | upstream\sserver\sdid\snot|the\sconnection\swas\sreset
+      | (?:seite|dokument|datei)\s(?:wurde\s)?nicht\sgefunden|interner\sserverfehler|zugriff\sverweigert|wartungsarbeiten|sitzung\sist\sabgelaufen|nicht\s(?:verfügbar|erreichbar)\W*$|zu\sviele\sanfragen|keine\sberechtigung
+      | 页面不存在|(?:未找到|找不到)(?:该|此|您)?[^。]{0,8}(?:页面|文档|资源)|(?:页面|文档)(?:未找到|找不到|走丢)|服务器(?:内部)?(?:错误|繁忙|异常)|请求(?:过于频繁|被拦截|超时)[，,]?|(?:登录|会话)已(?:过期|失效)|(?:没有|无)(?:权限)?(?:访问|查看)权?限?|(?:网站|系统|服务器?)(?:正在)?(?:维护|升级)|服务(?:暂时|暂)?不可用|网关(?:超时|错误)|仓库不可用|无法连接
     """,
     re.X | re.I,
 )
@@ -114,8 +118,8 @@ FILLER_STARTS = ("tbd", "tba", "todo", "n/a", "na", "none", "bla", "foo", "test"
 SCRIPT_PARTS = ("script", "browser", "skript")
 ERROR_PARTS = tuple(
     """found forbidden unauthorized bad gateway available error fehler gone timeout find wrong blocked expired timed permission allowed authori maintenance down offline
-    unable requested followed again denied many exceeded failed executing parse fatal traceback directory render exception upstream notified asked deleted keeps address back reset
-    gefunden verweigert wartungsarbeiten abgelaufen angeforderte erneut zurück verfügbar erreichbar anfragen berechtigung zeitüberschreitung""".split()
+    unable requested followed denied many exceeded failed executing parse fatal traceback directory render exception upstream reset
+    gefunden verweigert wartungsarbeiten abgelaufen verfügbar erreichbar anfragen berechtigung zeitüberschreitung""".split()
 )
 #: Chinese, and letters that match i or s whatever their case but are not lowered to them.
 _ALWAYS = re.compile("[\u4e00-\u9fff\u0130\u0131\u017f]")
@@ -146,7 +150,7 @@ _MASKS = (
     (re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+\.[\w.]+"), "<addr>"),
     (re.compile(r"\b\d{4}-\d\d-\d\d(?:[T ][\d:.]+(?:Z|[+-]\d\d:?\d\d)?)?|\b\d{1,2}:\d\d(?::\d\d)?\b"), "<date>"),
     (re.compile(r"(?i)\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b|\b\d{7,}\b|\b[0-9a-f]{8}-[0-9a-f-]{20,}\b"), "<id>"),
-    (re.compile(r"\d+(?:[.,]\d+)*"), "0"),
+    (re.compile(r"(?<!\d)(?![45]\d\d(?!\d|[.,]\d))\d+(?:[.,]\d+)*"), "0"),  # codes of errors stay
     (re.compile(r"\s+"), " "),
 )
 _WORD = re.compile(r"[^\W\d_]+")
@@ -193,9 +197,9 @@ def _mashed(words: list[str]) -> bool:
     return _share(words, _ODD.fullmatch, lambda k, n: k > 0.6 * n) and all(_LETTERS.fullmatch(w) for w in words)
 
 
-def judge(message: str, masked: str) -> str:
-    """Class of a message: filler, error, scripts, furniture, or '' for anything else."""
-    low = message.lower()
+def judge(message: str) -> str:
+    """Class of a masked message: filler, error, scripts, furniture, or '' for anything else."""
+    low = masked = message
     words = _WORD.findall(low)
     if not words:
         return "furniture"
@@ -284,8 +288,9 @@ def _units(text: str) -> tuple[bool, list[tuple[bool, list[str]]]]:
     return slot, units
 
 
-def messages(text: str) -> tuple[bool, list[tuple[int, int, int, str]]]:
-    """(has a slot, [(unit, hash of the masked message, class)]). Class 'code' stands for code in the unit."""
+def messages(text: str, known: dict[str, tuple[int, str]] | None = None) -> tuple[bool, list[tuple[int, int, str]]]:
+    """(has a slot, [(unit, hash of the masked message, class)]). Class 'code' stands for code in the unit. ``known`` remembers masked messages."""
+    known = {} if known is None else known
     slot, units = _units(normalise(text))
     out = []
     for n, (code, lines) in enumerate(units):
@@ -300,59 +305,75 @@ def messages(text: str) -> tuple[bool, list[tuple[int, int, int, str]]]:
                 continue
             # A line of several sentences is judged sentence by sentence, so a phrase taints only its own.
             sentences = [x for x in _SENTENCE.split(line) if x.strip()] if len(line) > 12 else [line]
-            parts = [(x, m, judge(x, m)) for x in sentences for m in (mask(x),)]
-            for s, m, k in parts:
-                out.append((n, xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) - (1 << 63) or 1, k))
+            for m in map(mask, sentences):
+                if m not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[m] = xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) - (1 << 63) or 1, judge(m)
+                out.append((n, *known[m]))
     return slot, out
 
 
+REMEMBERED = 100_000  #: masked messages whose class a task remembers; only a matter of time
+
+
 def _scan(batches):
+    known: dict[str, tuple[int, str]] = {}
     for pdf in batches:
         rows = []
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
             if not isinstance(text, str) or not text.strip():
                 continue
-            slot, found = messages(text)
+            slot, found = messages(text, known)
             if slot:
-                rows.append((doc, source, -1, 0, "slot", False, False))
-            judged: dict[int, set] = {}
+                rows.append((doc, source, -1, 0, "slot", False, 0, False))
+            units: dict[int, list] = {}
             for n, h, k in found:
-                judged.setdefault(n, set()).add(k)
-            residue = {n for n, ks in judged.items() if ks & {"filler", "error", "scripts"} and "code" not in ks}
+                units.setdefault(n, []).append((h, k))
             seen = set()
-            for n, h, k in found:
-                if k != "code" and (h or n in residue):
-                    rows.append((doc, source, n, h, k, n in residue, h not in seen))
-                    seen.add(h)
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "unit", "hash", "kind", "suspect", "first"])
+            for n, own in units.items():
+                kinds = {k for _, k in own}
+                if "code" in kinds:
+                    continue
+                suspect = bool(kinds & {"filler", "error", "scripts"})
+                unknown = sum(k == "" for _, k in own)
+                for h, k in own:
+                    if k == "" or (suspect and k != "furniture"):
+                        rows.append((doc, source, n, h, k, suspect, unknown, h not in seen))
+                        seen.add(h)
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "unit", "hash", "kind", "suspect", "unknown", "first"])
 
 
 def scan_messages(documents: DataFrame) -> DataFrame:
-    """One row per message of every text: (doc_id, source, unit, hash, kind, suspect, first); a slot is a row of unit -1. Hash 0 marks code and mashed units, first the first place of a hash in its text."""
+    """One row per message of every text, furniture and units with code left out: (doc_id, source, unit, hash, kind, suspect, unknown, first).
+
+    A slot is a row of unit -1, hash 0 marks mashed units. suspect: the unit holds a classified message; unknown: its
+    messages of no class; first: the first place of a hash in its text.
+    """
     src = F.lower(F.regexp_replace(F.trim(F.coalesce(F.col("source"), F.lit(""))), r"[\s_-]+", "-"))
-    return spread(documents.where("doc_id is not null").select("doc_id", src.alias("source"), "text")).mapInPandas(_scan, "doc_id long, source string, unit int, hash long, kind string, suspect boolean, first boolean")
+    rows = spread(documents.where("doc_id is not null").select("doc_id", src.alias("source"), "text"))
+    return rows.mapInPandas(_scan, "doc_id long, source string, unit int, hash long, kind string, suspect boolean, unknown int, first boolean")
+
+
+def message_groups(found: DataFrame, min_docs: int, min_sources: int) -> DataFrame:
+    """(hash, share): the messages of no class that recur in ``min_docs`` documents and ``min_sources`` sources, with the share of their places beside classified messages. Counts combine before the shuffle, no group is gathered."""
+    per_source = found.where("kind = ''").groupBy("hash", "source").agg(F.count("*").alias("n"), F.count(F.when(F.col("suspect"), 1)).alias("beside"), F.count(F.when(F.col("first"), 1)).alias("d"))
+    group = per_source.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside"), F.sum("d").alias("docs"), F.count("*").alias("sources"))
+    return group.where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)).select("hash", (F.col("beside") / F.col("n")).alias("share"))
 
 
-def residue(documents: DataFrame, min_docs: int = 3, min_sources: int = 2) -> DataFrame:
-    """(doc_id, reason) of every document that is residue; reason is slot, filler, error or scripts (the first in this order)."""
+def residue(documents: DataFrame, min_docs: int = 3, min_sources: int = 2, company: float = 0.6, sure: float = 0.9) -> DataFrame:
+    """(doc_id, reason) of every document that is residue; reason is slot, filler, error or scripts (the first in this order), or recurring for a unit of messages classified by their groups alone."""
     found = cut(scan_messages(documents))
-    suspect = found.where("suspect and unit >= 0")
-    # Recurrence over all documents and sources: counts combine before the shuffle, no group is gathered.
-    recurring = (
-        found.where("hash <> 0 and first")
-        .groupBy("hash", "source")
-        .agg(F.count("*").alias("d"))
-        .groupBy("hash")
-        .agg(F.sum("d").alias("docs"), F.count("*").alias("sources"))
-        .where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources))
-        .select("hash", F.lit(True).alias("recurs"))
-    )
-    unknown = suspect.where("kind = ''")
-    # A unit falls out if one of its unclassified messages does not recur.
-    content = unknown.select("doc_id", "unit", "hash").join(recurring, "hash", "left").where("recurs is null").select("doc_id", "unit").distinct()
-    bad = suspect.where("kind in ('filler', 'error', 'scripts')").select("doc_id", "unit", "kind").join(content, ["doc_id", "unit"], "left_anti").select("doc_id", "kind")
-    order = F.expr("case kind when 'slot' then 0 when 'filler' then 1 when 'error' then 2 else 3 end")
-    return bad.unionByName(found.where("kind = 'slot'").select("doc_id", "kind")).groupBy("doc_id").agg(F.min_by("kind", order).alias("reason"))
+    grouped = message_groups(found, min_docs, min_sources).where(F.col("share") >= company)
+    unknown = found.where("kind = ''").select("doc_id", "unit", "hash", "suspect", "unknown")
+    # Units all of whose messages of no class are classified by their groups; the others are content.
+    by_group = unknown.join(grouped, "hash").groupBy("doc_id", "unit").agg(F.count("*").alias("n"), F.min("share").alias("share"), F.first("suspect").alias("suspect"), F.first("unknown").alias("unknown")).where("n = unknown")
+    classified = found.where("kind in ('filler', 'error', 'scripts')").select("doc_id", "unit", "kind", "unknown")
+    clean = classified.where("unknown = 0").unionByName(classified.where("unknown > 0").join(by_group.where("suspect").select("doc_id", "unit"), ["doc_id", "unit"], "left_semi")).select("doc_id", "kind")
+    alone = by_group.where(~F.col("suspect") & (F.col("share") >= sure)).select("doc_id", F.lit("recurring").alias("kind"))
+    order = F.expr("case kind when 'slot' then 0 when 'filler' then 1 when 'error' then 2 when 'scripts' then 3 else 4 end")
+    return clean.unionByName(found.where("kind = 'slot'").select("doc_id", "kind")).unionByName(alone).groupBy("doc_id").agg(F.min_by("kind", order).alias("reason"))
 
 
 def split_residue(documents: DataFrame, **options) -> DataFrame:
