@@ -17,6 +17,7 @@ gives an empty result; columns of the input beyond those named are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -67,7 +68,7 @@ FILLER = re.compile(
       | platzhalter(?:text)?\b|blindtext|hier\s(?:steht|folgt|kommt)\b|inhalt\s(?:folgt|kommt)|text\sfolgt|beispieltext|wird\snoch\s(?:ergänzt|ausgefüllt)|mustertext
       | 占位(?:文本|文字|内容|符)|示例(?:文字|文本|段落|内容)|内容待(?:补充|补|填)|敬请期待|待补充|此处(?:填写|输入|为示例)|在此(?:填写|输入)|请替换|测试测试|暂无(?:内容|描述|说明)|正文待|稍后补充|说明待
     """,
-    re.X | re.I,
+    re.X,
 )
 SCRIPTS = re.compile(
     r"""(?:enable|allow|activate|turn\son|require[sd]?|needs?|without|execute|disabled)\b[^.]{0,50}\b(?:javascript|scripts?|js)\b
@@ -77,7 +78,7 @@ SCRIPTS = re.compile(
       | (?:aktivieren|erlauben|benötigt|führt\skeine)\b[^.]{0,40}(?:javascript|skripte?)
       | (?:启用|开启|允许|打开|需要|未开启|禁用|关闭了?)[^。]{0,10}(?:脚本|\s?javascript)|(?:脚本|javascript)[^。]{0,8}(?:被禁用|未启用|未开启|已关闭)
     """,
-    re.X | re.I,
+    re.X,
 )
 ERROR = re.compile(
     r"""^\W*(?:error\W+|http(?:/\d(?:\.\d)?)?\s)?(?:[45]\d\d\W{1,3})?(?:not\sfound|forbidden|unauthorized|bad\s(?:gateway|request)|gateway\stime-?out|service\s(?:temporarily\s)?unavailable|internal\sserver\serror|too\smany\srequests|request\stimeout|gone|zeitüberschreitung|未找到页面|服务器)(?:\W*$|\W+\(|\W+am\b)
@@ -93,7 +94,7 @@ ERROR = re.compile(
       | (?:seite|dokument|datei)\s(?:wurde\s)?nicht\sgefunden|interner\sserverfehler|zugriff\sverweigert|wartungsarbeiten|sitzung\sist\sabgelaufen|nicht\s(?:verfügbar|erreichbar)\W*$|zu\sviele\sanfragen|keine\sberechtigung
       | 页面不存在|(?:未找到|找不到)(?:该|此|您)?[^。]{0,8}(?:页面|文档|资源)|(?:页面|文档)(?:未找到|找不到|走丢)|服务器(?:内部)?(?:错误|繁忙|异常)|请求(?:过于频繁|被拦截|超时)[，,]?|(?:登录|会话)已(?:过期|失效)|(?:没有|无)(?:权限)?(?:访问|查看)权?限?|(?:网站|系统|服务器?)(?:正在)?(?:维护|升级)|服务(?:暂时|暂)?不可用|网关(?:超时|错误)|仓库不可用|无法连接
     """,
-    re.X | re.I,
+    re.X,
 )
 #: Furniture around a page and its tracking numbers: neither content nor residue by itself.
 FURNITURE = re.compile(
@@ -101,7 +102,7 @@ FURNITURE = re.compile(
       | ^\W*©.*$ | ^\W*[\w.-]+\.(?:example|com|org|net|dev|io)\W*$ | ^\W*[\w\s]{1,40}\s-\s(?:package\sbrowser|docs|documentation)\W*$
       | ^\W*(?:request\sid|incident|trace|ray(?:\sid)?|reference|error\sid|correlation\sid|id)\W*<id>\W*$ | ^\W*(?:<id>|0)\W*$
     """,
-    re.X | re.I,
+    re.X,
 )
 #: Words of the Latin dummy text; a sentence made of them alone is filler.
 LATIN = frozenset(
@@ -121,20 +122,19 @@ ERROR_PARTS = tuple(
     unable requested followed denied many exceeded failed executing parse fatal traceback directory render exception upstream reset
     gefunden verweigert wartungsarbeiten abgelaufen verfügbar erreichbar anfragen berechtigung zeitüberschreitung""".split()
 )
-#: Chinese, and letters that match i or s whatever their case but are not lowered to them.
-_ALWAYS = re.compile("[\u4e00-\u9fff\u0130\u0131\u017f]")
+_CHINESE = re.compile("[\u4e00-\u9fff]")
 
 
-def may_be_filler(low: str) -> bool:
-    return low.startswith(FILLER_STARTS) or any(p in low for p in FILLER_PARTS) or bool(_ALWAYS.search(low))
+def may_be_filler(low: str, parts=FILLER_PARTS) -> bool:
+    return low.startswith(FILLER_STARTS) or any(p in low for p in parts) or bool(_CHINESE.search(low))
 
 
-def may_be_scripts(low: str, words: list[str]) -> bool:
-    return any(p in low for p in SCRIPT_PARTS) or "js" in words or bool(_ALWAYS.search(low))
+def may_be_scripts(low: str, words: list[str], parts=SCRIPT_PARTS) -> bool:
+    return any(p in low for p in parts) or "js" in words or bool(_CHINESE.search(low))
 
 
-def may_be_error(low: str) -> bool:
-    return any(p in low for p in ERROR_PARTS) or bool(_ALWAYS.search(low))
+def may_be_error(low: str, parts=ERROR_PARTS) -> bool:
+    return any(p in low for p in parts) or bool(_CHINESE.search(low))
 
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1|```|\Z)")
@@ -151,8 +151,8 @@ _MASKS = (
     (re.compile(r"\b\d{4}-\d\d-\d\d(?:[T ][\d:.]+(?:Z|[+-]\d\d:?\d\d)?)?|\b\d{1,2}:\d\d(?::\d\d)?\b"), "<date>"),
     (re.compile(r"(?i)\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b|\b\d{7,}\b|\b[0-9a-f]{8}-[0-9a-f-]{20,}\b"), "<id>"),
     (re.compile(r"(?<!\d)(?![45]\d\d(?!\d|[.,]\d))\d+(?:[.,]\d+)*"), "0"),  # codes of errors stay
-    (re.compile(r"\s+"), " "),
 )
+_MASKED = re.compile(r"\d|@|://")  #: one of these stands in everything that is masked
 _WORD = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"</?(?:noscript|html|body|head|title|p|div|h[1-6]|span|br|center|hr|main|header|footer|nav|strong|em|b|i)\b[^<>]*>", re.I)
 
@@ -164,9 +164,10 @@ def normalise(text: str) -> str:
 
 
 def mask(message: str) -> str:
-    for pattern, by in _MASKS:
-        message = pattern.sub(by, message)
-    return message.strip().lower()
+    if _MASKED.search(message):
+        for pattern, by in _MASKS:
+            message = pattern.sub(by, message)
+    return " ".join(message.split()).lower()
 
 
 _HOME = re.compile(r"[asdfghjklqwe]{3,}")
@@ -177,49 +178,55 @@ _DUMMIES = frozenset("foo bar baz qux quux test abc xyz xxx asdf qwerty bla blah
 _SLOT_SIGN = re.compile(r"[{$#<%@\[【]|__|(?:CHANGE|REPLACE|FILL|FIX)_?ME|_HERE")
 
 
-def _share(words: list[str], test, enough) -> bool:
-    """Whether ``enough(words that pass, all words)``; stops once too many have failed."""
-    n = left = len(words)
-    for w in words:
-        if not test(w):
-            left -= 1
-            if not enough(left, n):
-                return False
-    return enough(left, n)
+@functools.lru_cache(100_000)
+def _home(word: str) -> bool:
+    return bool(_HOME.fullmatch(word))
+
+
+@functools.lru_cache(100_000)
+def _odd(word: str) -> bool:
+    return bool(_ODD.fullmatch(word))
 
 
 def _mashed(words: list[str]) -> bool:
     """Keyboard mashing: few different words repeated, or letter runs that no word of a language has."""
     if len(words) >= 4 and (len(set(words)) <= 2 or _DUMMIES.issuperset(words)):
         return True
-    if len(words) >= 3 and _share(words, _HOME.fullmatch, lambda k, n: k >= 0.85 * n):
+    if len(words) >= 3 and sum(map(_home, words)) >= 0.85 * len(words):
         return True
-    return _share(words, _ODD.fullmatch, lambda k, n: k > 0.6 * n) and all(_LETTERS.fullmatch(w) for w in words)
+    return sum(map(_odd, words)) > 0.6 * len(words) and all(_LETTERS.fullmatch(w) for w in words)
 
 
-def judge(message: str) -> str:
-    """Class of a masked message: filler, error, scripts, furniture, or '' for anything else."""
-    low = masked = message
-    words = _WORD.findall(low)
+def judge(message: str, parts: tuple = (FILLER_PARTS, SCRIPT_PARTS, ERROR_PARTS)) -> str:
+    """Class of a masked message: filler, error, scripts, furniture, or '' for anything else. ``parts`` are those that occur in its text."""
+    words = _WORD.findall(message)
     if not words:
         return "furniture"
-    if len(words) >= 2 and sum(w in LATIN for w in words) >= 0.9 * len(words) and any(len(w) > 4 for w in words):
+    if len(words) >= 2 and not LATIN.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.9 * len(words) and any(len(w) > 4 for w in words):
         return "filler"
-    if len(masked) < 160 and FURNITURE.search(masked):
+    if FURNITURE.match(message):
         return "furniture"
-    if re.match(r"\W*(?:template: |render(?:ing)? failed\b|fatal: |traceback\b)", masked):
+    if _FAILED.match(message):
         return "error"
     if "\x00" in message:  # a quotation: the sentence talks about something
         return ""
-    if may_be_filler(low) and FILLER.search(message):
+    if may_be_filler(message, parts[0]) and FILLER.search(message):
         return "filler"
-    if may_be_scripts(low, words) and SCRIPTS.search(message) and not re.search(r"\bonly\b|nur\b|只有", masked):
+    if may_be_scripts(message, words, parts[1]) and SCRIPTS.search(message) and not _ONLY.search(message):
         return "scripts"
-    if may_be_error(low) and ERROR.search(message):
+    if may_be_error(message, parts[2]) and ERROR.search(message):
         return "error"
     return "filler" if _mashed(words) else ""
 
 
+_FAILED = re.compile(r"\W*(?:template: |render(?:ing)? failed\b|fatal: |traceback\b)")
+_ONLY = re.compile(r"\bonly\b|nur\b|只有")
+_CODE_LINE = re.compile(r"[{};()=]|^\s*(?:package|import|return|if|for|var|type|const|func)\b|^\t")
+_QUOTE = re.compile("[`\"“„「«‘]")
+_ERROR_NUMBER = re.compile(r"(?i)error \d")
+_COMMENT = re.compile(r"^\s*(?://+|/\*+|\*+/?)\s?")
+
+
 def _leaves(x: object) -> list[str]:
     if isinstance(x, str):
         return [x]
@@ -259,8 +266,8 @@ def _units(text: str) -> tuple[bool, list[tuple[bool, list[str]]]]:
             code = True
             continue
         comment = raw.lstrip().startswith(("//", "/*", "*"))
-        line = _QUOTED.sub("\x00", raw)
-        prose = comment or not go or not re.search(r"[{};()=]|^\s*(?:package|import|return|if|for|var|type|const|func)\b|^\t", line)
+        line = _QUOTED.sub("\x00", raw) if _QUOTE.search(raw) else raw
+        prose = comment or not go or not _CODE_LINE.search(line)
         if not slot and _SLOT_SIGN.search(line) and (SLOT.search(line) or (prose and BARE_SLOT.search(line))):
             slot = True
         if not raw.strip():
@@ -274,14 +281,14 @@ def _units(text: str) -> tuple[bool, list[tuple[bool, list[str]]]]:
         if m := _FLAG.match(line):
             close()
             line = line[m.end() :]
-        elif (m := _FIELD.match(line)) and m.group(1).lower() not in _NOISE_KEYS and not re.match(r"(?i)error \d", line):
+        elif (m := _FIELD.match(line)) and m.group(1).lower() not in _NOISE_KEYS and not _ERROR_NUMBER.match(line):
             close()
             line = line[m.end() :]
         elif m := _BULLET.match(line):
             close()
             line = line[m.end() :]
         if comment:
-            line = re.sub(r"^\s*(?://+|/\*+|\*+/?)\s?", "", line)
+            line = _COMMENT.sub("", line)
         if line.strip():
             lines.append(line)
     close()
@@ -291,7 +298,10 @@ def _units(text: str) -> tuple[bool, list[tuple[bool, list[str]]]]:
 def messages(text: str, known: dict[str, tuple[int, str]] | None = None) -> tuple[bool, list[tuple[int, int, str]]]:
     """(has a slot, [(unit, hash of the masked message, class)]). Class 'code' stands for code in the unit. ``known`` remembers masked messages."""
     known = {} if known is None else known
-    slot, units = _units(normalise(text))
+    text = normalise(text)
+    slot, units = _units(text)
+    low = text.lower()
+    parts = tuple(tuple(p for p in every if p in low) for every in (FILLER_PARTS, SCRIPT_PARTS, ERROR_PARTS))
     out = []
     for n, (code, lines) in enumerate(units):
         if code:
@@ -300,7 +310,7 @@ def messages(text: str, known: dict[str, tuple[int, str]] | None = None) -> tupl
             out.append((n, 0, "filler"))
             continue
         for line in lines:
-            line = _TAG.sub(" ", line).strip()
+            line = (_TAG.sub(" ", line) if "<" in line else line).strip()
             if not line:
                 continue
             # A line of several sentences is judged sentence by sentence, so a phrase taints only its own.
@@ -309,7 +319,7 @@ def messages(text: str, known: dict[str, tuple[int, str]] | None = None) -> tupl
                 if m not in known:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[m] = xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) - (1 << 63) or 1, judge(m)
+                    known[m] = xxhash.xxh64_intdigest(m.encode("utf-8", "replace")) - (1 << 63) or 1, judge(m, parts)
                 out.append((n, *known[m]))
     return slot, out
 
