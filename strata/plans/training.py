@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_targets(spark: SparkSession, d: str) -> DataFrame:
-    return skew.target_totals(table(spark, d, "edges"))
+    return skew.target_totals(table(spark, d, "edges")).drop("heavy")
 
 
 def p3_callers(spark: SparkSession, d: str) -> DataFrame:

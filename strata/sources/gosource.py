@@ -14,17 +14,27 @@ from strata.functions import rules
 SYMBOLS = "file_path string, package_path string, package_name string, kind string, id string, name string, receiver string, signature string, doc_comment string, line_start int, line_end int, exported boolean"
 REFERENCES = "file_path string, package_path string, line int, edge_type string, owner string, target string, alias string"
 
-TOP = regex.compile(
-    r"""
+#: Strings, comments and balanced brackets; braces in strings or comments end nothing.
+GRAMMAR = r"""
     (?(DEFINE)
       (?<str>"(?:[^"\\\n]++|\\.)*+"|`[^`]*+`|'(?:[^'\\\n]|\\[^\n]{1,9}?)')
       (?<com>//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)
       (?<par>\((?:[^()"'`/]++|(?&str)|(?&com)|[/"'`]|(?&par))*+\))
       (?<blk>\{(?:[^{}"'`/]++|(?&str)|(?&com)|[/"'`]|(?&blk))*+\})
       (?<sqr>\[(?:[^\[\]"'`/]++|(?&str)|(?&com)|[/"'`]|(?&sqr))*+\])
+      (?<typ>[ \t]*+(?:(?:interface|struct)[ \t]*(?&blk)|(?&par)|(?&sqr)|<-|[\w.*]++))
+      (?<lead>(?:[ \t]*+(?&com)[ \t]*+\n)*+)
     )
-    (?m:^)(?<doc>(?:(?://[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)[ \t]*+\n)*+)
-    (?: func\b[ \t]*+(?<recv>(?&par))?+[ \t]*+(?<fname>[^\W\d]\w*+)(?&sqr)?+[ \t]*+(?<params>(?&par))(?<result>(?:[ \t]*+(?:(?:interface|struct)[ \t]*(?&blk)|(?&par)|(?&sqr)|<-|[\w.*]++))*+)[ \t]*+(?<body>(?&blk))?+
+"""
+#: A function's declaration without its body.
+FUNCTION = r"func\b[ \t]*+(?<recv>(?&par))?+[ \t]*+(?<fname>[^\W\d]\w*+)(?&sqr)?+[ \t]*+(?<params>(?&par))(?<result>(?&typ)*+)"
+TOP = regex.compile(
+    GRAMMAR
+    + r"""
+    (?m:^)(?<doc>(?&lead))
+    (?: """
+    + FUNCTION
+    + r"""[ \t]*+(?<body>(?&blk))?+
       | (?<word>type|const|var)\b[ \t]*+(?: (?<group>(?&par)) | (?<spec>[^\n{]*+(?:(?&blk))?+[^\n]*+) )
       | import\b[ \t]*+(?: (?<imports>(?&par)) | (?<import>[^\n]*+) )
       | package[ \t]++(?<package>\w++)
