@@ -2,8 +2,8 @@
 
 Method: one recursive pattern of the ``regex`` library captures comment, signature and balanced body together;
 strings, runes and comments inside are protected, so a brace in a string ends nothing. Captures whose comment says
-nothing are filtered. The same pattern serves whole source files and rows of ``symbols`` (rendered as one
-declaration without body).
+nothing are filtered. In ``symbols`` a function's comment and signature are apart and bodies are missing: the same
+grammar reads the signature there, and its captures pass the same filter.
 
 A comment says something if, without comment markers, tool directives, to-do notes, function words and words of
 the symbol's own name in any inflection, at least five words are left; two Chinese characters count as one word.
@@ -22,24 +22,11 @@ from pyspark.sql import DataFrame
 
 from strata.common import spread
 from strata.operators.versions import current_versions
+from strata.sources.gosource import FUNCTION, GRAMMAR
 
-DECLARATION = regex.compile(
-    r"""
-    (?(DEFINE)
-      (?<quoted> "(?:[^"\\\n]++|\\.)*+" | `[^`]*+` | '(?:[^'\\\n]|\\.[0-9a-fA-F]*+)' )
-      (?<note>   //[^\n]*+ | /\*(?:[^*]++|\*(?!/))*+\*/ )
-      (?<skip>   (?&quoted) | (?&note) | [/"'`] )
-      (?<round>  \( (?: [^()"'`/]++ | (?&skip) | (?&round) )*+ \) )
-      (?<square> \[ (?: [^\[\]"'`/]++ | (?&skip) | (?&square) )*+ \] )
-      (?<curly>  \{ (?: [^{}"'`/]++ | (?&skip) | (?&curly) )*+ \} )
-      (?<type>   (?: (?:interface|struct)[ \t]*(?&curly) | (?&square) | (?&round) | <-|[\w.*]++ ) )
-    )
-    ^(?<doc> (?: [ \t]*+ (?: //[^\n]*+ | /\*(?:[^*]++|\*(?!/))*+\*/ ) [ \t]*+ \n )*+ )
-    (?<sig> func\b [ \t]*+ (?<recv>(?&round))?+ [ \t]*+ (?<name>[^\W\d]\w*+) (?&square)?+ [ \t]*+ (?&round) (?: [ \t]*+ (?&type) )*+ )
-    [ \t]*+ (?<body>(?&curly))?+
-    """,
-    regex.X | regex.M,
-)
+DECLARATION = regex.compile(GRAMMAR + r"(?m:^)(?<doc>(?&lead))(?<sig>" + FUNCTION + r")[ \t]*+(?<body>(?&blk))?+", regex.X)
+#: A signature alone, as the symbol table holds it; methods of interfaces lack the keyword.
+SIGNATURE = regex.compile(GRAMMAR + r"\s*+(?<sig>(?:" + FUNCTION + r"|(?<fname>[^\W\d]\w*+)(?&par)(?&typ)*+))", regex.X)
 
 # ---- fixed values: words that carry no meaning of their own -------------------------------------------------
 FUNCTION_WORDS = frozenset(
@@ -104,15 +91,6 @@ def says_something(comment: str | None, name: str | None, least: int = 5) -> boo
     return bool(comment) and content_words(clean_comment(comment), name or "") >= least
 
 
-def render(comment: str, signature: str) -> str:
-    """A row of the symbol table as source text: the comment marked line by line, then the declaration."""
-    body = comment.replace("\r\n", "\n").replace("\r", "\n").strip()
-    body = re.sub(r"^/\*+|\*+/$", "", body) if body.startswith("/*") else body
-    lines = [x if x.lstrip().startswith("//") else f"// {x}" for x in body.replace("*/", "* /").split("\n")]
-    sig = signature.strip()
-    return "\n".join(lines) + "\n" + (sig if sig.startswith("func") else f"func {sig}") + "\n"
-
-
 def declarations(text: str):
     """(name, receiver, signature, comment, body, line) of every function in a source text, documented or not."""
     text = text.replace("﻿", "").replace("\r\n", "\n")
@@ -120,7 +98,7 @@ def declarations(text: str):
     for m in DECLARATION.finditer(text, concurrent=True):
         line, at = line + text.count("\n", at, m.start("sig")), m.start("sig")
         recv = (m["recv"] or "").strip("()").split()
-        yield m["name"], re.sub(r"[*\[].*$", "", recv[-1].lstrip("*")) if recv else None, re.sub(r"\s+", " ", m["sig"]).strip(), m["doc"], m["body"], line
+        yield m["fname"], re.sub(r"[*\[].*$", "", recv[-1].lstrip("*")) if recv else None, re.sub(r"\s+", " ", m["sig"]).strip(), m["doc"], m["body"], line
 
 
 def _pair_rows(batches):
@@ -129,10 +107,10 @@ def _pair_rows(batches):
         for name, signature, comment in zip(pdf["name"], pdf["signature"], pdf["doc_comment"]):
             ok = isinstance(signature, str) and signature.strip() and isinstance(comment, str) and comment.strip()
             if ok:
-                found = DECLARATION.search(render(comment, signature))
+                found = SIGNATURE.match(signature.replace("\r\n", "\n"))
                 sig = found["sig"] if found else signature
-                text = clean_comment(found["doc"] if found else comment)
-                ok = content_words(text, name or "") >= 5
+                text = clean_comment(comment)
+                ok = content_words(text, name or (found["fname"] if found else "")) >= 5
             keep.append(bool(ok))
             if ok:
                 signatures.append(re.sub(r"\s+", " ", sig).strip())

@@ -209,12 +209,127 @@ def test_symbol_pairs_take_the_current_version(spark):
     ]
     df = spark.createDataFrame(rows, cols)
     got = {r["symbol_id"]: r["signature"] for r in code_docs.symbol_pairs(df.unionByName(df)).collect()}
-    assert set(got) == {"b", "e", "f"} and got["b"] == "func Load() ( error)"
+    assert set(got) == {"b", "e", "f"} and got["b"] == "Load() ( error)"
     assert code_docs.symbol_pairs(df.limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "x.go", SOURCE), (2, None, None), (3, "y", ""), (None, "x.go", SOURCE), (4, "z.go", "func (" * 3000)], "doc_id long, file_path string, text string")
     assert {(r["doc_id"], r["name"]) for r in code_docs.file_pairs(docs).collect()} == {(1, "Split"), (1, "Load")}
 
 
+def scan_functions(text):
+    """(name, comment lines, body) of the functions of a source text, character by character, without patterns."""
+    text = text.replace("\ufeff", "").replace("\r\n", "\n")
+    n, i, line_start, out, notes = len(text), 0, True, [], []
+
+    def skip(i):
+        """Behind the string or comment at i, or i."""
+        if text.startswith("//", i):
+            j = text.find("\n", i)
+            return n if j < 0 else j
+        if text.startswith("/*", i):
+            j = text.find("*/", i + 2)
+            return n if j < 0 else j + 2
+        if text[i] == "`":
+            j = text.find("`", i + 1)
+            return i if j < 0 else j + 1
+        if text[i] in "\"'":
+            j = i + 1
+            while j < n and text[j] not in (text[i], "\n"):
+                j += 2 if text[j] == "\\" else 1
+            return j + 1 if j < n and text[j] == text[i] else i
+        return i
+
+    def closed(i):
+        """Behind the bracket that closes the one at i, or None."""
+        depth = 0
+        while i < n:
+            j = skip(i)
+            if j > i:
+                i = j
+                continue
+            depth += (text[i] in "([{") - (text[i] in ")]}")
+            i += 1
+            if not depth:
+                return i
+        return None
+
+    while i < n:
+        end = text.find("\n", i)
+        end = n if end < 0 else end
+        line = text[i:end]
+        if line.lstrip(" \t").startswith(("//", "/*")):
+            j = skip(i + len(line) - len(line.lstrip(" \t")))
+            notes.append(text[i:j])
+            rest = text.find("\n", j)
+            i = n if rest < 0 else rest + 1
+            continue
+        if line.startswith("func") and not line[4:5].isalnum():
+            j, name = i + 4, None
+            while j < n and text[j] in " \t":
+                j += 1
+            if text[j] == "(":
+                j = closed(j) or n
+                while j < n and text[j] in " \t":
+                    j += 1
+            k = j
+            while k < n and (text[k].isalnum() or text[k] == "_"):
+                k += 1
+            name, j = text[j:k], k
+            if name:
+                while j < n and text[j] in "[(" and (j := closed(j)):  # type parameters, parameters
+                    if text[j - 1] == ")":
+                        break
+                body = None
+                while j is not None and j < n and text[j] != "\n":
+                    if text[j] == "{":
+                        word = text[i:j].split()[-1].split("]")[-1].split("*")[-1].split("(")[-1]
+                        stop = closed(j)
+                        if word in ("interface", "struct") or text[i:j].rstrip().endswith(("interface", "struct")):
+                            j = stop
+                            continue
+                        body = text[j:stop] if stop else None
+                        j = stop
+                        break
+                    j = closed(j) if text[j] in "([" else j + 1
+                out.append((name, "".join(notes), body))
+                i = j if j is not None else end + 1
+                while i < n and text[i - 1] != "\n":
+                    i += 1
+                notes = []
+                continue
+        notes = []
+        # Any other line: strings and comments that run over lines are passed as a whole.
+        while i < end:
+            j = skip(i)
+            i = j if j > i else i + 1
+            if i > end:
+                end = text.find("\n", i)
+                end = n if end < 0 else end
+        i = end + 1
+    return out
+
+
+@has_data
+def test_pattern_equals_a_plain_scanner_on_all_source_documents():
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{DATA}/sf0.1/documents.parquet").column("text").to_pylist() if t and re.search(r"(?m)^func\b", t) and re.search(r"(?m)^package \w+", t)]
+    assert len(texts) > 500
+    differ, functions = [], 0
+    for t in texts:
+        got = [(name, re.sub(r"\s", "", doc), body) for name, _, _, doc, body, _ in code_docs.declarations(t)]
+        want = [(name, re.sub(r"\s", "", doc), body) for name, doc, body in scan_functions(t)]
+        functions += len(got)
+        if got != want:
+            differ.append((got, want))
+    assert functions > 3000 and len(differ) == 0, differ[:1]
+
+
+def test_signatures_are_read_by_the_same_grammar():
+    for text, name in (("func (s *Store[K, V]) Get(ctx context.Context, f func(int) error) (V, error)", "Get"), ("func Map[T any](\n\tin []T,\n) []T", "Map"), ("Close() error", "Close"), ('func Quote(s string /* ) */) string', "Quote")):
+        m = code_docs.SIGNATURE.match(text)
+        assert m["fname"] == name and m["sig"] == text
+
+
 # ---- 5: ideal point ----------------------------------------------------------------------------------------------
 HIT = "query_id long, symbol_id string, vector double, keyword double, graph double, combined double, scored_at timestamp, step string, _salt string"
 
