@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.common import cut
 from strata.functions import rules
-from strata.operators import cards, evidence, fts, graph, incremental, search, status, store, synonyms
-from strata.sources import embedder, gosource
+from strata.operators import cards, evidence, fts, graph, incremental, lookup, search, status, store, synonyms
+from strata.sources import embedder, gosource, settings
 
 SEARCHED = ("id", "name", "semantic_text")
 
@@ -35,10 +35,11 @@ class Config:
 
     @classmethod
     def load(cls, path: str) -> Config:
-        """From a JSON file; what it leaves out keeps its default, unknown names are errors."""
-        with open(path, encoding="utf-8") as f:
-            given = json.load(f)
+        """From a JSON file, or a YAML file of mappings, lists and plain values; what it leaves out keeps its default, unknown names are errors. A missing file raises FileNotFoundError."""
+        given = settings.load(path)
         options = {k: tuple(v) if isinstance(v, list) else v for k, v in given.pop("search", {}).items()}
+        if isinstance(given.get("synonyms"), str):
+            given["synonyms"] = synonyms.load_yaml(given["synonyms"])
         return cls(search=search.Options(**options), **given)
 
 
@@ -50,43 +51,79 @@ class Engine:
         self.store = store.TableStore(spark, path)
 
     # ---- index --------------------------------------------------------------------------------------------
+    def _replace(self, name: str, root: str, rows: DataFrame) -> None:
+        """Makes ``rows`` those of the repository in a table that holds all of them."""
+        rows = rows.withColumn("repo_path", F.lit(root))
+        others = self.store.read(name).where(F.col("repo_path") != root).unionByName(rows) if self.store.exists(name) else rows
+        self.store.write(name, others)
+
+    def _mine(self, name: str, root: str) -> DataFrame | None:
+        rows = self.store.read(name).where(F.col("repo_path") == root).drop("repo_path") if self.store.exists(name) else None
+        return rows
+
     def index(self, root: str, module: str = "", force: bool = False) -> DataFrame:
-        """Parses the sources under ``root`` and brings all tables up to date; returns the table counts.
+        """Parses the sources under ``root`` and brings its rows of all tables up to date; returns the table counts. Rows of other repositories stay.
 
         Files are partitions with fingerprints: only those added, changed or gone since the last run are parsed again
-        (all with ``force``). References are kept unresolved and resolved anew over the whole repository, so edges
-        into changed packages are not lost.
+        (all with ``force``), and only symbols whose text changed are embedded again. References are kept unresolved
+        and resolved anew over the whole repository, so edges into changed packages are not lost.
         """
-        files = gosource.read_repository(self.spark, root, module).select("file_path", "package_path", "text")
+        root, began = root.rstrip("/"), datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        files = cut(gosource.read_repository(self.spark, root, module).select("file_path", "package_path", "text"))  # one snapshot for the run
         now = incremental.fingerprints(files, ["file_path"])
-        if force or not self.store.exists("files"):
+        old = None if force else self._mine("files", root)
+        if old is None:
             symbols, refs = gosource.symbols_of(files), gosource.references_of(files)
         else:
-            old = self.store.read("files")
             same = now.join(old, ["file_path", "n_rows", "hash_sum"], "left_semi").select("file_path")
             fresh = files.join(same, "file_path", "left_anti")
-            kept = lambda name: self.store.read(name).join(same, "file_path", "left_semi")
+            kept = lambda name: self._mine(name, root).join(same, "file_path", "left_semi")
             symbols = kept("raw_symbols").unionByName(gosource.symbols_of(fresh))
             refs = kept("refs").unionByName(gosource.references_of(fresh))
         symbols, refs = cut(symbols), cut(refs)
-        self.store.write("raw_symbols", symbols)
-        self.store.write("refs", refs)
+        self._replace("raw_symbols", root, symbols)
+        self._replace("refs", root, refs)
+        self._replace("errors", root, gosource.errors_of(files))
+        heads = gosource.package_symbols(symbols, refs)
         first = symbols.groupBy("id").agg(F.min_by(F.struct(*symbols.columns), F.struct("file_path", "line_start")).alias("s")).select("s.*")
-        imports = refs.where("edge_type = 'imports'").groupBy("package_path").agg(F.array_sort(F.collect_set("target")).alias("imports"))
-        card = cards.package_cards(cards.package_info(first), imports)
+        docs = heads.select(F.concat(F.lit("pkg:"), "package_path").alias("id"), F.col("doc_comment").alias("_doc"))
+        first = first.join(docs, "id", "left").withColumn("doc_comment", F.coalesce("_doc", "doc_comment")).drop("_doc")
+        info = cards.package_info(first)
+        card = cards.package_cards(info, heads.select("package_path", "imports"))
         text = cards.symbol_cards(first, card).withColumnRenamed("card", "semantic_text")
-        table = first.join(text, "id").withColumn("repo_path", F.lit(root))
-        self.store.write("symbols", table)
-        self.store.write("edges", gosource.resolved_edges(symbols, refs))
-        table = self.store.read("symbols")
-        self.store.write("packages", table.groupBy(F.col("package_path").alias("path")).agg(F.max("package_name").alias("name"), F.count("*").alias("symbol_count"), F.countDistinct("file_path").alias("file_count")).join(imports.withColumnRenamed("package_path", "path"), "path", "left").withColumn("imported_by", F.array().cast("array<string>")))
-        self.store.write("vectors", embedder.embed_texts(embedder.input_text(table, rules.EMBEDDABLE_KINDS), self.embed, batch_size=self.config.embedding_batch).where("vector is not null"))
-        self.store.write("lines", files.select("file_path", F.posexplode(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")).alias("p", "text")).select("file_path", (F.col("p") + 1).alias("line_no"), "text"))
+        self._replace("symbols", root, first.join(text, "id"))
+        self._replace("edges", root, gosource.resolved_edges(symbols, refs))
+        table = self._mine("symbols", root)
+        counted = table.groupBy(F.col("package_path").alias("path")).agg(F.max("package_name").alias("name"), F.count("*").cast("int").alias("symbol_count"), F.countDistinct("file_path").cast("int").alias("file_count"))
+        facts = card.select(F.col("package_path").alias("path"), "role", "responsibilities", F.col("card").alias("summary"))
+        keys = info.select(F.col("package_path").alias("path"), "key_types", F.when(F.size("key_funcs") > 0, F.col("key_funcs")).otherwise(F.slice("exported_funcs", 1, 5)).alias("entry_points"))
+        none = F.array().cast("array<string>")
+        packages = counted.join(heads.select(F.col("package_path").alias("path"), "imports"), "path", "left").join(facts, "path", "left").join(keys, "path", "left").withColumn("imports", F.coalesce("imports", none)).withColumn("imported_by", none)
+        imported = heads.select(F.explode("imports").alias("path"), F.col("package_path").alias("importer"))
+        self._replace("packages", root, store.add_importer(packages, imported))
+        self._replace("vectors", root, self._vectors(root, table))
+        self._replace("lines", root, files.select("file_path", F.posexplode(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")).alias("p", "text")).select("file_path", (F.col("p") + 1).alias("line_no"), "text"))
         counts = table.agg(F.count("*").cast("int").alias("symbol_count"), F.countDistinct("package_path").cast("int").alias("package_count"))
-        self.store.write("repositories", counts.select(F.sha1(F.lit(root).cast("binary")).alias("id"), F.lit(root).alias("root_path"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_indexed_at"), "symbol_count", "package_count", F.lit(True).alias("has_embeddings")))
-        self.store.write("files", now)  # last: a run that died before is done again
+        edges = self._mine("edges", root).agg(F.count("*").cast("int").alias("edge_count"))
+        embedded = self._mine("vectors", root).agg((F.count("*") > 0).alias("has_embeddings"))
+        row = counts.crossJoin(edges).crossJoin(embedded)  # one row each
+        self._replace("repositories", root, row.select(F.sha1(F.lit(root).cast("binary")).alias("id"), F.lit(root).alias("root_path"), F.lit(began).alias("last_indexed_at"), "symbol_count", "package_count", "edge_count", "has_embeddings"))
+        self._replace("files", root, now)  # last: a run that died before is done again
         return self.stats()
 
+    def _vectors(self, root: str, symbols: DataFrame) -> DataFrame:
+        """(symbol_id, vector, dimension, model, text_hash) of the embeddable symbols; vectors whose text and model are unchanged are kept."""
+        model = getattr(self.embed, "model", type(self.embed).__name__)
+        wanted = embedder.input_text(symbols, rules.EMBEDDABLE_KINDS).withColumn("text_hash", F.xxhash64("text"))
+        old = self._mine("vectors", root)
+        if old is None:
+            kept, missing = None, wanted
+        else:
+            kept = old.where(F.col("model") == model).join(wanted.select("symbol_id", "text_hash"), ["symbol_id", "text_hash"], "left_semi")
+            missing = wanted.join(kept.select("symbol_id"), "symbol_id", "left_anti")
+        made = embedder.embed_texts(missing, self.embed, model, self.config.embedding_batch).where("vector is not null").join(missing.select("symbol_id", "text_hash"), "symbol_id")
+        return made if kept is None else kept.select(*made.columns).unionByName(made)
+
     # ---- search -------------------------------------------------------------------------------------------
     def _batch(self, queries: DataFrame) -> tuple[DataFrame, list[tuple[int, str]]]:
         q = queries.select(F.col("query_id").cast("long").alias("query_id"), "text")
@@ -148,6 +185,8 @@ class Engine:
         """Neighbours of a symbol, or of all symbols of a name; an unknown one has none."""
         if not symbol_id and not name:
             raise ValueError("a symbol_id or a name is required")
+        if edge_type == "calls":
+            raise ValueError("calls are listed without an edge type; name one of imports, implements, embeds, references")
         s = self.store.read("symbols")
         ids = s.where(F.col("id") == symbol_id if symbol_id else F.col("name") == name).select("id")
         return graph.neighbours(ids, self.store.read("edges"), s, direction, edge_type).orderBy("edge_type", "from_id", "to_id").limit(top_k)
@@ -172,3 +211,14 @@ class Engine:
 
     def stats(self) -> DataFrame:
         return status.table_counts(*[self.store.read(n) for n in ("symbols", "packages", "edges", "vectors")])
+
+    def find(self, name: str, repo: str | None = None, package: str | None = None, limit: int = 20) -> DataFrame:
+        """Symbols of one name, of all repositories or one, of all packages or one."""
+        return lookup.symbols_by_name(self.store.read("symbols"), name, repo, package, limit)
+
+    def packages(self, repo: str | None = None, role: str | None = None) -> DataFrame:
+        return lookup.packages(self.store.read("packages"), repo, role)
+
+    def errors(self) -> DataFrame:
+        """(file_path, error, repo_path) of source files that gave no symbols."""
+        return self.store.read("errors")

@@ -1,10 +1,14 @@
-"""Pluggable embedders: texts to vectors in Arrow batches. No network is used by default."""
+"""Pluggable embedders: texts to vectors in Arrow batches. The default needs no network."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import time
+import urllib.request
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,62 @@ class HashEmbedder:
         return out / np.where(length > 0, length, 1)
 
 
+def _post(url: str, headers: dict, body: dict, timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:  # noqa: S310  the address is the user's setting
+        return json.load(reply)
+
+
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """Vectors from an embedding service. ``together`` sends many texts in one request and places the results by the index they return; else one text a request, whose reply holds one object or a list.
+
+    ``post`` (url, headers, body, timeout) to the decoded reply can be replaced. Failed requests are tried ``tries``
+    times in all; a reply without a vector for a text is an error.
+    """
+
+    url: str
+    model: str
+    key: str = ""
+    dim: int | None = None
+    together: bool = True
+    tries: int = 3
+    timeout: float = 60.0
+    post: Callable[[str, dict, dict, float], dict] = _post
+
+    def _ask(self, given) -> list:
+        body = {"model": self.model, "input": given, "encoding_format": "float"} | ({"dimensions": self.dim} if self.dim else {})
+        for n in range(self.tries):
+            try:
+                reply = self.post(self.url, {"Authorization": f"Bearer {self.key}"} if self.key else {}, body, self.timeout)
+                break
+            except OSError:
+                if n + 1 == self.tries:
+                    raise
+                time.sleep(2**n)
+        if "error" in reply:
+            raise ValueError(f"the service answered: {reply['error']}")
+        data = reply.get("data")
+        return data if isinstance(data, list) else [data] if data else []
+
+    def _vector(self, item) -> list[float]:
+        vector = (item or {}).get("embedding")
+        if not vector or (self.dim and len(vector) != self.dim):
+            raise ValueError("the service returned no vector of the wanted length")
+        return vector
+
+    def __call__(self, texts: Sequence[str]) -> list[list[float]]:
+        if not self.together:
+            return [self._vector((self._ask([text]) or [None])[0]) for text in texts]
+        out: list = [None] * len(texts)
+        for place, item in enumerate(self._ask(list(texts))):
+            at = item.get("index", place)
+            if not 0 <= at < len(out):
+                raise ValueError("the service returned an index beyond the texts")
+            out[at] = self._vector(item)
+        return [v if v is not None else self._vector(None) for v in out]
+
+
 def _runner(embed: Embed, batch_size: int):
     def run(batches):
         for batch in batches:

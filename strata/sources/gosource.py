@@ -184,10 +184,53 @@ def references_of(files: DataFrame) -> DataFrame:
     return files.select("file_path", "package_path", "text").mapInPandas(_runner(1, _columns(REFERENCES)), REFERENCES)
 
 
-def read_repository(spark: SparkSession, root: str, module: str = "", tests: bool = True) -> DataFrame:
+def errors_of(files: DataFrame) -> DataFrame:
+    """(file_path, error) of source files that give no symbols: unreadable, or without a package clause outside of comments."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["file_path"], pdf["text"]):
+                try:
+                    if not isinstance(text, str):
+                        rows.append((path, "no text"))
+                    elif "package" not in text or not parse_file(path, text, "")[0]:
+                        rows.append((path, "no package clause"))
+                except Exception as e:  # noqa: BLE001  a file the parser cannot take is a row, not a failed run
+                    rows.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["file_path", "error"])
+
+    return files.where("file_path is not null").select("file_path", "text").mapInPandas(run, "file_path string, error string")
+
+
+def package_symbols(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """(package_path, package_name, doc_comment, imports, n_files): one row per package, with the comment of its first file that has one and the imports of all."""
+    heads = symbols.where("kind = 'package'")
+    doc = F.min_by("doc_comment", F.when(F.trim(F.coalesce("doc_comment", F.lit(""))) != "", F.col("file_path")))
+    one = heads.groupBy("package_path").agg(F.min_by("package_name", "file_path").alias("package_name"), F.coalesce(doc, F.lit("")).alias("doc_comment"), F.countDistinct("file_path").alias("n_files"))
+    imports = refs.where("edge_type = 'imports'").groupBy("package_path").agg(F.array_sort(F.collect_set("target")).alias("imports"))
+    return one.join(imports, "package_path", "left").withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
+
+
+def read_package(spark: SparkSession, root: str, package_path: str, module: str = "") -> DataFrame:
+    """``read_repository`` of one package: other folders are not listed."""
+    folder = package_path.removeprefix(module).strip("/") if module else package_path.strip("/")
+    inside = read_repository(spark, f"{root.rstrip('/')}/{folder}".rstrip("/"), package_path, recursive=False)
+    return inside.withColumn("file_path", F.concat_ws("/", F.lit(folder or None), "file_path"))
+
+
+def read_file(spark: SparkSession, root: str, path: str, module: str = "") -> DataFrame:
+    """``read_repository`` of one file."""
+    folder = path.rpartition("/")[0]
+    package = "/".join(x for x in (module, folder) if x)
+    text = spark.read.text(f"{root.rstrip('/')}/{path}", wholetext=True)
+    return text.select(F.lit(path).alias("file_path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"), F.lit(package).alias("package_path"))
+
+
+def read_repository(spark: SparkSession, root: str, module: str = "", tests: bool = True, recursive: bool = True) -> DataFrame:
     """(file_path, package_path, text, modified) of the source files under a root; vendored directories are skipped."""
     root = root.rstrip("/")
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.go").text(root, wholetext=True)
+    df = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.go").text(root, wholetext=True)
     relative = F.regexp_replace(F.col("_metadata.file_path"), rf"^(?:file:)?/*{re.escape(root.removeprefix('file:').strip('/'))}/", "")
     out = df.select(relative.alias("file_path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
     folder = F.regexp_replace("file_path", r"/?[^/]+$", "")
@@ -195,11 +238,26 @@ def read_repository(spark: SparkSession, root: str, module: str = "", tests: boo
     return out if tests else out.where(~F.col("file_path").endswith("_test.go"))
 
 
+def implements_edges(symbols: DataFrame) -> DataFrame:
+    """(from_id, to_id): the types of a package that have all methods of one of its interfaces, by name, with value or pointer receiver. Interfaces without methods are left out."""
+    from strata.operators.graph import implementations
+
+    scoped = F.concat_ws(".", "package_path", "name").alias("method")
+    methods = symbols.where("kind = 'method'")
+    parts = F.split(F.substring_index("id", ":", -1), r"\.")
+    of_interface = methods.where(F.col("id").contains(":interface-method:")).select(F.concat_ws(":", "package_path", F.lit("interface"), parts[0]).alias("owner"), scoped)
+    receivers = symbols.where("kind in ('struct', 'type')").groupBy("package_path", F.col("name").alias("receiver")).agg(F.min("id").alias("owner"))
+    of_type = methods.where(~F.col("id").contains(":interface-method:")).join(receivers, ["package_path", "receiver"]).select("owner", scoped)
+    return implementations(of_type, of_interface).select(F.col("type_id").alias("from_id"), F.col("interface_id").alias("to_id"))
+
+
 def resolved_edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(from_id, to_id, edge_type, weight, import_path) of references whose target is known in the repository.
 
     A call starts at the innermost function around its line; an unqualified name is sought in the own package, a
     qualified one in the package imported under that name (alias or last path element); a type is any of struct, interface, type.
+    What an imported package of the repository does not show (a variable, a method of a value) is referred to the
+    package's own symbol. A name behind a variable is resolved where only one definition of the own package has it.
     """
     from strata.operators.graph import enclosing
 
@@ -210,13 +268,17 @@ def resolved_edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     named = owned.withColumn("_qual", F.when(F.col("target").contains("."), F.split("target", r"\.")[0])).withColumn("_name", F.element_at(F.split("target", r"\."), -1))
     imports = refs.where("edge_type = 'imports'").select("file_path", F.col("target").alias("_import"), F.col("alias").alias("_qual")).distinct()
     located = named.join(imports, ["file_path", "_qual"], "left").withColumn("_package", F.when(F.col("_qual").isNull(), F.col("package_path")).otherwise(F.col("_import")))
-    defs = symbols.where("kind in ('func', 'struct', 'interface', 'type') or (kind = 'method' and signature like 'func%')").groupBy(F.col("package_path").alias("_package"), F.col("name").alias("_name")).agg(F.min("id").alias("to_id"))
+    defs = symbols.where("kind in ('func', 'struct', 'interface', 'type') or (kind = 'method' and signature like 'func%')").groupBy(F.col("package_path").alias("_package"), F.col("name").alias("_name")).agg(F.min("id").alias("_first"), F.countDistinct("id").alias("_n"))
     # A qualifier that names no import is a variable: its method is sought in the own package.
-    local = located.withColumn("_package", F.coalesce("_package", "package_path"))
-    found = local.join(defs, ["_package", "_name"]).where(F.col("owner") != F.col("to_id"))
+    local = located.withColumn("_variable", F.col("_package").isNull()).withColumn("_package", F.coalesce("_package", "package_path"))
+    known = symbols.where("kind = 'package'").select(F.col("package_path").alias("_package"), F.col("id").alias("_home")).distinct()
+    exact = F.when(~F.col("_variable") | (F.col("_n") == 1), F.col("_first"))
+    home = F.when(~F.col("_variable") & F.col("_qual").isNotNull(), F.col("_home"))
+    found = local.join(defs, ["_package", "_name"], "left").join(known, "_package", "left").withColumn("to_id", F.coalesce(exact, home)).where("to_id is not null and owner <> to_id")
     weight = F.create_map(*[x for k, v in rules.EDGE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     edges = found.select(F.col("owner").alias("from_id"), "to_id", "edge_type", F.lit(None).cast("string").alias("import_path"))
     packages = symbols.where("kind = 'package'").select("id").distinct()
     imported = refs.where("edge_type = 'imports'").select(F.col("owner").alias("from_id"), F.concat(F.lit("pkg:"), "target").alias("to_id"), "edge_type", F.col("target").alias("import_path"))
     imported = imported.join(packages, imported["to_id"] == packages["id"], "left_semi")
-    return edges.unionByName(imported).distinct().withColumn("weight", weight[F.col("edge_type")])
+    implemented = implements_edges(symbols).select("from_id", "to_id", F.lit("implements").alias("edge_type"), F.lit(None).cast("string").alias("import_path"))
+    return edges.unionByName(imported).unionByName(implemented).distinct().withColumn("weight", weight[F.col("edge_type")])
