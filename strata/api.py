@@ -108,6 +108,8 @@ class Engine:
         embedded = self._mine("vectors", root).agg((F.count("*") > 0).alias("has_embeddings"))
         row = counts.crossJoin(edges).crossJoin(embedded)  # one row each
         self._replace("repositories", root, row.select(F.sha1(F.lit(root).cast("binary")).alias("id"), F.lit(root).alias("root_path"), F.lit(began).alias("last_indexed_at"), "symbol_count", "package_count", "edge_count", "has_embeddings"))
+        for name, rows in zip(("postings", "corpus"), fts.index_tables(self.store.read("symbols"), "id", SEARCHED)):
+            self.store.write(name, rows)
         self._replace("files", root, now)  # last: a run that died before is done again
         return self.stats()
 
@@ -138,7 +140,8 @@ class Engine:
         batch, texts = self._batch(queries)
         o, symbols = options.normalised(), self.store.read("symbols")
         v = search.vector_search(self.store.read("vectors"), batch, 2 * o.k) if o.vector_weight else search.vector_search(self.store.read("vectors").limit(0), batch, 1)
-        found = fts.match(symbols, "id", SEARCHED, texts if o.keyword_weight else []).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc").alias("symbol_id"), "score")
+        index = fts.index_from(self.store.read("postings"), self.store.read("corpus"))
+        found = fts.match(symbols, "id", SEARCHED, texts if o.keyword_weight else [], index).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc").alias("symbol_id"), "score")
         hits = cut(search.hybrid(v, fts.rank_scores(search.top(found, 2 * o.k)), symbols, options))
         features = graph.features(hits, self.store.read("edges"), symbols) if options.rank_by_graph else None
         intents = batch.select("query_id", rules.intent(F.col("text"), F.lit(intent).cast("string")).alias("intent"))

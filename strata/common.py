@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Only where the session names none (tests in local mode) a temporary folder is made and registered as checkpoint folder."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only where the session names none and runs in local mode (tests) a temporary folder is made and registered as checkpoint folder; on a cluster that is an error."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         named = tempfile.mkdtemp(prefix="strata-")
         atexit.register(shutil.rmtree, named, True)
     if not known.isDefined():

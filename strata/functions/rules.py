@@ -27,6 +27,12 @@ INTENTS = (
     ("extension", ("interface", "extend", "extension", "插件", "接口", "扩展")),
 )
 ROLE_OF_LAYER = {"handler": "interface/http", "service": "application/business", "repository": "infrastructure/persistence", "domain": "domain/model", "middleware": "infrastructure/middleware"}
+ROLE_OF_PATH = (
+    (("handler", "controller"), "interface/http"),
+    (("service", "usecase"), "application/business"),
+    (("repository", "dao"), "infrastructure/persistence"),
+    (("domain", "entity"), "domain/model"),
+)
 #: Card roles: (path patterns, import patterns, role); the first rule of which any part or import contains a pattern.
 CARD_ROLES = (
     (("repo", "repository"), ("database", "sql", "gorm"), "data access"),
@@ -148,9 +154,11 @@ def merge_reasons(first: Column, second: Column) -> Column:
 def evidence_role(package_path: Column, hit_layer: Column) -> Column:
     """Role of a package in an evidence pack: from the layer of its first hit, else from its own path, else application."""
     out = None
-    for source in (hit_layer, layer(F.concat(package_path, F.lit("/")))):
-        for name, role in ROLE_OF_LAYER.items():
-            out = F.when(source == name, role) if out is None else out.when(source == name, role)
+    for name, role in ROLE_OF_LAYER.items():
+        out = F.when(hit_layer == name, role) if out is None else out.when(hit_layer == name, role)
+    path = F.lower(package_path)
+    for words, role in ROLE_OF_PATH:
+        out = out.when(any_of([path.contains(f"/{w}/") for w in words]), role)
     return out.otherwise("application")
 
 

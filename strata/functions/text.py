@@ -95,3 +95,19 @@ def repo_file_name(root: Column) -> Column:
     """Store name of a repository: its last path element, odd characters as '_', and 12 digits of the root's SHA-1."""
     last = F.regexp_replace(F.element_at(F.split(F.regexp_replace(root, r"/+$", ""), "/"), -1), r"[^A-Za-z0-9._-]", "_")
     return F.concat(F.when(F.trim(last) == "", F.lit("repo")).otherwise(last), F.lit("-"), F.substring(F.sha1(root.cast("binary")), 1, 12))
+
+
+def comment_source(text: Column) -> Column:
+    """A comment as lines of source: each line trimmed and marked, an empty one as a bare mark, but for an empty last one."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[\s\x0b]+|[\s\x0b]+$", ""))
+    marked = F.transform(lines, lambda x, i: F.when(x != "", F.concat(F.lit("// "), x)).when(i < F.size(lines) - 1, F.lit("//")))
+    return F.array_join(F.array_compact(marked), "\n")
+
+
+def insertion_diff(lines: Column, at: Column, added: Column) -> Column:
+    """A short unified diff of ``added`` lines inserted behind line ``at`` (from 0) of ``lines``, with two lines of context before and after."""
+    start, end = F.greatest(at - 2, F.lit(0)), F.least(at + 3, F.size(lines))
+    head = F.format_string("--- <original>\n+++ <modified>\n@@ -%d,%d +%d,%d @@\n", start + 1, end - start, start + 1, end - start + F.size(added))
+    part = lambda a, b: F.transform(F.slice(lines, a + 1, F.greatest(b - a, F.lit(0))), lambda x: F.concat(F.lit(" "), x, F.lit("\n")))
+    plus = F.transform(added, lambda x: F.concat(F.lit("+"), x, F.lit("\n")))
+    return F.concat(head, F.array_join(F.concat(part(start, F.least(at + 1, F.size(lines))), plus, part(F.least(at + 1, end), end)), ""))

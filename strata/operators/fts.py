@@ -1,4 +1,4 @@
-"""Full-text search: postings, boolean match expressions, BM25 order."""
+"""Full-text search: postings, boolean match expressions, BM25 order. Postings are stored (``write_index``) or made of the texts at hand."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import ACCENTED, PLAIN, tokens
@@ -27,6 +27,58 @@ def doc_lengths(docs: DataFrame, id_col: str, columns: Sequence[str]) -> DataFra
     return docs.select(F.col(id_col).alias("doc"), sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("len"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """What a search needs: ``posted`` (doc, len, col, pos, term), a row per token, and ``corpus`` (n_docs, avg_len), one row."""
+
+    posted: DataFrame
+    corpus: DataFrame
+
+
+def _tokenised(docs: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
+    """(doc, len, x): the terms of each column, and how many there are in all."""
+    per_col = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("terms")) for c in columns])
+    rows = docs.select(F.col(id_col).alias("doc"), per_col.alias("x"))
+    return rows.select("doc", F.aggregate("x", F.lit(0), lambda n, c: n + F.size(c["terms"])).cast("long").alias("len"), "x")
+
+
+def index_of(docs: DataFrame, id_col: str, columns: Sequence[str], leaves: Sequence[Leaf] = ()) -> Index:
+    """The index of texts as they are, for a search of ``leaves``: texts without any of their terms leave no row."""
+    rows = _tokenised(docs, id_col, columns)
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    if leaves:
+        exact, starts = _wanted_terms(leaves)
+        holds = lambda c: F.arrays_overlap(c["terms"], F.array(*map(F.lit, exact))) if exact else F.lit(False)
+        begins = lambda c: F.exists(c["terms"], lambda t: _begins(t, starts)) if starts else F.lit(False)
+        rows = rows.where(F.exists("x", lambda c: holds(c) | begins(c)))
+    each = rows.select("doc", "len", F.explode("x").alias("x"))
+    return Index(each.select("doc", "len", F.col("x.col").alias("col"), F.posexplode("x.terms").alias("pos", "term")), stats)
+
+
+def index_tables(docs: DataFrame, id_col: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The index as tables to store: postings (term, doc, col, len, places) in order of term and document, and the corpus' figures.
+
+    Files hold ranges of terms, so a search reads the pages of its terms only; a very common term spans several files.
+    """
+    index = index_of(docs, id_col, columns)
+    grouped = index.posted.groupBy("term", "doc", "col", "len").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    return grouped.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"), index.corpus
+
+
+def index_from(postings: DataFrame, corpus: DataFrame) -> Index:
+    return Index(postings.select("doc", "len", "col", "term", F.explode("places").alias("pos")), corpus)
+
+
+def write_index(docs: DataFrame, id_col: str, columns: Sequence[str], path: str) -> None:
+    postings, corpus = index_tables(docs, id_col, columns)
+    postings.write.option("parquet.page.size", 64 * 1024).parquet(f"{path}/postings")
+    corpus.write.parquet(f"{path}/corpus")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return index_from(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus"))
+
+
 def term_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term", "doc").agg(F.count("*").alias("tf"))
 
@@ -217,28 +269,43 @@ def _holds(tree, numbers: dict[Leaf, int]) -> Column:
     return left & right if tree.op == "and" else left | right if tree.op == "or" else left & ~right
 
 
+def _wanted_terms(leaves: Sequence[Leaf]) -> tuple[list[str], list[str]]:
+    """The terms of the leaves: whole ones, and the beginnings of terms."""
+    exact, starts = set(), set()
+    for leaf in leaves:
+        for n, t in enumerate(leaf.terms):
+            (starts if leaf.prefix and n == len(leaf.terms) - 1 else exact).add(t)
+    return sorted(exact), sorted(starts)
+
+
+def _begins(term: Column, starts: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for t in starts:
+        out = out | term.startswith(t)
+    return out
+
+
 def occurrences(posted: DataFrame, leaves: Sequence[Leaf]) -> DataFrame:
-    """(leaf, doc, col, pos) of every occurrence of every leaf. Terms meet the postings once, by a small join table; a phrase is the terms at consecutive places."""
-    spark = posted.sparkSession
-    rows = [(n, s, t, leaf.prefix and s == len(leaf.terms) - 1, leaf.column) for n, leaf in enumerate(leaves) for s, t in enumerate(leaf.terms)]
-    wanted = F.broadcast(spark.createDataFrame(rows, "leaf int, seq int, want string, prefix boolean, only string"))  # the words of the stated queries
-    exact = posted.join(wanted.where("not prefix"), F.col("term") == F.col("want"))
-    words = [t for n, s, t, p, c in rows if p]
-    if words:
-        starts = F.col("term").startswith(F.col("want"))
-        exact = exact.unionByName(posted.join(wanted.where("prefix"), starts))
-    hit = exact.where("only is null or only = col").select("leaf", "seq", "doc", "col", (F.col("pos") - F.col("seq")).alias("pos"))
+    """(leaf, doc, len, col, pos) of every occurrence of every leaf. Only postings of the leaves' terms are read; a phrase is the terms at consecutive places."""
+    exact, starts = _wanted_terms(leaves)
+    term = F.col("term")
+    rows = posted.where((term.isin(exact) if exact else F.lit(False)) | _begins(term, starts))
+    # The leaves that a term serves stand beside it: words of the stated queries, no join.
+    want = [(n, s, t, leaf.prefix and s == len(leaf.terms) - 1, leaf.column) for n, leaf in enumerate(leaves) for s, t in enumerate(leaf.terms)]
+    uses = F.array(*[F.struct(F.lit(n).alias("leaf"), F.lit(s).alias("seq"), F.lit(t).alias("want"), F.lit(p).alias("prefix"), F.lit(c).cast("string").alias("only")) for n, s, t, p, c in want])
+    serves = F.filter(uses, lambda u: F.when(u["prefix"], term.startswith(u["want"])).otherwise(term == u["want"]) & (u["only"].isNull() | (u["only"] == F.col("col"))))
+    hit = rows.select("doc", "len", "col", "pos", F.explode(serves).alias("u")).select(F.col("u.leaf").alias("leaf"), F.col("u.seq").alias("seq"), "doc", "len", "col", (F.col("pos") - F.col("u.seq")).alias("pos"))
     sizes = F.create_map(*[x for n, leaf in enumerate(leaves) for x in (F.lit(n), F.lit(len(leaf.terms)))])
     anchored = F.array(*[F.lit(n) for n, leaf in enumerate(leaves) if leaf.first]).cast("array<int>")
-    whole = hit.groupBy("leaf", "doc", "col", "pos").agg(F.countDistinct("seq").alias("found")).where(F.col("found") == sizes[F.col("leaf")])
-    return whole.where(~F.array_contains(anchored, F.col("leaf")) | (F.col("pos") == 0)).select("leaf", "doc", "col", "pos")
+    whole = hit.groupBy("leaf", "doc", "len", "col", "pos").agg(F.countDistinct("seq").alias("found")).where(F.col("found") == sizes[F.col("leaf")])
+    return whole.where(~F.array_contains(anchored, F.col("leaf")) | (F.col("pos") == 0)).select("leaf", "doc", "len", "col", "pos")
 
 
-def match(docs: DataFrame, id_col: str, columns: Sequence[str], queries: Sequence[tuple[int, str]]) -> DataFrame:
+def match(docs: DataFrame, id_col: str, columns: Sequence[str], queries: Sequence[tuple[int, str]], index: Index | None = None) -> DataFrame:
     """(query_id, doc, score) of every document that a query's expression matches; score is BM25, higher is better.
 
     ``queries`` is the stated batch; a text that is no match expression is cleaned and tried as words, a blank one
-    finds nothing.
+    finds nothing. With a stored ``index`` of the same documents these are not read.
     """
     spark = docs.sparkSession
     trees = [(q, t) for q, text in queries if (t := parse_or_clean(text, columns)) is not None]
@@ -246,14 +313,14 @@ def match(docs: DataFrame, id_col: str, columns: Sequence[str], queries: Sequenc
     if not leaves:
         return spark.createDataFrame([], "query_id int, doc string, score double").select("query_id", F.col("doc").cast(docs.schema[id_col].dataType).alias("doc"), "score")
     numbers = {leaf: n for n, leaf in enumerate(leaves)}
-    found = occurrences(postings(docs, id_col, columns), leaves)
-    lengths = doc_lengths(docs, id_col, columns)
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
-    tf = found.groupBy("leaf", "doc").agg(F.count("*").alias("tf"))
+    index = index or index_of(docs, id_col, columns, leaves)
+    found = occurrences(index.posted, leaves)
+    corpus = index.corpus  # one row
+    tf = found.groupBy("leaf", "doc", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("leaf").agg(F.count("*").alias("n"))  # one row per leaf of the batch
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
-    weighed = tf.join(lengths, "doc").join(F.broadcast(df), "leaf").crossJoin(F.broadcast(corpus))
+    weighed = tf.join(F.broadcast(df), "leaf").crossJoin(F.broadcast(corpus))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     by_doc = weighed.groupBy("doc").agg(F.collect_list(F.struct("leaf", part.alias("part"))).alias("parts"))  # at most one entry per leaf of the batch
     by_doc = by_doc.withColumn("met", F.col("parts.leaf"))
@@ -285,10 +352,10 @@ def _resolved(tree, numbers: dict[Leaf, int]) -> Column:
     return _holds(tree, numbers)
 
 
-def keyword_search(docs: DataFrame, id_col: str, columns: Sequence[str], queries: Sequence[tuple[int, str]], k: int | dict[int, int] = 10) -> DataFrame:
+def keyword_search(docs: DataFrame, id_col: str, columns: Sequence[str], queries: Sequence[tuple[int, str]], k: int = 10, index: Index | None = None) -> DataFrame:
     """(query_id, doc, score, place): the k best matches of each query, ties by id."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc"))
-    return match(docs, id_col, columns, queries).withColumn("place", place).where(F.col("place") <= k)
+    return match(docs, id_col, columns, queries, index).withColumn("place", place).where(F.col("place") <= k)
 
 
 def rank_scores(hits: DataFrame) -> DataFrame:

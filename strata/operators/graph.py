@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.common import cut
 from strata.functions import rules
+from strata.operators import skew
 
 DAMPING, ITERATIONS = 0.85, 20  #: fixed values of the ranking
 
@@ -40,20 +42,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, key: str = "id", cut_every: int
 
 
 def _rank_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    nodes = sorted(set(pdf["symbol_id"]))
-    at = {x: i for i, x in enumerate(nodes)}
-    n = len(nodes)
-    links = [(at[f], at[t]) for f, t in zip(pdf["symbol_id"], pdf["to_id"]) if isinstance(t, str) and t in at]
-    out = [0] * n
-    for f, _ in links:
-        out[f] += 1
-    rank = [1.0 / n] * n
+    nodes, own = np.unique(pdf["symbol_id"].to_numpy(dtype=str), return_inverse=True)
+    n, targets = len(nodes), pdf["to_id"].to_numpy(dtype=object)
+    linked = np.array([isinstance(t, str) for t in targets], bool)
+    to = np.searchsorted(nodes, targets[linked].astype(str)) if linked.any() else np.zeros(0, int)
+    here = (to < n) & (nodes[np.minimum(to, n - 1)] == targets[linked].astype(str)) if linked.any() else np.zeros(0, bool)
+    f, t = own[linked][here], to[here]
+    share = 1.0 / np.maximum(np.bincount(f, minlength=n), 1)
+    rank = np.full(n, 1.0 / n)
     for _ in range(ITERATIONS):
-        new = [(1 - DAMPING) / n] * n
-        for f, t in links:
-            new[t] += DAMPING * rank[f] / out[f]
-        rank = new
-    return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "symbol_id": nodes, "pagerank": rank})
+        rank = (1 - DAMPING) / n + DAMPING * np.bincount(t, weights=(rank * share)[f], minlength=n)
+    return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "symbol_id": nodes.astype(object), "pagerank": rank})
 
 
 def candidate_pagerank(candidates: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,7 +96,13 @@ def neighbours(ids: DataFrame, edges: DataFrame, symbols: DataFrame, direction:
     ends = symbols.select("id", "name", "kind")
     f = ends.select(F.col("id").alias("from_id"), F.col("name").alias("from_name"), F.col("kind").alias("from_kind"))
     t = ends.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"), F.col("kind").alias("to_kind"))
-    return found.join(f, "from_id").join(t, "to_id").select("edge_type", "from_id", "from_name", "from_kind", "to_id", "to_name", "to_kind", "weight")
+    # A given id with very many edges: those meet its details without a shuffle.
+    if direction != "outgoing":
+        found = cut(found)
+        named = skew.spread_join(found, t, "to_id").join(f, "from_id")
+    else:
+        named = found.join(f, "from_id").join(t, "to_id")
+    return named.select("edge_type", "from_id", "from_name", "from_kind", "to_id", "to_name", "to_kind", "weight")
 
 
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -111,6 +116,14 @@ def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def adjacency(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(id, targets): of every node that a walk of ``hops`` undirected steps from the seeds expands and that has an edge, its outgoing neighbours in order, each once per edge type; empty for nodes with incoming edges only."""
+    expanded = k_hop(seeds, edges, hops - 1).select("id") if hops > 0 else seeds.select("id").limit(0)
+    out = edges.join(expanded, F.col("from_id") == F.col("id"), "left_semi").groupBy(F.col("from_id").alias("id")).agg(F.array_sort(F.collect_list("to_id")).alias("targets"))
+    known = edges.join(expanded, F.col("to_id") == F.col("id"), "left_semi").select(F.col("to_id").alias("id")).distinct()
+    return out.join(known, "id", "full_outer").select("id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+
+
 def common_callers(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, caller_id, n): the source with most edges into a query's hits, itself excluded, ties by id."""
     e = hits.select("query_id", "symbol_id").join(edges.where("from_id <> to_id"), F.col("symbol_id") == F.col("to_id")).groupBy("query_id", "from_id").agg(F.count("*").alias("n"))

@@ -81,6 +81,16 @@ def skew_join(rows: DataFrame, attributes: DataFrame, key: str, share: float | N
     return hot.unionByName(cold.select(*hot.columns))
 
 
+def spread_join(rows: DataFrame, attributes: DataFrame, key: str, share: float | None = None) -> DataFrame:
+    """``rows`` inner joined with ``attributes`` (one row per key). The heavy keys are looked for at once, so ``rows`` should be cheap to read; where there are none this is a plain join."""
+    heavy = heavy_values(rows, key, share or even_share(rows))
+    if not heavy:
+        return rows.join(attributes, key)
+    hot = rows.where(F.col(key).isin(heavy)).join(F.broadcast(attributes.where(F.col(key).isin(heavy))), key)
+    cold = rows.where(~F.col(key).isin(heavy)).join(attributes, key)
+    return hot.unionByName(cold)
+
+
 def targets(symbols: DataFrame, core_symbols: DataFrame) -> DataFrame:
     """(to_id, to_kind, to_package) of every id, once; of several rows the greatest values."""
     both = symbols.select("id", "kind", "package_path").unionByName(core_symbols.select("id", "kind", "package_path"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strata.common import table
 from strata.functions import rules
-from strata.operators import graph
+from strata.functions.text import comment_source
+from strata.operators import graph, lookup
 from strata.plans.sql import CAT, EDG, entry, intent, layer, layer_score, values
 from strata.sources import corpus
 
@@ -25,9 +26,11 @@ def _ends(spark, d):
 
 
 def sym_find_by_name(spark, d):
-    """Symbols of the stated names: the first 20 over all names together, as its SQL states, not 20 of each name."""
-    s = _catalog(spark, d).where(F.col("name").isin(*NAMES)).select("name", "package_path", "kind", "id", "repo_path")
-    return s.orderBy("package_path", "kind", "name", "id").limit(20)
+    """Symbols of the stated names, of each the first 20 that the lookup gives."""
+    from functools import reduce
+
+    found = [lookup.symbols_by_name(_catalog(spark, d), n) for n in NAMES]
+    return reduce(lambda a, b: a.unionByName(b), found).select("name", "package_path", "kind", "id", "repo_path")
 
 
 def sym_by_package(spark, d):
@@ -35,6 +38,16 @@ def sym_by_package(spark, d):
     return _catalog(spark, d).groupBy("package_path", "kind").agg(F.count("*").alias("n"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
 
 
+def packages_by_repo(spark, d):
+    s = _catalog(spark, d).where("repo_path is not null")
+    return lookup.packages(s.groupBy("repo_path", F.col("package_path").alias("path")).agg(F.count("*").alias("symbol_count")))
+
+
+def comment_lines(spark, d):
+    """Comments as source lines."""
+    return _catalog(spark, d).where("doc_comment is not null").select("id", comment_source(F.col("doc_comment")).alias("formatted"))
+
+
 def files_by_repo(spark, d):
     return _catalog(spark, d).where("kind = 'file'").select("repo_path", "id", "name", "file_path")
 
@@ -116,6 +129,12 @@ def graph_khop(spark, d):
     return graph.k_hop(seeds, corpus.merged_edges(spark, d).where("edge_type in ('implements', 'embeds')"), 2).select("id", F.col("hop").cast("long").alias("hop"))
 
 
+def graph_adjacency(spark, d):
+    seeds = table(spark, d, "core_symbols").where("kind = 'interface'").select("id")
+    a = graph.adjacency(seeds, corpus.merged_edges(spark, d).where("edge_type in ('implements', 'embeds')"), 2)
+    return a.select("id", F.array_join("targets", " ").alias("targets"))
+
+
 def graph_common_callers(spark, d):
     """For the hits of every search query, the source with most edges into them."""
     hits = table(spark, d, "search_hits").where("query_id is not null and symbol_id is not null").select("query_id", "symbol_id").distinct()
@@ -168,7 +187,7 @@ def kind_histogram(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        sym_find_by_name, sym_by_package, files_by_repo, sym_embeddable, sym_tokens, undocumented, sym_first_per_file, refs_incoming, refs_outgoing, refs_both, in_subquery_edges, edge_histogram, graph_degree, graph_pagerank,
+        sym_find_by_name, sym_by_package, files_by_repo, sym_embeddable, sym_tokens, undocumented, sym_first_per_file, refs_incoming, refs_outgoing, refs_both, packages_by_repo, comment_lines, graph_adjacency, in_subquery_edges, edge_histogram, graph_degree, graph_pagerank,
         graph_layer, graph_entry_points, graph_khop, graph_common_callers, call_enclosing_func, resolve_symbol, implements_sets, intent_detect, intent_reorder, kind_histogram,
     )
 }
@@ -195,7 +214,11 @@ def _pagerank_sql() -> str:
 _BLANK_DOC = "trim(coalesce(doc_comment, ''), ' ') = ''"
 _PARTS = "'^([^:]+):([a-z-]+):(.+)$'"
 ORACLE = {
-    "sym_find_by_name": f"WITH {CAT} SELECT name, package_path, kind, id, repo_path FROM cat WHERE name IN ({_NAMES}) ORDER BY package_path, kind, name, id LIMIT 20",
+    "sym_find_by_name": f"WITH {CAT} SELECT name, package_path, kind, id, repo_path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY package_path, kind, id) AS rn FROM cat WHERE name IN ({_NAMES})) WHERE rn <= 20",
+    "packages_by_repo": f"WITH {CAT} SELECT repo_path, package_path AS path, count(*) AS symbol_count FROM cat WHERE repo_path IS NOT NULL GROUP BY ALL",
+    "comment_lines": f"""WITH {CAT}, s AS (SELECT id, string_split(doc_comment, chr(10)) AS l FROM cat WHERE doc_comment IS NOT NULL),
+t AS (SELECT id, len(l) AS n, list_transform(l, lambda x: regexp_replace(x, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')) AS l FROM s)
+SELECT id, array_to_string(list_transform(list_filter(list_zip(l, range(1, n + 1)), lambda z: z[1] <> '' OR z[2] < n), lambda z: CASE WHEN z[1] = '' THEN '//' ELSE '// ' || z[1] END), chr(10)) AS formatted FROM t""",
     "sym_by_package": f"WITH {CAT} SELECT package_path, kind, count(*) AS n, min(name) AS first_name, max(name) AS last_name FROM cat GROUP BY ALL",
     "files_by_repo": f"WITH {CAT} SELECT repo_path, id, name, file_path FROM cat WHERE kind = 'file'",
     "sym_embeddable": f"WITH {CAT} SELECT id, coalesce(signature, '') || chr(10) || coalesce(doc_comment, '') AS input_text FROM cat WHERE kind IN ('func', 'method', 'struct', 'interface')",
@@ -216,6 +239,9 @@ SELECT id, coalesce(i.w, 0) AS in_degree, coalesce(o.w, 0) AS out_degree, coales
 h0 AS (SELECT id FROM core_symbols WHERE kind = 'interface'), h1 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
 h2 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))
 SELECT id, 0::BIGINT AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""",
+    "graph_adjacency": f"""WITH {EDG}, e AS (SELECT from_id, to_id FROM edg WHERE edge_type IN ('implements', 'embeds')),
+h0 AS (SELECT id FROM core_symbols WHERE kind = 'interface'), x AS (SELECT id FROM h0 UNION SELECT to_id FROM e WHERE from_id IN (SELECT id FROM h0) UNION SELECT from_id FROM e WHERE to_id IN (SELECT id FROM h0))
+SELECT id, coalesce((SELECT string_agg(to_id, ' ' ORDER BY to_id) FROM e WHERE from_id = x.id), '') AS targets FROM x WHERE id IN (SELECT from_id FROM e) OR id IN (SELECT to_id FROM e)""",
     "graph_common_callers": f"""WITH {EDG}, h AS (SELECT DISTINCT query_id, symbol_id FROM search_hits WHERE query_id IS NOT NULL AND symbol_id IS NOT NULL),
 c AS (SELECT query_id, from_id AS caller_id, count(*) AS n FROM h JOIN edg ON symbol_id = to_id WHERE from_id <> to_id GROUP BY ALL)
 SELECT query_id, caller_id, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, caller_id) AS rn FROM c) WHERE rn = 1""",

@@ -27,7 +27,8 @@ def arms(spark, d, options: search.Options):
         e = e.join(allowed, e["symbol_id"] == allowed["id"], "left_semi")
         symbols = symbols.join(allowed, "id", "left_semi")
     v = search.vector_search(e, query_vectors(spark, d), 2 * o.k)
-    k = fts.rank_scores(search.top(fts.match(symbols, "id", COLUMNS, TEXTS).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc").alias("symbol_id"), "score"), 2 * o.k))
+    index = None if options.prefilter else corpus.text_index(spark, d, "symbols", symbols, "id", COLUMNS)
+    k = fts.rank_scores(search.top(fts.match(symbols, "id", COLUMNS, TEXTS, index).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc").alias("symbol_id"), "score"), 2 * o.k))
     if not o.vector_weight:
         v = v.limit(0)
     if not o.keyword_weight:
@@ -116,11 +117,18 @@ def _stored_results(spark, d) -> DataFrame:
     place = Window.partitionBy("query_id").orderBy(F.desc(F.round("combined", 9)), "symbol_id")
     rows = rows.withColumn("place", F.row_number().over(place)).where("place <= 10")
     rows = rows.withColumn("layer", rules.layer(F.col("package_path"))).withColumn("is_entry", rules.entry_point(F.col("name"), F.col("kind"), F.col("exported"), F.col("package_path"), F.col("signature")))
-    return rows.withColumn("graph", F.lit(0.0)).withColumn("pagerank", F.lit(0.0)).withColumn("reasons", rules.hybrid_reasons(F.col("vector"), F.lit(0.0), F.col("exported"), F.col("kind")))
+    return rows.withColumn("reasons", rules.hybrid_reasons(F.col("vector"), F.lit(0.0), F.col("exported"), F.col("kind")))
+
+
+def _with_graph(spark, d) -> DataFrame:
+    """The stored results with the graph features of each query's hits."""
+    hits = cut(_stored_results(spark, d))
+    f = graph.features(hits, corpus.merged_edges(spark, d), corpus.catalog(spark, d))
+    return hits.join(f.select("query_id", "symbol_id", "graph", "pagerank"), ["query_id", "symbol_id"])
 
 
 def evidence_packages(spark, d):
-    c = evidence.package_cards(_stored_results(spark, d))
+    c = evidence.package_cards(_with_graph(spark, d))
     return c.select("query_id", F.col("card").cast("long").alias("card"), "path", F.round("score", 6).alias("score"), "role", "summary", F.array_join("why", "; ").alias("why"), F.array_join("key_symbols", ", ").alias("key_symbols"))
 
 
@@ -129,7 +137,7 @@ def evidence_symbols(spark, d):
 
 
 def evidence_hints(spark, d):
-    hits = _stored_results(spark, d)
+    hits = _with_graph(spark, d)
     e = corpus.merged_edges(spark, d)
     ends = corpus.catalog(spark, d).select("id", "name", "package_path")
     return evidence.hints(hits, graph.common_callers(hits, e), ends).withColumn("n", F.col("n").cast("long"))
@@ -232,11 +240,17 @@ _GR = """list_filter([CASE WHEN pr > 0.01 THEN 'Highly connected in call graph'
 _GREASONS = f"CASE WHEN len({_GR}) > 0 THEN {_GR} ELSE ['Graph feature match'] END"
 
 _ROLE = "CASE {c} WHEN 'handler' THEN 'interface/http' WHEN 'service' THEN 'application/business' WHEN 'repository' THEN 'infrastructure/persistence' WHEN 'domain' THEN 'domain/model' WHEN 'middleware' THEN 'infrastructure/middleware' END"
+_PATH_ROLE = """CASE WHEN contains(lower(c.package_path), '/handler/') OR contains(lower(c.package_path), '/controller/') THEN 'interface/http'
+  WHEN contains(lower(c.package_path), '/service/') OR contains(lower(c.package_path), '/usecase/') THEN 'application/business'
+  WHEN contains(lower(c.package_path), '/repository/') OR contains(lower(c.package_path), '/dao/') THEN 'infrastructure/persistence'
+  WHEN contains(lower(c.package_path), '/domain/') OR contains(lower(c.package_path), '/entity/') THEN 'domain/model' ELSE 'application' END"""
 _STORED = f"""WITH {CAT}, {EDG},
 h AS (SELECT query_id, symbol_id, combined, CASE WHEN vector IS NOT NULL AND NOT isnan(vector) THEN vector ELSE 0 END AS vector FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY scored_at DESC NULLS LAST, combined DESC) AS rn FROM search_hits WHERE query_id IS NOT NULL AND symbol_id IS NOT NULL AND combined IS NOT NULL AND NOT isnan(combined)) WHERE rn = 1),
 j AS (SELECT h.*, c.* EXCLUDE (id), {layer('package_path')} AS layer, {entry()} AS is_entry, row_number() OVER (PARTITION BY query_id ORDER BY round(combined, 9) DESC, symbol_id) AS place FROM h JOIN cat c ON c.id = symbol_id),
 hits AS (SELECT *, 0.0 AS keyword FROM j WHERE place <= 10)"""
+_STORED_GRAPH = f"""{_STORED}, cand AS MATERIALIZED (SELECT query_id, symbol_id FROM hits), {_pagerank('cand')}, {_FEAT},
+ghits AS MATERIALIZED (SELECT h.*, s.graph, s.pr FROM hits h JOIN scored s ON h.query_id = s.query_id AND h.symbol_id = s.symbol_id)"""
 _TRUNC = "CASE WHEN length({c}) > {n} THEN substring({c}, 1, {n}) || '...' ELSE {c} END"
 _SNIP = f"""{_STORED},
 pr AS (SELECT *, line_end - line_start + 1 AS n_lines, combined + (CASE WHEN exported THEN 0.2 ELSE 0 END) + (CASE WHEN is_entry THEN 0.3 ELSE 0 END) AS priority FROM hits WHERE line_start > 0 AND line_end >= line_start),
@@ -267,23 +281,24 @@ SELECT query_id, place, symbol_id, round(vector, 6) AS vector, round(keyword, 6)
     "graph_pagerank_candidates": f"{_arms()}, {_base('exported', 0.75, 0.25)}, {_pagerank('hit')} SELECT query_id, symbol_id, round(pr, 9) AS pagerank FROM g{graph.ITERATIONS}",
     "graph_score": f"""WITH {CAT}, {EDG}, cand AS MATERIALIZED (SELECT DISTINCT query_id, symbol_id FROM search_hits WHERE query_id IS NOT NULL AND symbol_id IS NOT NULL), {_pagerank('cand')}, {_FEAT}
 SELECT query_id, symbol_id, layer, is_entry, is_interface, in_degree, out_degree, round(pr, 9) AS pagerank, round(graph, 9) AS graph FROM scored""",
-    "evidence_packages": f"""{_STORED},
+    "evidence_packages": f"""{_STORED_GRAPH},
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, package_path ORDER BY place) AS rn,
-  list_concat(list_concat(CASE WHEN combined > 0.7 THEN ['High relevance: ' || name] ELSE [] END, CASE WHEN is_entry THEN ['Contains entry points'] ELSE [] END), CASE WHEN layer = 'service' THEN ['Core service layer'] ELSE [] END) AS w FROM hits),
+  list_concat(list_concat(CASE WHEN combined > 0.7 THEN ['High relevance: ' || name] ELSE [] END, CASE WHEN is_entry THEN ['Contains entry points'] ELSE [] END), CASE WHEN layer = 'service' THEN ['Core service layer'] ELSE [] END) AS w FROM ghits),
 w2 AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY query_id, package_path ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
 kd AS (SELECT query_id, package_path, string_agg(n || ' ' || kind, ' | ' ORDER BY n || ' ' || kind) AS kinds FROM (SELECT query_id, package_path, kind, count(*) AS n FROM hits GROUP BY ALL) GROUP BY ALL),
 ky AS (SELECT query_id, package_path, string_agg(name, ', ' ORDER BY rn) AS key_symbols FROM (SELECT *, row_number() OVER (PARTITION BY query_id, package_path ORDER BY rn) AS kn FROM o WHERE exported OR is_entry) WHERE kn <= 5 GROUP BY ALL),
 wh AS (SELECT query_id, package_path, array_to_string(flatten(list(w ORDER BY rn)), '; ') AS why FROM w2 WHERE before < 3 GROUP BY ALL),
-a AS (SELECT query_id, package_path, sum(combined + (CASE WHEN is_entry THEN 0.1 ELSE 0 END)) AS score, count(*) AS n, arg_min(layer, rn) FILTER (WHERE layer IN ('handler', 'service', 'repository', 'domain', 'middleware')) AS l, arg_min(coalesce(semantic_text, ''), rn) AS txt FROM o GROUP BY ALL),
+a AS (SELECT query_id, package_path, sum(combined + (CASE WHEN graph > 0.5 THEN 0.2 ELSE 0 END) + (CASE WHEN is_entry THEN 0.1 ELSE 0 END)) AS score, count(*) AS n, arg_min(layer, rn) FILTER (WHERE layer IN ('handler', 'service', 'repository', 'domain', 'middleware')) AS l, arg_min(coalesce(semantic_text, ''), rn) AS txt FROM o GROUP BY ALL),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, package_path) AS card FROM a)
-SELECT c.query_id, card, c.package_path AS path, round(score, 6) AS score, coalesce({_ROLE.format(c='l')}, {_ROLE.format(c='(' + layer("c.package_path || '/'") + ')')}, 'application') AS role,
+SELECT c.query_id, card, c.package_path AS path, round(score, 6) AS score, coalesce({_ROLE.format(c='l')}, {_PATH_ROLE}) AS role,
   n || ' symbols | ' || kinds || CASE WHEN txt <> '' THEN ' | ' || {_TRUNC.format(c='txt', n=100)} ELSE '' END AS summary, coalesce(why, '') AS why, coalesce(key_symbols, '') AS key_symbols
 FROM c JOIN kd USING (query_id, package_path) LEFT JOIN ky USING (query_id, package_path) LEFT JOIN wh USING (query_id, package_path) WHERE card <= 3""",
     "evidence_symbols": f"""{_STORED} SELECT query_id, place, symbol_id AS id, name, kind, signature, file_path AS file, line_start AS line, CASE WHEN place <= 3 AND coalesce(semantic_text, '') <> '' THEN {_TRUNC.format(c='semantic_text', n=300)} ELSE '' END AS snippet, array_to_string({_HREASONS}, '; ') AS why FROM hits""",
-    "evidence_hints": f"""{_STORED}, cc AS (SELECT query_id, from_id, count(*) AS k FROM hits JOIN edg ON to_id = symbol_id WHERE from_id <> to_id GROUP BY ALL),
+    "evidence_hints": f"""{_STORED_GRAPH}, cc AS (SELECT query_id, from_id, count(*) AS k FROM hits JOIN edg ON to_id = symbol_id WHERE from_id <> to_id GROUP BY ALL),
 t AS (SELECT query_id, from_id, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, from_id) AS rn FROM cc)
 SELECT query_id, 1::BIGINT AS n, 'Common caller: ' || name || ' (' || package_path || ')' AS hint FROM t JOIN cat ON id = from_id WHERE t.rn = 1
-UNION ALL SELECT query_id, 2, 'Entry points: ' || string_agg(name, ', ' ORDER BY place) FROM hits WHERE is_entry GROUP BY query_id""",
+UNION ALL SELECT query_id, 2, 'Entry points: ' || string_agg(name, ', ' ORDER BY place) FROM hits WHERE is_entry GROUP BY query_id
+UNION ALL SELECT query_id, 3, 'Hub: ' || arg_min(name, place) || ' (called by many)' FROM ghits WHERE pr > 0.01 GROUP BY query_id""",
     "evidence_snippets": f"{_SNIP} SELECT query_id, rank, symbol_id, n_lines, kept_lines, round(priority, 6) AS priority FROM snip WHERE kept_lines IS NOT NULL",
     "evidence_metadata": f"""{_SNIP}, m AS (SELECT query_id, count(*) AS total_symbols, arg_min(vector > 0, place) AS has_vector_search FROM hits GROUP BY query_id)
 SELECT query_id, total_symbols, has_vector_search, coalesce(t, 0)::BIGINT AS total_lines FROM m LEFT JOIN (SELECT query_id, sum(kept_lines) AS t FROM snip GROUP BY query_id) USING (query_id)""",

@@ -25,16 +25,20 @@ def fts_tokens(spark, d):
 
 
 def fts_df(spark, d):
-    """Document frequencies of the terms in at least 5 documents, as its SQL states; rarer terms are left out, so the share lost depends on the table's size."""
-    return fts.document_frequencies(fts.postings(_docs(spark, d), "doc_id", ["text"])).where("n >= 5")
+    """Document frequencies of all terms."""
+    return fts.document_frequencies(fts.postings(_docs(spark, d), "doc_id", ["text"]))
 
 
 def fts_doc_len(spark, d):
     return fts.doc_lengths(corpus.catalog(spark, d), "id", COLUMNS)
 
 
+def _index(spark, d):
+    return corpus.text_index(spark, d, "documents", _docs(spark, d), "doc_id", ["text"])
+
+
 def _matches(spark, d, text):
-    return fts.match(_docs(spark, d), "doc_id", ["text"], [(1, text)]).select(F.col("doc").alias("doc_id"))
+    return fts.match(_docs(spark, d), "doc_id", ["text"], [(1, text)], _index(spark, d)).select(F.col("doc").alias("doc_id"))
 
 
 def fts_and(spark, d):
@@ -63,7 +67,8 @@ def fts_underscore(spark, d):
 
 
 def fts_column_filter(spark, d):
-    return fts.match(corpus.catalog(spark, d), "id", COLUMNS, [(1, "semantic_text:handler method")]).select(F.col("doc").alias("symbol_id"))
+    symbols = corpus.catalog(spark, d)
+    return fts.match(symbols, "id", COLUMNS, [(1, "semantic_text:handler method")], corpus.text_index(spark, d, "symbols", symbols, "id", COLUMNS)).select(F.col("doc").alias("symbol_id"))
 
 
 def fts_sanitize(spark, d):
@@ -73,17 +78,17 @@ def fts_sanitize(spark, d):
 
 def fts_retry(spark, d):
     """Texts that are no match expressions are cleaned and tried as words."""
-    hits = fts.match(_docs(spark, d), "doc_id", ["text"], [(1, "retry? loop!"), (2, "session-cache"), (3, "trailing AND"), (4, "...")])
+    hits = fts.match(_docs(spark, d), "doc_id", ["text"], [(1, "retry? loop!"), (2, "session-cache"), (3, "trailing AND"), (4, "...")], _index(spark, d))
     return hits.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 def fts_bm25_topk(spark, d):
-    hits = fts.keyword_search(_docs(spark, d), "doc_id", ["text"], [(1, "shard tariff"), (2, "platform OR imprint"), (3, '"session cache"')], 20)
+    hits = fts.keyword_search(_docs(spark, d), "doc_id", ["text"], [(1, "shard tariff"), (2, "platform OR imprint"), (3, '"session cache"')], 20, _index(spark, d))
     return hits.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def fts_rank_score(spark, d):
-    hits = fts.rank_scores(fts.keyword_search(_docs(spark, d), "doc_id", ["text"], [(1, "shard tariff"), (2, "platform OR imprint")], 10))
+    hits = fts.rank_scores(fts.keyword_search(_docs(spark, d), "doc_id", ["text"], [(1, "shard tariff"), (2, "platform OR imprint")], 10, _index(spark, d)))
     return hits.select("query_id", F.col("place").cast("long").alias("place"), F.round("keyword", 6).alias("keyword"))
 
 
@@ -153,7 +158,7 @@ _HAS = lambda w: f"list_contains(w, '{w}')"
 
 ORACLE = {
     "fts_tokens": f"WITH {_T} SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_terms FROM t",
-    "fts_df": f"{_TERMS} SELECT term, count(DISTINCT doc_id) AS n FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 5",
+    "fts_df": f"{_TERMS} SELECT term, count(DISTINCT doc_id) AS n FROM p GROUP BY term",
     "fts_doc_len": f"WITH {CAT} SELECT id AS doc, (len({tok('id')}) + len({tok('name')}) + len({tok('semantic_text')}))::BIGINT AS len FROM cat",
     "fts_and": f"WITH {_T} SELECT doc_id FROM t WHERE {_HAS('shard')} AND {_HAS('tariff')}",
     "fts_or": f"WITH {_T} SELECT doc_id FROM t WHERE {_HAS('platform')} OR {_HAS('imprint')}",

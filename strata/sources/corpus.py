@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.common import slash_path, table
+from strata.common import scratch_path, slash_path, table
 from strata.functions.vector import usable
+from strata.operators import fts
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -46,3 +49,20 @@ def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, text) of every text, lines counted from 1."""
     split = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")
     return documents.where("text is not null").select("doc_id", F.posexplode(split).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "text")
+
+
+_INDEXES: dict[tuple, str] = {}
+
+
+def text_index(spark: SparkSession, d: str, name: str, docs: DataFrame, id_col: str, columns: Sequence[str]) -> fts.Index:
+    """The stored full-text index of a view of a data directory: written to the shared folder when first asked for, read by every later search of the session. A table that was written anew gets a new one."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(d)
+    status = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    state = tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in status))
+    key = (spark.sparkContext.applicationId, d, name, state)
+    if key not in _INDEXES:
+        path = scratch_path(spark, f"fts-{name}")
+        fts.write_index(docs, id_col, columns, path)
+        _INDEXES[key] = path
+    return fts.read_index(spark, _INDEXES[key])

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strata.operators import evidence, fts, graph, search, status, store, synonyms
+from strata.operators import evidence, fts, graph, lookup, patches, search, status, store, synonyms
 from strata.sources import gosource
 
 WORDS = ["cache", "ledger", "shard", "token", "run_it", "Café", "路由表", "queue"]
@@ -270,3 +270,56 @@ def test_read_repository_skips_vendored(spark, tmp_path):
     rows = {(r["file_path"], r["package_path"]) for r in gosource.read_repository(spark, str(tmp_path), "example.com/app").collect()}
     assert rows == {("store/s.go", "example.com/app/store"), ("store/s_test.go", "example.com/app/store"), ("main.go", "example.com/app")}
     assert gosource.read_repository(spark, str(tmp_path), "m", tests=False).count() == 2
+
+
+def test_stored_postings_give_the_same_hits(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Retry the session cache", "x"), (2, "serialised cache of retries", "y"), (3, None, "cache"), (4, "", None), (5, "the cache the retry", "retry")], "id long, text string, note string")
+    queries = [(1, "retry cache"), (2, "serial*"), (3, '"session cache"'), (4, "note:cache"), (5, "(retry OR session) NOT serialised"), (6, "NEAR(cache retry, 2)"), (7, "^the"), (8, "ret* + "), (9, " ")]
+    fts.write_index(docs, "id", ["text", "note"], str(tmp_path / "i"))
+    rows = lambda index: sorted((r["query_id"], r["doc"], round(r["score"], 9)) for r in fts.match(docs, "id", ["text", "note"], queries, index).collect())
+    stored = fts.read_index(spark, str(tmp_path / "i"))
+    assert rows(stored) == rows(None) and len(rows(None)) > 8
+    plan = fts.match(docs, "id", ["text", "note"], queries, stored)._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "BroadcastNestedLoopJoin BuildRight, Inner" not in plan
+
+
+def test_patches_and_lookups(spark):
+    s = spark.createDataFrame([("a", "r", "p", "f", "func", "x.go", 3), ("b", "r", "p", "g", "func", "x.go", 9), ("c", "r", "q", "f", "method", None, 1), ("d", "t", "p", "x.go", "file", "x.go", 1)], "id string, repo_path string, package_path string, name string, kind string, file_path string, line_start int")
+    c = spark.createDataFrame([("a", "First line.\n\n  second \n"), ("b", "Other."), ("c", "No file."), ("d", " "), (None, "x")], "id string, comment string")
+    p = patches.comment_patches(s, c)
+    assert [(r["id"], r["place"], r["comment"]) for r in p.orderBy("place").collect()] == [("b", 1, "// Other."), ("a", 2, "// First line.\n//\n// second")]
+    files = spark.createDataFrame([("x.go", "\n".join(f"l{i}" for i in range(1, 12)))], "file_path string, text string")
+    diff = {r["id"]: r["diff"] for r in patches.patch_diffs(p, files).collect()}
+    assert diff["b"] == "--- <original>\n+++ <modified>\n@@ -6,5 +6,6 @@\n l6\n l7\n l8\n+// Other.\n l9\n l10\n"
+    assert [r["id"] for r in lookup.symbols_by_name(s, "f", limit=0).collect()] == ["a", "c"] and lookup.symbols_by_name(s, "f", "t").count() == 0
+    assert [r["id"] for r in lookup.symbols_by_repo(s, "r").collect()] == ["a", "b", "c"] and [r["id"] for r in lookup.symbols_by_package(s, "p").collect()] == ["d", "a", "b"]
+    assert [r["id"] for r in lookup.files_of(s, "t").collect()] == ["d"] and lookup.positive_or(-1, 5) == lookup.positive_or(None, 5) == 5
+    with pytest.raises(ValueError):
+        lookup.symbols_by_name(s, "  ")
+
+
+def test_hot_target_meets_its_details_without_a_shuffle(spark):
+    e = spark.createDataFrame([(f"f{i}", "hot", "calls", 5) for i in range(300)] + [("f1", "cold", "calls", 5), ("gone", "hot", "calls", 5)], "from_id string, to_id string, edge_type string, weight int")
+    s = spark.createDataFrame([(f"f{i}", f"n{i}", "func") for i in range(300)] + [("hot", "Hot", None), ("cold", "Cold", "func")], "id string, name string, kind string")
+    assert graph.neighbours(spark.createDataFrame([("hot",), ("cold",), ("none",)], "id string"), e, s).count() == 301
+    assert graph.neighbours(spark.createDataFrame([("hot",)], "id string").limit(0), e, s).count() == 0
+    assert {r["id"]: r["targets"] for r in graph.adjacency(spark.createDataFrame([("cold",)], "id string"), e, 2).collect()} == {"cold": [], "f1": ["cold", "hot"]}
+
+
+def test_read_one_package_and_one_file(spark, tmp_path):
+    for p, t in {"a/x.go": "package a\n", "a/b/y.go": "package b\n", "z.go": "package main\n"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    rows = lambda df: [(r["file_path"], r["package_path"]) for r in df.collect()]
+    assert rows(gosource.read_package(spark, str(tmp_path), "m/a", "m")) == [("a/x.go", "m/a")]
+    assert rows(gosource.read_package(spark, str(tmp_path), "m", "m")) == [("z.go", "m")]
+    assert rows(gosource.read_file(spark, str(tmp_path), "a/b/y.go", "m")) == [("a/b/y.go", "m/a/b")]
+
+
+def test_updates_and_first_indexed(spark):
+    old = spark.createDataFrame([("a", "t", ["x"]), ("b", "u", None)], "id string, semantic_text string, tokens array<string>")
+    new = spark.createDataFrame([("a", None, ["y"]), ("b", "w", None), ("c", "z", None)], "id string, semantic_text string, tokens array<string>")
+    assert {(r["id"], r["semantic_text"], tuple(r["tokens"] or ())) for r in store.update_symbols(old, new).collect()} == {("a", "t", ("y",)), ("b", "w", ())}
+    c = spark.createDataFrame([(1, 1, "/x"), (1, 2, "/y"), (2, 1, "/none")], "request_id int, ordinal int, root_path string")
+    r = spark.createDataFrame([("/x", 0), ("/y", 3)], "root_path string, symbol_count int")
+    assert [tuple(x) for x in status.first_indexed(c, r).collect()] == [(1, "/y")]
