@@ -21,7 +21,7 @@ from strata.functions import rules
 from strata.functions.vector import cosine_similarity, distance_to_score, l2_distance, usable
 
 MAX_BATCH = 10_000  #: queries of one batch of texts, which the driver embeds
-SMALL_BATCH = 64  #: vectors of a batch that is broadcast and scored row by row; larger ones meet the rows in blocks
+SMALL_BATCH = 8  #: vectors of a batch that is broadcast and scored row by row; larger ones meet the rows in blocks
 BLOCK, SLICE = 4096, 256  #: vectors of a block; queries scored at a time
 
 

@@ -8,6 +8,7 @@ from strata.common import table
 from strata.functions import rules
 from strata.functions.text import comment_source
 from strata.operators import graph, lookup
+from strata.plans import fixed
 from strata.plans.sql import CAT, EDG, entry, intent, layer, layer_score, values
 from strata.sources import corpus
 
@@ -234,7 +235,7 @@ SELECT id, array_to_string(list_transform(list_filter(list_zip(l, range(1, n + 1
 SELECT id, coalesce(i.w, 0) AS in_degree, coalesce(o.w, 0) AS out_degree, coalesce(i.w, 0) + coalesce(o.w, 0) AS centrality FROM (SELECT DISTINCT id FROM ends) LEFT JOIN i USING (id) LEFT JOIN o USING (id)""",
     "graph_pagerank": _pagerank_sql(),
     "graph_layer": f"WITH {CAT}, p AS (SELECT DISTINCT package_path, {layer('package_path')} AS layer FROM cat) SELECT package_path, layer, ({layer_score('layer')})::DOUBLE AS score FROM p",
-    "graph_entry_points": f"WITH {CAT} SELECT id, {entry()} AS is_entry, ({' OR '.join(f'starts_with(name, {chr(39)}{p}{chr(39)})' for p in rules.CARD_ENTRY_PREFIXES)}) AS is_card_entry FROM cat",
+    "graph_entry_points": f"WITH {CAT} SELECT id, {entry()} AS is_entry, ({' OR '.join(f'starts_with(name, {chr(39)}{p}{chr(39)})' for p in fixed.CARD_ENTRY_PREFIXES)}) AS is_card_entry FROM cat",
     "graph_khop": f"""WITH {EDG}, e AS (SELECT from_id AS a, to_id AS b FROM edg WHERE edge_type IN ('implements', 'embeds') UNION SELECT to_id, from_id FROM edg WHERE edge_type IN ('implements', 'embeds')),
 h0 AS (SELECT id FROM core_symbols WHERE kind = 'interface'), h1 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)),
 h2 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h1))

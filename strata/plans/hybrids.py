@@ -15,20 +15,23 @@ from strata.sources import corpus
 COLUMNS = ("id", "name", "semantic_text")
 #: Expressions of the batch, one per query vector.
 TEXTS = ((1, "service method"), (2, "handler OR middleware"), (3, "domain struct"), (4, "repository interface"), (5, "client func"))
+#: A larger batch: two words of the cards for each of the first vectors.
+WORDS = ("service", "method", "handler", "middleware", "domain", "struct", "repository", "interface", "client", "func")
+BATCH = tuple((n + 1, WORDS[n % 10], WORDS[(n + 1 + n // 10) % 10]) for n in range(50))
 INTENTS = ((1, "design"), (2, "implementation"), (3, "extension"), (4, ""), (5, "design"))
 
 
-def arms(spark, d, options: search.Options):
-    """Both arms cut at twice k; an arm without weight is empty."""
+def arms(spark, d, options: search.Options, texts=TEXTS):
+    """Both arms of the stated batch cut at twice k; an arm without weight is empty."""
     o, symbols = options.normalised(), corpus.catalog(spark, d)
     e = corpus.embeddings(spark, d)
     if options.prefilter:
         allowed = symbols.where(options.condition()).select("id")
         e = e.join(allowed, e["symbol_id"] == allowed["id"], "left_semi")
         symbols = symbols.join(allowed, "id", "left_semi")
-    v = search.vector_search(e, query_vectors(spark, d), 2 * o.k)
+    v = search.vector_search(e, query_vectors(spark, d, len(texts)), 2 * o.k)
     index = None if options.prefilter else corpus.text_index(spark, d, "symbols", symbols, "id", COLUMNS)
-    k = fts.rank_scores(search.top(fts.match(symbols, "id", COLUMNS, TEXTS, index).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc").alias("symbol_id"), "score"), 2 * o.k))
+    k = fts.rank_scores(search.top(fts.match(symbols, "id", COLUMNS, texts, index).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc").alias("symbol_id"), "score"), 2 * o.k))
     if not o.vector_weight:
         v = v.limit(0)
     if not o.keyword_weight:
@@ -58,6 +61,12 @@ def hybrid_search(spark, d):
     return _flat(results(spark, d, PLAIN))
 
 
+def hybrid_search_batch(spark, d):
+    """Fifty queries at once."""
+    v, k = arms(spark, d, PLAIN, [(n, f"{a} {b}") for n, a, b in BATCH])
+    return _flat(search.blend(search.hybrid(v, k, corpus.catalog(spark, d), PLAIN), None, PLAIN))
+
+
 def hybrid_vector_only(spark, d):
     return _flat(results(spark, d, search.Options(keyword_weight=0.0, rank_by_graph=False)))
 
@@ -173,7 +182,7 @@ def read_symbol_lines(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_search, hybrid_vector_only, hybrid_keyword_only, hybrid_filters, hybrid_prefiltered, hybrid_reasons, hybrid_graph_rank, hybrid_intent, graph_pagerank_candidates, graph_score,
+        hybrid_search, hybrid_search_batch, hybrid_vector_only, hybrid_keyword_only, hybrid_filters, hybrid_prefiltered, hybrid_reasons, hybrid_graph_rank, hybrid_intent, graph_pagerank_candidates, graph_score,
         evidence_packages, evidence_symbols, evidence_hints, evidence_snippets, evidence_metadata, read_lines, read_symbol_lines,
     )
 }
@@ -189,9 +198,10 @@ def _leaf(q: int, w: str) -> str:
 _LEAVES = ((1, "service"), (1, "method"), (2, "handler"), (2, "middleware"), (3, "domain"), (3, "struct"), (4, "repository"), (4, "interface"), (5, "client"), (5, "func"))
 
 
-def _arms(prefilter: str = "true", vector: str = "true", keyword: str = "true") -> str:
-    leaves = " UNION ALL ".join(_leaf(q, w).format(src="tk") for q, w in _LEAVES)
-    return f"""WITH {CAT}, {EDG}, {EMB}, {QVEC},
+def _arms(prefilter: str = "true", vector: str = "true", keyword: str = "true", leaves=None, queries: int = 5) -> str:
+    either = "query_id = 2 OR " if leaves is None else ""
+    leaves = " UNION ALL ".join(_leaf(q, w).format(src="tk") for q, w in leaves or _LEAVES)
+    return f"""WITH {CAT}, {EDG}, {EMB}, {QVEC.replace("LIMIT 5", f"LIMIT {queries}")},
 allowed AS (SELECT *, {layer('package_path')} AS layer FROM cat),
 pool AS (SELECT * FROM allowed WHERE {prefilter}),
 vs AS (SELECT query_id, symbol_id, {cos('e.v', 'q.qv')} AS score FROM emb e JOIN qvec q ON len(e.v) = len(q.qv) WHERE {vector} AND ({prefilter} OR false) IS NOT NULL AND ('{prefilter}' = 'true' OR symbol_id IN (SELECT id FROM pool))),
@@ -199,7 +209,7 @@ v AS (SELECT query_id, symbol_id, score FROM (SELECT *, row_number() OVER (PARTI
 tk AS (SELECT id, {_TOKS} AS w FROM pool), lens AS (SELECT id, len(w)::DOUBLE AS l FROM tk), co AS (SELECT count(*)::DOUBLE AS n_docs, avg(l) AS avg_len FROM lens),
 leaf AS ({leaves}), df AS (SELECT query_id, leaf, count(*)::DOUBLE AS n FROM leaf GROUP BY ALL),
 part AS (SELECT query_id, id, CASE WHEN ln((n_docs - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_docs - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len)) AS s FROM leaf JOIN df USING (query_id, leaf) JOIN lens USING (id), co),
-ks AS (SELECT query_id, id AS symbol_id, sum(s) AS score FROM part WHERE {keyword} GROUP BY query_id, id HAVING query_id = 2 OR count(*) = 2),
+ks AS (SELECT query_id, id AS symbol_id, sum(s) AS score FROM part WHERE {keyword} GROUP BY query_id, id HAVING {either}count(*) = 2),
 kp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, symbol_id) AS p FROM ks),
 k AS (SELECT query_id, symbol_id, 1 - (p - 1) / (count(*) OVER (PARTITION BY query_id))::DOUBLE AS keyword FROM kp WHERE p <= 20),
 fused AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.symbol_id, k.symbol_id) AS symbol_id, coalesce(score, 0) AS vector, coalesce(keyword, 0) AS keyword FROM v FULL JOIN k ON v.query_id = k.query_id AND v.symbol_id = k.symbol_id)"""
@@ -261,6 +271,7 @@ _LINES = "ln AS (SELECT doc_id, generate_subscripts(x, 1) AS line_no, unnest(x)
 
 ORACLE = {
     "hybrid_search": f"{_arms()}, {_base('exported', 0.75, 0.25)} {_OUT}",
+    "hybrid_search_batch": f"{_arms(leaves=[(n, w) for n, a, b in BATCH for w in (a, b)], queries=len(BATCH))}, {_base('exported', 0.75, 0.25)} {_OUT}",
     "hybrid_vector_only": f"{_arms(keyword='false')}, {_base('exported', 1.0, 0.0)} {_OUT}",
     "hybrid_keyword_only": f"{_arms(vector='false')}, {_base('exported', 0.0, 1.0)} {_OUT}",
     "hybrid_filters": f"{_arms()}, {_base(_WHERE_F, 0.75, 0.25)} {_OUT}",

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from strata.functions import rules
-from strata.functions.text import ACCENTED, PLAIN
+from strata.plans import fixed
 
 
 def slash(c: str) -> str:
@@ -32,7 +31,7 @@ def cos(a: str, b: str) -> str:
 
 
 def fold(c: str) -> str:
-    return f"translate(lower({c}), '{ACCENTED}', '{PLAIN}')"
+    return f"translate(lower({c}), '{fixed.ACCENTED}', '{fixed.PLAIN}')"
 
 
 def tok(c: str) -> str:
@@ -45,21 +44,21 @@ def values(rows, columns: str) -> str:
 
 
 def layer(path: str) -> str:
-    whens = " ".join(f"WHEN {' OR '.join(f'contains(lower({path}), {chr(39)}/{w}/{chr(39)})' for w in words)} THEN '{name}'" for name, words in rules.LAYERS)
+    whens = " ".join(f"WHEN {' OR '.join(f'contains(lower({path}), {chr(39)}/{w}/{chr(39)})' for w in words)} THEN '{name}'" for name, words in fixed.LAYERS)
     return f"CASE {whens} ELSE 'unknown' END"
 
 
 def layer_score(c: str) -> str:
-    return f"CASE {c} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in rules.LAYER_SCORES.items())} ELSE {rules.OTHER_LAYER_SCORE} END"
+    return f"CASE {c} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in fixed.LAYER_SCORES.items())} ELSE {fixed.OTHER_LAYER_SCORE} END"
 
 
 def entry(name="name", kind="kind", exported="exported", path="package_path", signature="signature") -> str:
     q = lambda x: f"'{x}'"
-    named = f"lower({name}) = 'main' OR " + " OR ".join(f"starts_with(lower({name}), {q(x)})" for x in rules.ENTRY_NAMES)
-    signed = " OR ".join(f"contains(lower(coalesce({signature}, '')), {q(x)})" for x in rules.ENTRY_SIGNATURES)
-    paths = " OR ".join(f"contains(lower({path}), {q(x)})" for x in rules.ENTRY_PATHS)
+    named = f"lower({name}) = 'main' OR " + " OR ".join(f"starts_with(lower({name}), {q(x)})" for x in fixed.ENTRY_NAMES)
+    signed = " OR ".join(f"contains(lower(coalesce({signature}, '')), {q(x)})" for x in fixed.ENTRY_SIGNATURES)
+    paths = " OR ".join(f"contains(lower({path}), {q(x)})" for x in fixed.ENTRY_PATHS)
     return f"({named} OR ({exported} AND {kind} IN ('func', 'method') AND ({signed})) OR ({exported} AND ({paths})))"
 
 
 def intent(text: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({text}), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in rules.INTENTS) + " ELSE '' END"
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({text}), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in fixed.INTENTS) + " ELSE '' END"

@@ -9,6 +9,7 @@ from strata.functions import rules
 from strata.functions.text import human_bytes, path_wanted, repo_file_name
 from strata.functions.timeparse import parse_instant
 from strata.operators import cards, status, store
+from strata.plans import fixed
 from strata.plans.sql import CAT, EDG, EMB, layer
 from strata.plans.training import _instant
 from strata.sources import corpus, gosource
@@ -175,15 +176,15 @@ _PATH = "repo_path || '/' || file_path"
 _INFO = f"""WITH {CAT}, info AS (
   SELECT package_path, count(*) AS n_symbols, count(*) FILTER (WHERE exported) AS exported_count, bool_or(kind = 'interface') AS has_interface, bool_or(kind = 'struct') AS has_struct, bool_or(kind = 'method') AS has_method,
     coalesce(list(name ORDER BY file_path, line_start, id) FILTER (WHERE exported AND kind IN ('struct', 'interface', 'type')), []) AS kt,
-    coalesce(list(name ORDER BY file_path, line_start, id) FILTER (WHERE exported AND kind IN ('func', 'method') AND ({' OR '.join(f"starts_with(name, '{p}')" for p in rules.CARD_ENTRY_PREFIXES)})), []) AS kf,
+    coalesce(list(name ORDER BY file_path, line_start, id) FILTER (WHERE exported AND kind IN ('func', 'method') AND ({' OR '.join(f"starts_with(name, '{p}')" for p in fixed.CARD_ENTRY_PREFIXES)})), []) AS kf,
     coalesce(list(name ORDER BY file_path, line_start, id) FILTER (WHERE exported AND kind IN ('func', 'method')), []) AS ef
   FROM cat GROUP BY package_path)"""
 _ROLE = (
     "CASE "
-    + " ".join(f"WHEN len(list_filter(string_split(lower(package_path), '/'), lambda p: {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)})) > 0 THEN '{role}'" for words, _, role in rules.CARD_ROLES)
+    + " ".join(f"WHEN len(list_filter(string_split(lower(package_path), '/'), lambda p: {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)})) > 0 THEN '{role}'" for words, _, role in fixed.CARD_ROLES)
     + " WHEN has_interface AND has_struct THEN 'domain logic' WHEN has_method AND NOT has_interface THEN 'business logic' ELSE 'general' END"
 )
-_EACH = "[" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{text}' END" for words, text in rules.RESPONSIBILITIES) + "]"
+_EACH = "[" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{text}' END" for words, text in fixed.RESPONSIBILITIES) + "]"
 _BYPATH = f"list_filter(flatten(list_transform(string_split(lower(package_path), '/'), lambda p: {_EACH})), lambda x: x IS NOT NULL)"
 _DUTIES = f"""CASE WHEN len({_BYPATH}) > 0 THEN array_to_string({_BYPATH}, ', ') WHEN has_interface OR has_struct OR has_method THEN
   array_to_string(list_filter([CASE WHEN has_interface THEN 'interface definitions' END, CASE WHEN has_struct THEN 'data structures' END, CASE WHEN has_method THEN 'business operations' END], lambda x: x IS NOT NULL), ', ') ELSE 'general functionality' END"""

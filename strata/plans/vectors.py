@@ -12,11 +12,11 @@ from strata.plans.sql import CAT, EMB, QVEC, cos
 from strata.sources import corpus
 
 
-def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The stated batch: the vectors of the first five symbols by id that have a full vector."""
+def query_vectors(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+    """The stated batch: the vectors of the first ``n`` symbols by id that have a full vector."""
     full = corpus.embeddings(spark, d).where((F.size("vector") == 96) & F.exists("vector", lambda x: x != 0))
-    first = full.orderBy("symbol_id").limit(5)
-    # Five rows from a scan of all vectors: kept, as their number is checked before they are joined.
+    first = full.orderBy("symbol_id").limit(n)
+    # Few rows from a scan of all vectors: kept, as their number is checked before they are joined.
     return cut(first.select(F.row_number().over(Window.orderBy("symbol_id")).cast("long").alias("query_id"), "vector"))
 
 
