@@ -57,9 +57,9 @@ _RUNS = f"""
 runs AS (
   SELECT r.root_path AS repo_path, CASE WHEN j.repo_id IS NOT NULL THEN j.started ELSE {_instant("r.last_indexed_at")} END AS since
   FROM repositories r LEFT JOIN (SELECT repo_id, max(started_at) FILTER (WHERE status = 'completed')::TIMESTAMPTZ AS started FROM indexing_jobs GROUP BY repo_id) j ON r.id = j.repo_id)"""
-_ROWS = f"""
+ROWS = f"""
 stored_rows AS (
-  SELECT id, repo_path, m AS modified, regexp_replace(regexp_replace(regexp_replace(trim(coalesce(file_path, '')), '[\\\\/]+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '^/+', '') AS file,
+  SELECT id, name, repo_path, m AS modified, regexp_replace(regexp_replace(regexp_replace(trim(coalesce(file_path, '')), '[\\\\/]+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g'), '^/+', '') AS file,
          coalesce(created_at::TIMESTAMPTZ, m) AS stored, kind, signature, doc_comment
   FROM (SELECT *, {_instant("updated_at")} AS m FROM symbols WHERE id IS NOT NULL))"""
 _CURRENT = """
@@ -68,11 +68,11 @@ current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 
 ORACLE = {
     "p2_found": f"""
-WITH {_RUNS}, {_ROWS}, {_CURRENT}
+WITH {_RUNS}, {ROWS}, {_CURRENT}
 SELECT id AS symbol_id FROM current c LEFT JOIN (SELECT * FROM runs WHERE since IS NOT NULL) r ON c.repo_path = r.repo_path
 WHERE r.since IS NULL OR c.stored > r.since""",
     "p2_changes": f"""
-WITH {_RUNS}, {_ROWS}, {_CURRENT},
+WITH {_RUNS}, {ROWS}, {_CURRENT},
 run AS (SELECT * FROM runs WHERE since IS NOT NULL),
 earlier AS (
   SELECT * FROM (SELECT s.id, s.modified, s.file, row_number() OVER (PARTITION BY s.id ORDER BY s.modified DESC NULLS LAST, s.stored DESC NULLS LAST, s.file DESC) AS rn
@@ -82,7 +82,7 @@ SELECT c.id AS symbol_id, c.repo_path, CASE WHEN r.since IS NULL THEN 'never ind
 FROM current c LEFT JOIN run r ON c.repo_path = r.repo_path LEFT JOIN earlier e ON c.id = e.id
 WHERE r.since IS NULL OR c.stored > r.since""",
     "p2_partitions": f"""
-WITH {_RUNS}, {_ROWS},
+WITH {_RUNS}, {ROWS},
 flagged AS (SELECT s.repo_path, CASE WHEN r.since IS NULL THEN false WHEN s.stored IS NULL THEN true ELSE s.stored <= r.since END AS old
   FROM stored_rows s LEFT JOIN (SELECT * FROM runs WHERE since IS NOT NULL) r ON s.repo_path = r.repo_path)
 SELECT repo_path, count(*) AS rows_now, count(*) FILTER (WHERE old) AS rows_then, count(*) <> count(*) FILTER (WHERE old) AS changed FROM flagged GROUP BY repo_path""",
