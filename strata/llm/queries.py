@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.common import table
 from strata.llm import code_docs, ideal_point, mixing, neighbours, packing, residue
+from strata.plans import training
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,54 @@ def _each(text: str) -> str:
 _TEXT = "regexp_matches(text, '[^\\s\\p{Z}\\x{FEFF}]')"
 _SOURCE = "regexp_replace(lower(trim(regexp_replace({c}, '[\\s\\x{{A0}}]+', ' ', 'g'))), '[\\s_]+', '-', 'g')"
 
+def _stem(steps: str) -> str:
+    """Each word of a list of lower-case words brought to one form: suffix, silent e, doubled consonant, y."""
+    ends = (("ies", "y"), ("ied", "y"), ("ying", "y"), ("ing", ""), ("ed", ""), ("es", ""), ("s", ""), ("ers", ""), ("er", ""), ("ors", ""), ("or", ""))
+    whens = " ".join(f"WHEN ends_with(x, '{e}') AND length(x) >= {len(e) + 3} AND NOT ends_with(x, 'ss') THEN left(x, length(x) - {len(e)}) || '{by}'" for e, by in ends)
+    for step in (
+        "regexp_replace(x, '[''’].*$', '')",
+        f"CASE {whens} ELSE x END",
+        "CASE WHEN length(x) > 3 AND ends_with(x, 'e') THEN left(x, length(x) - 1) ELSE x END",
+        "CASE WHEN length(x) > 3 AND x[-1] = x[-2] AND NOT contains('aeiou', x[-1]) THEN left(x, length(x) - 1) ELSE x END",
+        "CASE WHEN ends_with(x, 'y') THEN left(x, length(x) - 1) || 'i' ELSE x END",
+    ):
+        steps = f"list_transform({steps}, lambda x: {step})"
+    return steps
+
+
+_NONBLANK = "regexp_matches({c}, '[^\\s\\p{{Z}}\\x{{FEFF}}]')"
+_FUNCTION_WORDS = """a an the this that these those it its they them their he she his her we us our you your i me my who whom whose which what
+ and or but nor so yet if then else than as at by for from in into of off on onto out over to up with within without under about after before
+ between through during until while when where why how because since though although unless whether per via not no only also just too very more most
+ less least such same other another any all each every both either neither few many much some several own here there now again once
+ is are was were be been being am do does did doing done has have had having can could will would shall should may might must
+ let lets itself themselves one ones etc eg ie vs"""
+_NOTE = "(?i)^\\s*(?:TODO|FIXME|XXX|HACK|BUG|WIP|TBD)\\b"
+_TOOL = "(?i)^\\s*(?:go:\\w+|\\+build\\b|nolint\\b|lint:|nosec\\b|gosec:|revive:|staticcheck:|exhaustive:|noinspection\\b|line\\s+\\S+:\\d+|export\\s+\\w+\\s*$|cgo\\b|#cgo\\b|#include\\b|swagger:|@\\w+|coverage:|golint:|codecov:|Code generated\\b.*DO NOT EDIT)"
+_PAIRS = f"""
+WITH {training.ROWS},
+version AS (
+  SELECT id, modified, file, min(stored) AS stored, max(name) FILTER (WHERE {_NONBLANK.format(c="name")}) AS name, max(kind) AS kind,
+         max(signature) FILTER (WHERE {_NONBLANK.format(c="signature")}) AS signature, max(doc_comment) FILTER (WHERE {_NONBLANK.format(c="doc_comment")}) AS doc
+  FROM stored_rows WHERE kind IN ('func', 'method') GROUP BY id, modified, file),
+current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY modified DESC NULLS LAST, stored DESC NULLS LAST, file DESC) AS rn FROM version) WHERE rn = 1 AND signature IS NOT NULL AND doc IS NOT NULL),
+cut AS (
+  SELECT *, list_transform(list_transform(list_transform(string_split(regexp_replace(replace(replace(doc, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\\s+|\\s+$', '', 'g'), chr(10)),
+    lambda x: regexp_replace(x, '^\\s*(?:/{{2,}}|/\\*+|\\*+/|\\*$|\\*(\\s))\\s?', '')), lambda x: regexp_replace(x, '\\s*\\*+/\\s*$', '')), lambda x: regexp_replace(x, '^\\s*/\\*+\\s?', '')) AS lines FROM current),
+clean AS (
+  SELECT id, name, kind, signature, regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_matches(x, '{_TOOL}') AND NOT regexp_matches(x, '{_NOTE}')), lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS description FROM cut),
+parts AS (
+  SELECT *, length(regexp_replace(description, '[^㐀-鿿豈-﫿]', '', 'g')) AS chinese,
+         list_transform(list_filter(regexp_extract_all(regexp_replace(description, '[㐀-鿿豈-﫿]', ' ', 'g'), '\\p{{L}}+(?:[''’]\\p{{L}}+)?'), lambda x: length(x) > 1 OR lower(x) = 'a'), lambda x: lower(x)) AS words,
+         list_transform(regexp_extract_all(regexp_replace(coalesce(name, ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+'), lambda x: lower(x)) AS own FROM clean),
+stems AS (SELECT *, {_stem("words")} AS word_stems, list_concat(list_concat(own, {_stem("own")}), [lower(coalesce(name, ''))]) AS named FROM parts),
+pairs AS (
+  SELECT id AS symbol_id, name, kind, regexp_replace(regexp_replace(signature, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS signature, description FROM stems
+  WHERE len(list_filter(list_zip(words, word_stems), lambda z: NOT list_contains([{", ".join(f"'{w}'" for w in _FUNCTION_WORDS.split())}], z[1]) AND NOT list_contains(named, z[1]) AND NOT list_contains(named, z[2]))) + chinese / 2 >= 5)"""
+
 ORACLE = {
+    "p4_found": f"{_PAIRS} SELECT symbol_id FROM pairs",
+    "p4_symbol_pairs": f"{_PAIRS} SELECT * FROM pairs",
     "p1_top10": f"""
 WITH {_USABLE},
 pairs AS (
