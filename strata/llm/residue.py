@@ -48,6 +48,8 @@ SLOT = re.compile(
       | \[\[[^\W\d][^\[\]\n]{0,60}\]\]                  # [[name]]
       | 【(?:请|待|填|此处|在此)[^】\n]{0,40}】
       | \[(?:请|待|填|此处|在此)[^\]\n]{0,40}\]
+      | （(?:请|待|此处|在此|请在此)?(?:填写|填入|填|插入|替换|补充)[^（）\n]{0,30}）
+      | [\[（(<【](?i:platzhalter|placeholder|ausfüllen|占位符?)[^\]）)>】\n]{0,30}[\]）)>】]
       | \$\([^\W\d]\w{0,60}\)                             # $(name)
       | (?<![A-Za-z0-9_.])(?:CHANGE_?ME|REPLACE_?ME|FILL_?ME(?:_?IN)?|FIX_?ME_?NAME|YOUR_[A-Z_]+_HERE|INSERT_[A-Z_]+_HERE)(?![A-Za-z0-9_])
       | %![A-Za-z]?\([^()\n]{0,40}\)                    # %!s(MISSING)
@@ -175,7 +177,7 @@ _ODD = re.compile(r"[asdfghjklöä]{3,}|[qwertyuiop]{4,}|[zxcvbnm]{3,}|([a-z])\1
 _LETTERS = re.compile(r"[a-z]+")
 _DUMMIES = frozenset("foo bar baz qux quux test abc xyz xxx asdf qwerty bla blah".split())
 #: One of these stands in every slot; lines without them are spared the search.
-_SLOT_SIGN = re.compile(r"[{$#<%@\[【]|__|(?:CHANGE|REPLACE|FILL|FIX)_?ME|_HERE")
+_SLOT_SIGN = re.compile(r"[{$#<%@\[【（(]|__|(?:CHANGE|REPLACE|FILL|FIX)_?ME|_HERE")
 
 
 @functools.lru_cache(100_000)

@@ -489,12 +489,14 @@ def test_mix_of_the_test_tables(spark):
 
 # ---- 8: residue -----------------------------------------------------------------------------------------------------
 REJECTED = [
+    "每个会话最多保留（此处填写内容）分钟。", "Höchstens [Platzhalter] Einträge pro Index sind erlaubt.",
     "The {{ owner }} keeps every record for a day.", "Package: a/b\nRole: data access for ${ENTITY}", "每个__名称__都带有引用。", "The @@state@@ frame is kept.", "当【请填写说明】缺失时返回。", "The <your name here> key", "Only the %COMPONENT% may write.", "Result: %!s(MISSING) rows", "Owner: <no value>", "A CHANGEME is kept.",
     "# Title\n\nLorem ipsum dolor sit amet, consectetur adipiscing elit.\n\n## Usage\n\nReal content stands here for once.", "Sample text. Description coming soon.", "qwerty\nqwerty\nqwerty\nqwerty", "Package: a/b\nSummary: Some text here. Your text goes here.", "敬请期待。 内容待补充。",
     "502 Bad Gateway\nPlease try again later.", '{"message": "Site under maintenance", "request_id": "ad23a08fd017"}', "error: 403 Forbidden (request e6f615b26565)", "Seite nicht gefunden\nZurück zur Startseite", "页面不存在\n请稍后重试。\nTrace: 820f4624e640", 'template: card.tmpl:8:3: executing "card" at <.Summary>: nil data',
     "<noscript>You need to enable JavaScript to run this app.</noscript>", "Home | Docs | Packages | Search\nThis viewer requires scripts. Turn them on in your browser settings and reload.", "本应用需要启用脚本才能运行。",
 ]
 KEPT = [
+    "会话（请参阅设计文档）由缓存负责，待处理的批次（待处理）会合并。",
     "The card template prints `{{.Name}}` once per package.", "```sh\nmake build TAG=${TAG:-dev}\n```\nThe rest is content.", "GET /v1/items/{item_id}\nReturns the item with all its parts.", "Usage: idx list <path> [flags]\n\nFlags:\n  --name <file>   The file that holds the names.",
     'The renderer tests use the string "lorem ipsum" as a fixture.', 'Users saw "502 Bad Gateway" for six minutes because the pool ran out of workers.', "Get answers 404 Not Found when the record is unknown.", "Responses: 200 OK with the card, 404 Not Found when the card id is unknown.", "The docs viewer requires JavaScript for the tree only; without scripts the list is plain HTML.",
     "package x\n\nfunc F() {\n\trows := []pair{{1, 2}, {3, 4}}\n}\n", "TODO: reuse the pool; the limit of 9 is still hard-coded.", "测试数据使用“占位文本”作为清单，程序会检查其长度。", "", None, "  \n",
