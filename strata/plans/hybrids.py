@@ -82,6 +82,13 @@ def hybrid_filters(spark, d):
     return _flat(results(spark, d, FILTERED))
 
 
+def hybrid_package(spark, d):
+    """Hits of one package: the one with most symbols."""
+    sizes = corpus.catalog(spark, d).groupBy("package_path").count().orderBy(F.desc("count"), "package_path")
+    row = sizes.first()
+    return _flat(results(spark, d, search.Options(rank_by_graph=False, exported_only=False, k=20, package=row["package_path"] if row else None)))
+
+
 def hybrid_prefiltered(spark, d):
     """The same filters before the arms are cut, so k results come out where there are as many."""
     from dataclasses import replace
@@ -141,6 +148,12 @@ def evidence_packages(spark, d):
     return c.select("query_id", F.col("card").cast("long").alias("card"), "path", F.round("score", 6).alias("score"), "role", "summary", F.array_join("why", "; ").alias("why"), F.array_join("key_symbols", ", ").alias("key_symbols"))
 
 
+def evidence_imports(spark, d):
+    """Package cards with what their packages import and what imports them."""
+    c = evidence.package_cards(_stored_results(spark, d).withColumn("graph", F.lit(0.0)), corpus.package_imports(spark, d))
+    return c.select("query_id", F.col("card").cast("long").alias("card"), "path", F.array_join("imports", " ").alias("imports"), F.array_join("imported_by", " ").alias("imported_by"))
+
+
 def evidence_symbols(spark, d):
     return evidence.symbol_cards(_stored_results(spark, d)).withColumn("place", F.col("place").cast("long"))
 
@@ -182,8 +195,8 @@ def read_symbol_lines(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_search, hybrid_search_batch, hybrid_vector_only, hybrid_keyword_only, hybrid_filters, hybrid_prefiltered, hybrid_reasons, hybrid_graph_rank, hybrid_intent, graph_pagerank_candidates, graph_score,
-        evidence_packages, evidence_symbols, evidence_hints, evidence_snippets, evidence_metadata, read_lines, read_symbol_lines,
+        hybrid_search, hybrid_search_batch, hybrid_vector_only, hybrid_keyword_only, hybrid_filters, hybrid_package, hybrid_prefiltered, hybrid_reasons, hybrid_graph_rank, hybrid_intent, graph_pagerank_candidates, graph_score,
+        evidence_packages, evidence_imports, evidence_symbols, evidence_hints, evidence_snippets, evidence_metadata, read_lines, read_symbol_lines,
     )
 }
 
@@ -304,6 +317,14 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT c.query_id, card, c.package_path AS path, round(score, 6) AS score, coalesce({_ROLE.format(c='l')}, {_PATH_ROLE}) AS role,
   n || ' symbols | ' || kinds || CASE WHEN txt <> '' THEN ' | ' || {_TRUNC.format(c='txt', n=100)} ELSE '' END AS summary, coalesce(why, '') AS why, coalesce(key_symbols, '') AS key_symbols
 FROM c JOIN kd USING (query_id, package_path) LEFT JOIN ky USING (query_id, package_path) LEFT JOIN wh USING (query_id, package_path) WHERE card <= 3""",
+    "evidence_imports": f"""{_STORED},
+u AS (SELECT DISTINCT package_path AS path, import_path AS target FROM edg JOIN cat ON cat.id = edg.from_id WHERE edge_type = 'imports' AND import_path IS NOT NULL),
+im AS (SELECT path, string_agg(target, ' ' ORDER BY target) AS imports FROM u GROUP BY path), ib AS (SELECT target AS path, string_agg(path, ' ' ORDER BY path) AS imported_by FROM u WHERE path <> target GROUP BY target),
+a AS (SELECT query_id, package_path AS path, sum(combined + (CASE WHEN is_entry THEN 0.1 ELSE 0 END)) AS score FROM hits GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS card FROM a)
+SELECT query_id, card, path, CASE WHEN imports IS NULL AND imported_by IS NULL THEN NULL ELSE coalesce(imports, '') END AS imports, CASE WHEN imports IS NULL AND imported_by IS NULL THEN NULL ELSE coalesce(imported_by, '') END AS imported_by
+FROM c LEFT JOIN im USING (path) LEFT JOIN ib USING (path) WHERE card <= 3""",
+    "hybrid_package": f"{_arms().replace('p <= 20)', 'p <= 40)').replace('WHERE p <= 20', 'WHERE p <= 40')}, {_base('package_path = (SELECT package_path FROM cat GROUP BY package_path ORDER BY count(*) DESC, package_path LIMIT 1)', 0.75, 0.25)} {_OUT.replace('place <= 10', 'place <= 20')}",
     "evidence_symbols": f"""{_STORED} SELECT query_id, place, symbol_id AS id, name, kind, signature, file_path AS file, line_start AS line, CASE WHEN place <= 3 AND coalesce(semantic_text, '') <> '' THEN {_TRUNC.format(c='semantic_text', n=300)} ELSE '' END AS snippet, array_to_string({_HREASONS}, '; ') AS why FROM hits""",
     "evidence_hints": f"""{_STORED_GRAPH}, cc AS (SELECT query_id, from_id, count(*) AS k FROM hits JOIN edg ON to_id = symbol_id WHERE from_id <> to_id GROUP BY ALL),
 t AS (SELECT query_id, from_id, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, from_id) AS rn FROM cc)

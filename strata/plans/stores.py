@@ -164,9 +164,18 @@ def import_edges(spark, d):
     return r.groupBy("target").agg(F.countDistinct("file_path").alias("n_files"), F.max(rules.standard_import(F.col("target"))).alias("standard"))
 
 
+def package_role_imports(spark, d):
+    """Roles of packages by their paths, their imports and what they hold."""
+    info = cards.package_info(corpus.catalog(spark, d))
+    rows = info.join(corpus.package_imports(spark, d).select(F.col("path").alias("package_path"), "imports"), "package_path", "left")
+    rows = rows.withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
+    return rows.select("package_path", rules.card_role(F.col("package_path"), F.col("imports"), F.col("has_interface"), F.col("has_struct"), F.col("has_method")).alias("role"), F.size(F.filter("imports", lambda p: ~rules.standard_import(p))).cast("long").alias("outside"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        package_role_imports,
         upsert_edges, upsert_vectors, upsert_packages, upsert_repositories, insert_symbols, delete_package_cascade, delete_edges_of_symbols, delete_vectors_by_prefix, imported_by_union, changed_packages,
         table_counts, repo_summary, index_status, repos_list, size_text, path_globs, package_info, package_roles, package_card, symbol_card, repo_stats, source_symbols, source_references, import_edges,
     )
@@ -184,6 +193,16 @@ _ROLE = (
     + " ".join(f"WHEN len(list_filter(string_split(lower(package_path), '/'), lambda p: {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)})) > 0 THEN '{role}'" for words, _, role in fixed.CARD_ROLES)
     + " WHEN has_interface AND has_struct THEN 'domain logic' WHEN has_method AND NOT has_interface THEN 'business logic' ELSE 'general' END"
 )
+_ROLE_BY_IMPORTS = (
+    "CASE "
+    + " ".join(
+        f"WHEN len(list_filter(string_split(lower(package_path), '/'), lambda p: {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)})) > 0"
+        + (f" OR len(list_filter(imports, lambda p: {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in imported)})) > 0" if imported else "")
+        + f" THEN '{role}'"
+        for words, imported, role in fixed.CARD_ROLES
+    )
+    + " WHEN has_interface AND has_struct THEN 'domain logic' WHEN has_method AND NOT has_interface THEN 'business logic' ELSE 'general' END"
+)
 _EACH = "[" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{text}' END" for words, text in fixed.RESPONSIBILITIES) + "]"
 _BYPATH = f"list_filter(flatten(list_transform(string_split(lower(package_path), '/'), lambda p: {_EACH})), lambda x: x IS NOT NULL)"
 _DUTIES = f"""CASE WHEN len({_BYPATH}) > 0 THEN array_to_string({_BYPATH}, ', ') WHEN has_interface OR has_struct OR has_method THEN
@@ -192,6 +211,10 @@ _CARD = f"""pc AS (SELECT package_path, 'Role: ' || {_ROLE} || chr(10) || 'Respo
   || 'Entry Points: ' || CASE WHEN len(kf) > 0 THEN array_to_string(kf, ', ') WHEN len(ef) > 0 THEN array_to_string(ef[1:5], ', ') ELSE 'N/A' END || chr(10) AS card FROM info)"""
 
 ORACLE = {
+    "package_role_imports": f"""{_INFO}, {EDG},
+im AS (SELECT package_path, list(DISTINCT import_path) AS imports FROM edg JOIN cat ON cat.id = edg.from_id WHERE edge_type = 'imports' AND import_path IS NOT NULL GROUP BY package_path),
+r AS (SELECT info.*, coalesce(imports, []) AS imports FROM info LEFT JOIN im USING (package_path))
+SELECT package_path, {_ROLE_BY_IMPORTS} AS role, len(list_filter(imports, lambda p: contains(p, '.') AND NOT contains(p, '/vendor/')))::BIGINT AS outside FROM r""",
     "upsert_edges": f"""WITH m AS (SELECT from_id, to_id, edge_type, max(weight) AS weight, arg_min(import_path, CASE WHEN created_at < TIMESTAMPTZ '{CUT}+00' THEN '0' ELSE '1' END || created_at::VARCHAR || import_path) FILTER (WHERE import_path IS NOT NULL) AS import_path, min(created_at) AS created_at
   FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL GROUP BY ALL)
 SELECT edge_type, count(*) AS n, sum(weight)::BIGINT AS weight, count(import_path) AS with_path, epoch_us(min(created_at)) AS first_created FROM m GROUP BY edge_type""",

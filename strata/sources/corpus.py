@@ -45,6 +45,16 @@ def packages(symbols: DataFrame) -> DataFrame:
     )
 
 
+def package_imports(spark: SparkSession, d: str) -> DataFrame:
+    """(path, imports, imported_by): what each package's symbols import by the edges, and the packages that import it."""
+    owner = catalog(spark, d).select(F.col("id").alias("from_id"), F.col("package_path").alias("path"))
+    used = merged_edges(spark, d).where("edge_type = 'imports' and import_path is not null").join(owner, "from_id").select("path", F.col("import_path").alias("target")).distinct()
+    imports = used.groupBy("path").agg(F.array_sort(F.collect_set("target")).alias("imports"))
+    by = used.where("path <> target").groupBy(F.col("target").alias("path")).agg(F.array_sort(F.collect_set("path")).alias("imported_by"))
+    none = F.array().cast("array<string>")
+    return imports.join(by, "path", "full_outer").select("path", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
+
+
 def lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, text) of every text, lines counted from 1."""
     split = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")
