@@ -211,6 +211,11 @@ _CARD = f"""pc AS (SELECT package_path, 'Role: ' || {_ROLE} || chr(10) || 'Respo
   || 'Entry Points: ' || CASE WHEN len(kf) > 0 THEN array_to_string(kf, ', ') WHEN len(ef) > 0 THEN array_to_string(ef[1:5], ', ') ELSE 'N/A' END || chr(10) AS card FROM info)"""
 
 ORACLE = {
+    "import_edges": """
+WITH src AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(65279), '') AS t FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(?m)^package \\w+\\s*$')),
+specs AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^import[ \\t]*(?:\\([^)]*\\)|[^\\n(]*)')) AS spec FROM src),
+targets AS (SELECT doc_id, unnest(regexp_extract_all(spec, '"([^"\\n]+)"', 1)) AS target FROM specs)
+SELECT target, count(DISTINCT doc_id) AS n_files, bool_or(NOT contains(target, '.') OR contains(target, '/vendor/')) AS standard FROM targets GROUP BY target""",
     "package_role_imports": f"""{_INFO}, {EDG},
 im AS (SELECT package_path, list(DISTINCT import_path) AS imports FROM edg JOIN cat ON cat.id = edg.from_id WHERE edge_type = 'imports' AND import_path IS NOT NULL GROUP BY package_path),
 r AS (SELECT info.*, coalesce(imports, []) AS imports FROM info LEFT JOIN im USING (package_path))
