@@ -210,7 +210,24 @@ _DUTIES = f"""CASE WHEN len({_BYPATH}) > 0 THEN array_to_string({_BYPATH}, ', ')
 _CARD = f"""pc AS (SELECT package_path, 'Role: ' || {_ROLE} || chr(10) || 'Responsibilities: ' || {_DUTIES} || chr(10) || 'Key Types: ' || CASE WHEN len(kt) > 0 THEN array_to_string(kt, ', ') ELSE 'N/A' END || chr(10)
   || 'Entry Points: ' || CASE WHEN len(kf) > 0 THEN array_to_string(kf, ', ') WHEN len(ef) > 0 THEN array_to_string(ef[1:5], ', ') ELSE 'N/A' END || chr(10) AS card FROM info)"""
 
+#: The source documents hold packages, imports and methods, formatted in the usual way; the SQL reads them line by line.
+_SOURCE = """src AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(65279), '') AS t FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(?m)^package \\w+\\s*$')),
+ln AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM src))"""
+_NO_CALLS = ", ".join(f"'{w}'" for w in "if for switch select return func go defer range make new len cap append copy delete panic recover print println close string int error struct interface map chan case var type const min max clear".split())
+
 ORACLE = {
+    "source_symbols": f"""WITH {_SOURCE}
+SELECT 'doc/' || doc_id AS package_path, 'package' AS kind, count(*) AS n, 1::BIGINT AS last_line FROM ln WHERE regexp_matches(line, '^package[ \\t]+\\w') GROUP BY doc_id
+UNION ALL SELECT 'doc/' || doc_id, 'file', 1, max(n) FROM ln GROUP BY doc_id
+UNION ALL SELECT 'doc/' || doc_id, 'method', count(*) FILTER (WHERE starts_with(line, 'func (')), max(n) FILTER (WHERE line = '}}') FROM ln GROUP BY doc_id HAVING count(*) FILTER (WHERE starts_with(line, 'func (')) > 0""",
+    "source_references": f"""WITH {_SOURCE},
+body AS (SELECT doc_id, replace(regexp_replace(line, '"(?:[^"\\\\]|\\\\.)*"|`[^`]*`|//.*', '', 'g'), '(', '( ') AS line FROM ln WHERE starts_with(line, chr(9))),
+called AS (SELECT doc_id, unnest(regexp_extract_all(line, '(?:^|[^\\w.])((?:[A-Za-z_]\\w*\\.)?[A-Za-z_]\\w*)\\(', 1)) AS target FROM body),
+specs AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^import[ \\t]*(?:\\([^)]*\\)|[^\\n(]*)')) AS spec FROM src),
+every AS (
+  SELECT doc_id, 'calls' AS edge_type, target FROM called WHERE string_split(target, '.')[-1] NOT IN ({_NO_CALLS})
+  UNION ALL SELECT doc_id, 'imports', unnest(regexp_extract_all(spec, '"([^"\\n]+)"', 1)) FROM specs)
+SELECT edge_type, target, count(*) AS n, count(DISTINCT doc_id) AS n_files FROM every GROUP BY edge_type, target""",
     "import_edges": """
 WITH src AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(65279), '') AS t FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(?m)^package \\w+\\s*$')),
 specs AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^import[ \\t]*(?:\\([^)]*\\)|[^\\n(]*)')) AS spec FROM src),
