@@ -131,6 +131,18 @@ _FUNCTION_WORDS = """a an the this that these those it its they them their he sh
  let lets itself themselves one ones etc eg ie vs"""
 _NOTE = "(?i)^\\s*(?:TODO|FIXME|XXX|HACK|BUG|WIP|TBD)\\b"
 _TOOL = "(?i)^\\s*(?:go:\\w+|\\+build\\b|nolint\\b|lint:|nosec\\b|gosec:|revive:|staticcheck:|exhaustive:|noinspection\\b|line\\s+\\S+:\\d+|export\\s+\\w+\\s*$|cgo\\b|#cgo\\b|#include\\b|swagger:|@\\w+|coverage:|golint:|codecov:|Code generated\\b.*DO NOT EDIT)"
+_SAYING = f"""
+cut AS (
+  SELECT *, list_transform(list_transform(list_transform(string_split(regexp_replace(replace(replace(doc, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g'), chr(10)),
+    lambda x: regexp_replace(x, '^\\s*(?:/{{2,}}|/\\*+|\\*+/|\\*$|\\*(\\s))[\\s\\x{{A0}}]?', '')), lambda x: regexp_replace(x, '\\s*\\*+/\\s*$', '')), lambda x: regexp_replace(x, '^\\s*/\\*+[\\s\\x{{A0}}]?', '')) AS lines FROM SOURCE),
+clean AS (
+  SELECT * EXCLUDE (lines), regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_matches(x, '{_TOOL}') AND NOT regexp_matches(x, '{_NOTE}')), lambda x: regexp_replace(x, '[\\s\\x{{A0}}]+$', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g') AS description FROM cut),
+parts AS (
+  SELECT *, length(regexp_replace(description, '[^㐀-鿿豈-﫿]', '', 'g')) AS chinese,
+         list_transform(list_filter(regexp_extract_all(regexp_replace(description, '[㐀-鿿豈-﫿]', ' ', 'g'), '\\p{{L}}+(?:[''’]\\p{{L}}+)?'), lambda x: length(x) > 1 OR lower(x) = 'a'), lambda x: lower(x)) AS words,
+         list_transform(regexp_extract_all(regexp_replace(coalesce(name, ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+'), lambda x: lower(x)) AS own FROM clean),
+stems AS (SELECT *, {_stem("words")} AS word_stems, list_concat(list_concat(own, {_stem("own")}), [lower(coalesce(name, ''))]) AS named FROM parts)"""
+_SAID = f"""len(list_filter(list_zip(words, word_stems), lambda z: NOT list_contains([{", ".join(f"'{w}'" for w in _FUNCTION_WORDS.split())}], z[1]) AND NOT list_contains(named, z[1]) AND NOT list_contains(named, z[2]))) + chinese / 2 >= 5"""
 _PAIRS = f"""
 WITH {training.ROWS},
 version AS (
@@ -138,21 +150,30 @@ version AS (
          max(signature) FILTER (WHERE {_NONBLANK.format(c="signature")}) AS signature, max(doc_comment) FILTER (WHERE {_NONBLANK.format(c="doc_comment")}) AS doc
   FROM stored_rows WHERE kind IN ('func', 'method') GROUP BY id, modified, file),
 current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY modified DESC NULLS LAST, stored DESC NULLS LAST, file DESC) AS rn FROM version) WHERE rn = 1 AND signature IS NOT NULL AND doc IS NOT NULL),
-cut AS (
-  SELECT *, list_transform(list_transform(list_transform(string_split(regexp_replace(replace(replace(doc, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\\s+|\\s+$', '', 'g'), chr(10)),
-    lambda x: regexp_replace(x, '^\\s*(?:/{{2,}}|/\\*+|\\*+/|\\*$|\\*(\\s))\\s?', '')), lambda x: regexp_replace(x, '\\s*\\*+/\\s*$', '')), lambda x: regexp_replace(x, '^\\s*/\\*+\\s?', '')) AS lines FROM current),
-clean AS (
-  SELECT id, name, kind, signature, regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_matches(x, '{_TOOL}') AND NOT regexp_matches(x, '{_NOTE}')), lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS description FROM cut),
-parts AS (
-  SELECT *, length(regexp_replace(description, '[^㐀-鿿豈-﫿]', '', 'g')) AS chinese,
-         list_transform(list_filter(regexp_extract_all(regexp_replace(description, '[㐀-鿿豈-﫿]', ' ', 'g'), '\\p{{L}}+(?:[''’]\\p{{L}}+)?'), lambda x: length(x) > 1 OR lower(x) = 'a'), lambda x: lower(x)) AS words,
-         list_transform(regexp_extract_all(regexp_replace(coalesce(name, ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+'), lambda x: lower(x)) AS own FROM clean),
-stems AS (SELECT *, {_stem("words")} AS word_stems, list_concat(list_concat(own, {_stem("own")}), [lower(coalesce(name, ''))]) AS named FROM parts),
+{_SAYING.replace("SOURCE", "current")},
 pairs AS (
   SELECT id AS symbol_id, name, kind, regexp_replace(regexp_replace(signature, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS signature, description FROM stems
-  WHERE len(list_filter(list_zip(words, word_stems), lambda z: NOT list_contains([{", ".join(f"'{w}'" for w in _FUNCTION_WORDS.split())}], z[1]) AND NOT list_contains(named, z[1]) AND NOT list_contains(named, z[2]))) + chinese / 2 >= 5)"""
+  WHERE {_SAID})"""
+
+#: The source documents hold methods formatted in the usual way: the SQL reads them line by line, without brackets to balance.
+_FILES = f"""
+WITH src AS (SELECT doc_id, file_path, replace(replace(text, chr(13) || chr(10), chr(10)), chr(65279), '') AS t FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '(?m)^func\\b')),
+ln AS (SELECT doc_id, file_path, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, file_path, string_split(t, chr(10)) AS x FROM src)),
+marked AS (
+  SELECT *, max(CASE WHEN NOT starts_with(ltrim(line), '//') THEN n ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
+         min(CASE WHEN line = '}}' THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM ln),
+heads AS (SELECT * FROM marked WHERE starts_with(line, 'func ')),
+docs AS (SELECT h.doc_id, h.n, string_agg(l.line, chr(10) ORDER BY l.n) AS doc FROM heads h JOIN ln l ON l.doc_id = h.doc_id AND l.n > coalesce(h.above, 0) AND l.n < h.n GROUP BY ALL),
+bodies AS (SELECT h.doc_id, h.n, string_agg(l.line, chr(10) ORDER BY l.n) AS rest FROM heads h JOIN ln l ON l.doc_id = h.doc_id AND l.n > h.n AND l.n <= h.stop GROUP BY ALL),
+current AS (
+  SELECT h.doc_id, h.file_path, h.n AS line, nullif(regexp_extract(h.line, '^func \\(\\w+ \\*?(\\w+)', 1), '') AS receiver, regexp_extract(h.line, '^func (?:\\([^)]*\\) )?(\\w+)', 1) AS name,
+         regexp_replace(h.line, '\\s*\\{{$', '') AS signature, '{{' || chr(10) || rest AS body, doc
+  FROM heads h JOIN docs USING (doc_id, n) JOIN bodies USING (doc_id, n)),
+{_SAYING.replace("SOURCE", "current")}
+SELECT doc_id, file_path, line, receiver, name, signature, description, body FROM stems WHERE {_SAID}"""
 
 ORACLE = {
+    "p4_file_pairs": _FILES,
     "p4_found": f"{_PAIRS} SELECT symbol_id FROM pairs",
     "p4_symbol_pairs": f"{_PAIRS} SELECT * FROM pairs",
     "p1_top10": f"""
