@@ -161,6 +161,8 @@ _TAG = re.compile(r"</?(?:noscript|html|body|head|title|p|div|h[1-6]|span|br|cen
 
 def normalise(text: str) -> str:
     t = html.unescape(text) if "&" in text else text
+    if t.isascii() and "\r" not in t:
+        return t
     t = t.replace("\r\n", "\n").replace("\r", "\n").replace("﻿", "").replace(" ", " ").replace("​", "")
     return unicodedata.normalize("NFC", t)
 
@@ -212,15 +214,23 @@ def judge(message: str, parts: tuple = (FILLER_PARTS, SCRIPT_PARTS, ERROR_PARTS)
         return "error"
     if "\x00" in message:  # a quotation: the sentence talks about something
         return ""
-    if may_be_filler(message, parts[0]) and FILLER.search(message):
+    chinese = not message.isascii() and bool(_CHINESE.search(message))
+    if (chinese or message.startswith(FILLER_STARTS) or _any_in(parts[0], message)) and FILLER.search(message):
         return "filler"
-    if may_be_scripts(message, words, parts[1]) and SCRIPTS.search(message) and not _ONLY.search(message):
+    if (chinese or "js" in words or _any_in(parts[1], message)) and SCRIPTS.search(message) and not _ONLY.search(message):
         return "scripts"
-    if may_be_error(message, parts[2]) and ERROR.search(message):
+    if (chinese or _any_in(parts[2], message)) and ERROR.search(message):
         return "error"
     return "filler" if _mashed(words) else ""
 
 
+def _any_in(parts: tuple, message: str) -> bool:
+    for p in parts:
+        if p in message:
+            return True
+    return False
+
+
 _FAILED = re.compile(r"\W*(?:template: |render(?:ing)? failed\b|fatal: |traceback\b)")
 _ONLY = re.compile(r"\bonly\b|nur\b|只有")
 _CODE_LINE = re.compile(r"[{};()=]|^\s*(?:package|import|return|if|for|var|type|const|func)\b|^\t")
@@ -253,7 +263,9 @@ def _units(text: str) -> tuple[bool, list[tuple[bool, list[str]]]]:
             units = [(False, [x for s in bare for x in s.split("\n")])] if small else [(False, s.split("\n")) for s in bare]
             return any(SLOT.search(s) for s in bare), units
     go = bool(_GO.search(text))
-    text = _FENCE.sub("\n\x01\n", text)
+    text = _FENCE.sub("\n\x01\n", text) if "```" in text or "~~~" in text else text
+    # What no line can hold because the text does not is not looked for line by line.
+    quotes, slots = bool(_QUOTE.search(text)), bool(_SLOT_SIGN.search(text))
     units: list[tuple[bool, list[str]]] = []
     code, lines, slot = False, [], False
 
@@ -267,26 +279,28 @@ def _units(text: str) -> tuple[bool, list[tuple[bool, list[str]]]]:
         if raw.strip() == "\x01":
             code = True
             continue
-        comment = raw.lstrip().startswith(("//", "/*", "*"))
-        line = _QUOTED.sub("\x00", raw) if _QUOTE.search(raw) else raw
+        start = raw.lstrip()
+        if not start:
+            continue
+        first = start[0]
+        comment = first in "/*" and start.startswith(("//", "/*", "*"))
+        line = _QUOTED.sub("\x00", raw) if quotes and _QUOTE.search(raw) else raw
         prose = comment or not go or not _CODE_LINE.search(line)
-        if not slot and _SLOT_SIGN.search(line) and (SLOT.search(line) or (prose and BARE_SLOT.search(line))):
+        if slots and not slot and _SLOT_SIGN.search(line) and (SLOT.search(line) or (prose and BARE_SLOT.search(line))):
             slot = True
-        if not raw.strip():
-            continue
         if go and not comment and not prose:
             code = True
             continue
-        if _HEADING.match(raw):
+        if (first == "#" or raw[0] in "GPDHO") and _HEADING.match(raw):
             close()
             continue
-        if m := _FLAG.match(line):
+        if first == "-" and (m := _FLAG.match(line)):
             close()
             line = line[m.end() :]
-        elif (m := _FIELD.match(line)) and m.group(1).lower() not in _NOISE_KEYS and not _ERROR_NUMBER.match(line):
+        elif (":" in line or "：" in line) and (m := _FIELD.match(line)) and m.group(1).lower() not in _NOISE_KEYS and not _ERROR_NUMBER.match(line):
             close()
             line = line[m.end() :]
-        elif m := _BULLET.match(line):
+        elif (first in "-*•" or first.isdigit()) and (m := _BULLET.match(line)):
             close()
             line = line[m.end() :]
         if comment:
