@@ -135,6 +135,7 @@ def hybrid_reasons(vector: Column, keyword: Column, exported: Column, kind: Colu
     return _reasons(tests, "Match found")
 
 
+# ---- fixed values: the texts of reasons, above and below --------------------------------------------------
 def graph_reasons(pagerank: Column, in_degree: Column, is_entry: Column, is_interface: Column, layer_name: Column) -> Column:
     tests = [
         (pagerank > 0.01, "Highly connected in call graph"),

@@ -36,6 +36,7 @@ def package_cards(info: DataFrame, imports: DataFrame | None = None) -> DataFram
     duties = rules.responsibilities(F.col("package_path"), F.col("has_interface"), F.col("has_struct"), F.col("has_method"))
     funcs = F.when(F.size("key_funcs") > 0, F.array_join("key_funcs", ", ")).otherwise(_joined(F.slice("exported_funcs", 1, 5)))
     outside = F.filter("imports", lambda p: ~rules.standard_import(p))
+    # The labels of a card and of its notes below.
     card = F.concat(
         F.lit("Role: "), role, F.lit("\nResponsibilities: "), F.array_join(duties, ", "), F.lit("\nKey Types: "), _joined(F.col("key_types")), F.lit("\nEntry Points: "), funcs, F.lit("\n"),
         F.when(F.size(outside) > 0, F.concat(F.lit("Dependencies: "), F.array_join(outside, ", "), F.lit("\n"))).otherwise(""),

@@ -25,6 +25,7 @@ def package_cards(hits: DataFrame, packages: DataFrame | None = None, limit: int
     w = Window.partitionBy("query_id", "package_path").orderBy("place")
     rows = hits.withColumn("_rn", F.row_number().over(w))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_rn", c.alias("v")))), lambda x: x["v"])
+    # The reasons, labels and marks of packs.
     why = F.concat(
         F.when(F.col("combined") > 0.7, F.array(F.concat(F.lit("High relevance: "), "name"))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("is_entry"), F.array(F.lit("Contains entry points"))).otherwise(F.array().cast("array<string>")),

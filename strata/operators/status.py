@@ -36,6 +36,7 @@ def index_status(repositories: DataFrame, now: Column) -> DataFrame:
     at = parse_instant(F.col("last_indexed_at"))
     age = (F.unix_timestamp(now) - F.unix_timestamp(F.date_trunc("second", at))).cast("long")
     r = repositories.select("root_path", "has_embeddings", age.alias("age_seconds")).withColumn("index_age", human_age(F.col("age_seconds")))
+    # The sentences.
     told = F.when(F.col("age_seconds") > STALE_SECONDS, F.concat(F.lit("Index is "), "index_age", F.lit(" old. Consider re-indexing for latest changes."))).when(
         F.col("age_seconds") > WARN_SECONDS, F.concat(F.lit("Index is "), "index_age", F.lit(" old. Recent changes may not be reflected."))
     )

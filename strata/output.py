@@ -16,6 +16,7 @@ def results_json(query: str, rows: list[dict]) -> str:
 
 
 def results_text(query: str, rows: list[dict], verbose: bool = False) -> str:
+    # The labels of the listing.
     if not rows:
         return "No results found"
     out = [f"Found {len(rows)} result(s) for: {query}", ""]
